@@ -67,14 +67,32 @@ def slices(array: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Everything but ASCII letters, digits and the bytes of other characters.
+NOT_ALNUM = np.ones(256, dtype=bool)
+NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
+
+def prefix_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each length k the 64-bit hash of each word's first k bytes; 0 where the word has no more than k."""
+    up, down = _power(len(data) + 1)
+    out = []
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, dtype=U64)
+        np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+        for k in lengths:
+            to = np.minimum(start + k, end)
+            out.append(np.where(end - start > k, splitmix((total[to] - total[start]) * down[start] + U64(k << 32)), U64(0)))
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: start byte, end byte, 64-bit hash; and for each row the number of its first word (one entry more than rows).
 
     A row's end also ends its last word.
     """
     n = len(data)
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~space[data]
     starts = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     cuts = offsets[1:-1]
