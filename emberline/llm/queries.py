@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mpeg_audio, packing, secret_scan, toxicity, url_filter, warc
+from . import decontaminate, jaccard_join, mpeg_audio, packing, secret_scan, toxicity, url_filter, warc
 from .common import read, sha256_hex
 
 
@@ -15,6 +15,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), sha256_hex(ids).alias("items_sha256"), "contaminated")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
@@ -46,6 +50,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
