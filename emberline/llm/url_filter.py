@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 
 @dataclass(frozen=True)
@@ -83,7 +83,7 @@ def template_verdicts(judged: DataFrame, config: TreeConfig) -> DataFrame:
     labelled = F.col("rule_verdict").isNotNull().cast("long")
     blocked = F.coalesce((F.col("rule_verdict") == "block").cast("long"), F.lit(0).cast("long"))
     tree = judged.select("host", *raw, F.lit(1).cast("long").alias("n"), labelled.alias("lab"), blocked.alias("blk"))
-    tree = _counts(tree, "host", *(f"raw{d}" for d in levels))
+    tree = written(_counts(tree, "host", *(f"raw{d}" for d in levels)), "templates")
     for d in levels:
         parent = ["host", *(f"t{i}" for i in range(1, d))]
         branch = [*parent, f"raw{d}"]
@@ -96,11 +96,12 @@ def template_verdicts(judged: DataFrame, config: TreeConfig) -> DataFrame:
         similar = F.when((F.col("bl") > 0) & (rest_l > 0), gap * gap <= config.z * config.z * spread).otherwise(F.lit(False))
         literal = (F.col(f"raw{d}") == "") | ((F.col("bn") >= config.support) & ~similar)
         named = branches.join(parents, parent).select(*branch, F.when(literal, F.col(f"raw{d}")).otherwise("*").alias(f"t{d}"))
-        tree = tree.join(named, branch)
+        tree = written(tree.join(named, branch), "templates")  # a level refers to the one above three times
     leaf = ["host", *(f"t{d}" for d in levels)]
-    prior = tree.agg(F.coalesce(F.sum("blk") / F.nullif(F.sum("lab"), F.lit(0)), F.lit(0.5)).alias("prior"))  # one row
-    leaves = _counts(tree, *leaf).join(F.broadcast(prior), how="cross")
-    purity = (F.col("blk") + config.weight * F.col("prior")) / (F.col("lab") + config.weight)
+    total = tree.agg(F.sum("lab").alias("lab"), F.sum("blk").alias("blk")).first()  # two numbers
+    prior = total["blk"] / total["lab"] if total["lab"] else 0.5
+    leaves = _counts(tree, *leaf)
+    purity = (F.col("blk") + config.weight * prior) / (F.col("lab") + config.weight)
     leaves = leaves.select(*leaf, purity.alias("purity"), F.when(purity >= config.reject, "block").otherwise("allow").alias("tree_verdict"))
     template = F.concat_ws("/", "host", *(F.when(F.col(f"t{d}") != "", F.col(f"t{d}")) for d in levels))
     return tree.join(leaves, leaf).select("host", *(f"raw{d}" for d in levels), template.alias("template"), "purity", "tree_verdict")
