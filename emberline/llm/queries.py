@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mpeg_audio, packing, secret_scan, toxicity, url_filter, warc
+from . import decontaminate, html_extract, html_labelled, jaccard_join, mpeg_audio, packing, secret_scan, toxicity, url_filter, warc
 from .common import read, sha256_hex
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_extract.train(html_labelled.labelled_pages(spark))
+    return html_extract.main_text(read(spark, sf_dir, "pages"), model).select("page_id", "url", "text", "n_chars")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("hit_items", lambda x: x.cast("string"))), ",")
@@ -49,6 +54,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_url_filter": op5_url_filter,
