@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, html_labelled, jaccard_join, mpeg_audio, packing, secret_scan, toxicity, url_filter, warc
+from . import decontaminate, html_extract, html_labelled, jaccard_join, lm_score, mpeg_audio, packing, secret_scan, toxicity, url_filter, warc
 from .common import read, sha256_hex
 
 
@@ -14,6 +14,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(read(spark, sf_dir, "pages"), model).select("page_id", "url", "text", "n_chars")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(read(spark, sf_dir, "documents").select("doc_id", "text"), ~lm_score.held_out(F.col("doc_id")))
+    return scored.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("hit_items", lambda x: x.cast("string"))), ",")
@@ -55,6 +60,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_lm_score": op2_lm_score,
     "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_url_filter": op5_url_filter,
