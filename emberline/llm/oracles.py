@@ -1,3 +1,96 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, written from their definitions.
 
-SQL: dict[str, str] = {}
+Not here: op1, op2, op6 (trained models), op8 (SHA-1 in base 32, HTML), op9
+(tokenizer), op10 (binary media). Tests hold those against brute force, exact
+round trips or held-out accuracy.
+"""
+
+from __future__ import annotations
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def lowered(x: str) -> str:
+    return f"translate({x}, '{UPPER}', '{UPPER.lower()}')"
+
+
+OP3 = rf"""
+with d as (select doc_id, regexp_extract_all({lowered("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as t from documents),
+b as (select item_id, regexp_extract_all({lowered("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as t from benchmark),
+bw as (select distinct item_id, case when len(t) < 13 then t else t[k:k + 12] end as w from (select item_id, t, unnest(range(1, greatest(len(t) - 12, 1) + 1)) as k from b where len(t) > 0)),
+lens as (select distinct len(w) as n from bw),
+dw as (select doc_id, k, n, t[k:k + n - 1] as w from (select doc_id, t, n, unnest(range(1, len(t) - n + 2)) as k from d, lens where len(t) >= n)),
+hit as (select doc_id, item_id, k, n from dw join bw using (w)),
+place as (select distinct doc_id, unnest(range(k, k + n)) as p from hit),
+c as (select doc_id, count(*) as n_hit from place group by 1),
+i as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct doc_id, item_id from hit) group by 1)
+select d.doc_id, len(t)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(t) as contaminated
+from d left join c using (doc_id) left join i using (doc_id)"""
+
+OP4 = rf"""
+with recursive d as (select doc_id, regexp_extract_all({lowered("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as t from documents),
+s as (select distinct doc_id, case when len(t) < 5 then array_to_string(t, ' ') else array_to_string(t[k:k + 4], ' ') end as g from (select doc_id, t, unnest(range(1, greatest(len(t) - 4, 1) + 1)) as k from d where len(t) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+link as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+reach as (select doc_id as a, doc_id as b from n union select r.a, l.b from reach r join link l on l.a = r.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.b, d.doc_id) as component_id
+from d left join n using (doc_id) left join (select a as doc_id, min(b) as b from reach group by 1) c using (doc_id)"""
+
+_SEG = "list_filter(string_split(path, '/'), lambda x: x <> '')"
+
+
+def _raw(d: int) -> str:
+    return f"case when regexp_matches(coalesce(seg[{d}], ''), '[0-9]') then '*' else coalesce(seg[{d}], '') end as raw{d}"
+
+
+def _level(d: int) -> str:
+    parent = ", ".join(["host", *(f"t{i}" for i in range(1, d))])
+    old = f"tree{d - 1}"
+    return f"""b{d} as (select {parent}, raw{d}, sum(n) as bn, sum(lab) as bl, sum(blk) as bb from {old} group by all),
+p{d} as (select {parent}, sum(bl) as pl, sum(bb) as pb from b{d} group by all),
+v{d} as (select {parent}, raw{d}, bn, bl::double as bl, bb::double as bb, (pl - bl)::double as rl, (pb - bb)::double as rb, pl::double as pl, pb::double as pb from b{d} join p{d} using ({parent})),
+m{d} as (select {parent}, raw{d}, case when raw{d} = '' or (bn >= 5 and not coalesce(case when bl > 0 and rl > 0 then (bb / bl - rb / rl) * (bb / bl - rb / rl) <= 1.96 * 1.96 * (pb / pl * (1 - pb / pl) * (1 / bl + 1 / rl)) end, false)) then raw{d} else '*' end as t{d} from v{d}),
+tree{d} as (select {old}.*, t{d} from {old} join m{d} using ({parent}, raw{d}))"""
+
+
+OP5 = rf"""
+with u as (select page_id, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end, '') as rest from pages),
+h as (select page_id, {lowered("regexp_extract(rest, '^([^/?#]*)', 1)")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+rules as (select * from (values ('block', 'net', ''), ('allow', 'example.net', 'en/'), ('block', 'example.com', 'de/'), ('allow', 'org', 'fr/')) r(verdict, rhost, rpath)),
+fit as (select page_id, rhost || '/' || rpath as rule, verdict, row_number() over (partition by page_id order by length(rhost || '/' || rpath) desc, rhost || '/' || rpath desc) as k
+    from h join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, '/' || rpath)),
+j as (select h.page_id, host, path, rule, verdict, {_SEG} as seg from h left join (select * from fit where k = 1) f using (page_id)),
+k as (select page_id, host, path, rule, verdict, {_raw(1)}, {_raw(2)}, {_raw(3)} from j),
+tree0 as (select host, raw1, raw2, raw3, count(*) as n, count(verdict) as lab, count(*) filter (verdict = 'block') as blk from k group by all),
+{_level(1)},
+{_level(2)},
+{_level(3)},
+prior as (select coalesce(sum(blk)::double / nullif(sum(lab), 0), 0.5) as prior from tree3),
+leaf as (select host, t1, t2, t3, sum(blk)::double as blk, sum(lab)::double as lab from tree3 group by all),
+verdicts as (select host, t1, t2, t3, case when (blk + 4.0 * prior) / (lab + 4.0) >= 0.8 then 'block' else 'allow' end as tree_verdict from leaf, prior),
+named as (select host, raw1, raw2, raw3, tree_verdict, concat_ws('/', host, nullif(t1, ''), nullif(t2, ''), nullif(t3, '')) as template from tree3 join verdicts using (host, t1, t2, t3))
+select page_id, host, path, rule, coalesce(verdict, tree_verdict) as verdict, template from k join named using (host, raw1, raw2, raw3)"""
+
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = (
+    ("assign", _ASSIGN, 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32), ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 32), ("url_login", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@", 0, 1),
+)
+_FOUND = " union all ".join(
+    f"""select doc_id, {k} as o, '{kind}' as kind, i, gap, m, length(v) >= {least} as ok from (select doc_id, unnest(range(1, len(ms) + 1)) as i, unnest(gs[:len(ms)]) as gap, unnest(ms) as m, unnest(vs) as v
+    from (select doc_id, regexp_extract_all(t, '{p}', 0) as ms, regexp_extract_all(t, '{p}', {g}) as vs, string_split_regex(t, '{p}') as gs from d))"""
+    for k, (kind, p, g, least) in enumerate(_KINDS)
+)
+OP7 = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+f as ({_FOUND}),
+e as (select doc_id, o, kind, ok, sum(length(gap) + length(m)) over (partition by doc_id, o order by i) as stop, length(m) as n from f),
+s as (select doc_id, o, kind || ':' || (stop - n)::bigint || ':' || stop::bigint as span, stop - n as start from e where ok),
+a as (select doc_id, count(*) filter (o = 0) as n_assign, count(*) filter (o = 1) as n_access, count(*) filter (o = 2) as n_hex,
+    string_agg(span, ',' order by start, o) filter (o < 3) as base, string_agg(span, ',' order by start, o) as spans from s group by 1)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join a using (doc_id)"""
+
+SQL: dict[str, str] = {"op3_decontamination": OP3, "op4_jaccard_join": OP4, "op5_url_filter": OP5, "op7_secret_scan": OP7}
