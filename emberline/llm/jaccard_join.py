@@ -45,6 +45,8 @@ from .common import written
 U64 = np.uint64
 SKETCH = 8  # longs: 512 bits
 SKETCH_COLUMNS = tuple(f"s{i}" for i in range(SKETCH))
+#: Parts whose keys are odd; a pair that meets in several of them is put forward once.
+EARLY = 12
 #: Different classes a task remembers, so that copies send their keys once.
 REMEMBERED = 200_000
 
@@ -152,7 +154,8 @@ def part_keys(tokens: np.ndarray, starts: np.ndarray, config: Config) -> tuple[n
                 empty = np.setdiff1d(np.arange(count[band[row]]), part[r == row])
                 r, part, x = np.r_[r, np.full(len(empty), row)], np.r_[part, empty], np.r_[x, np.zeros(len(empty), dtype=U64)]
             rows.append(r)
-            keys.append(K.splitmix(x ^ K.splitmix((band[r] << 32 | part).astype(U64))))
+            key = K.splitmix(x ^ K.splitmix((band[r] << 32 | part).astype(U64)))
+            keys.append(key & ~U64(1) | (part < EARLY).astype(U64))
     if not rows:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
     return np.concatenate(rows), np.concatenate(keys)
@@ -277,10 +280,15 @@ def across(met: DataFrame, roots: DataFrame, classes: DataFrame, tried: DataFram
     rows = rows.select("key", "cls").unionAll(rows.select("key", F.col("hub").alias("cls")).distinct())
     rows = rows.join(roots, rows["cls"] == roots["node"], "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     held = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("key", "top")
-    rows = written(rows.join(held, "key").join(classes.select("cls", "n", *SKETCH_COLUMNS), "cls"), "mixed")
-    left = rows.where("root <> top").select("key", F.col("root").alias("a_root"), *(F.col(c).alias(f"a_{c}") for c in ("cls", "n", *SKETCH_COLUMNS)))
-    right = rows.select(F.col("key").alias("b_key"), F.col("root").alias("b_root"), "top", *(F.col(c).alias(f"b_{c}") for c in ("cls", "n", *SKETCH_COLUMNS)))
-    meets = (F.col("key") == F.col("b_key")) & (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("top")) | (F.col("a_cls") < F.col("b_cls"))) & _near("a_", "b_", config)
+    rows = written(rows.join(held, "key"), "mixed")
+    early = rows.where("key % 2 <> 0").groupBy("cls").agg(F.collect_set("key").alias("early"))  # EARLY keys in each of two bands at most
+    about = classes.join(early, "cls", "left").select("cls", "n", *SKETCH_COLUMNS, F.coalesce("early", F.array().cast("array<bigint>")).alias("early"))
+    rows, columns = rows.join(about, "cls"), ("cls", "n", *SKETCH_COLUMNS, "early")
+    left = rows.where("root <> top").select("key", F.col("root").alias("a_root"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    right = rows.select(F.col("key").alias("b_key"), F.col("root").alias("b_root"), "top", *(F.col(c).alias(f"b_{c}") for c in columns))
+    # a pair that shares a smaller early key has been put forward there
+    first = F.coalesce(F.array_min(F.array_intersect("a_early", "b_early")) >= F.col("key"), F.lit(True))
+    meets = (F.col("key") == F.col("b_key")) & (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("top")) | (F.col("a_cls") < F.col("b_cls"))) & _near("a_", "b_", config) & first
     pairs = left.join(right, meets).select(F.greatest("a_cls", "b_cls").alias("a"), F.least("a_cls", "b_cls").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 
@@ -310,6 +318,7 @@ def near_duplicates(documents: DataFrame, config: Config = Config()) -> DataFram
 def keep_one(documents: DataFrame, config: Config = Config()) -> DataFrame:
     """documents without near duplicates: of each component the row with the smallest doc_id stays, and one row of those that repeat it."""
     found = near_duplicates(documents, config)
-    lone = found.where("component_id is null or doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = documents.join(lone, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"])
+    lone = found.where("component_id is null or doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows_of_id"))
+    out = documents.join(lone, F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    single, repeated = out.where("rows_of_id = 1"), out.where("rows_of_id > 1")
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"])).select(*documents.columns)
