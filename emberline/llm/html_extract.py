@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Hash buckets of class and id words.
 BUCKETS = 4096
 
@@ -296,6 +298,7 @@ def main_text(pages: DataFrame, model: Model, column: str = "html") -> DataFrame
     kept = pages.select(*(c for c in pages.columns if c not in ("text", "n_chars")))
     names, where = [*kept.columns, "text", "n_chars"], kept.columns.index(column)
     schema = T.StructType([*kept.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

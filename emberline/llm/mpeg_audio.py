@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 # Fixed values of ISO/IEC 11172-3 and 13818-3, in kbit/s by (version 1?, layer), and Hz by version.
 BITRATES = {
     (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -263,6 +265,7 @@ def carry_texts(documents: DataFrame, keep_media: bool = False) -> DataFrame:
     """
     schema = CARRIED + (", media binary" if keep_media else "")
     fields = [x.split()[0] for x in schema.split(", ")]
+    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

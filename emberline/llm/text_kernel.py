@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; bounds what a task holds beside its Arrow batch.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def splitmix(x: np.ndarray | int) -> np.ndarray:
