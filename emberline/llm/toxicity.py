@@ -2,9 +2,9 @@
 
 Learning needs document labels only. In the first pass, Spark counts in how many
 toxic and clean training documents each word and word beginning occurs, which
-gives its log-odds. Words of toxic documents whose log-odds are surely high (a
-lower confidence bound) become the labelled toxic tokens; every other token is
-labelled clean. A two-state chain is then fitted to these labels by gradient
+gives its log-odds. Features pass a likelihood-ratio test that allows for the
+number of features tested, and for copies. Words of toxic documents with a high
+one become the labelled toxic tokens; every other token is labelled clean. A two-state chain is then fitted to these labels by gradient
 ascent on the conditional likelihood. Its unary potential is a weighted sum of a
 token's log-odds. Forward-backward marginals of all tokens make a document's
 score (noisy-or, calibrated) and its offending character offsets.
@@ -24,6 +24,7 @@ is 0; repeated rows score alike; other columns pass, but for clashing `score`,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text_kernel as K
+from .common import aside, small_batches, written
 
 PREFIXES = (3, 4, 5, 6)
 FEATURES = 1 + len(PREFIXES)
@@ -45,8 +47,10 @@ class Config:
     fit_rows: int = 10_000
     chain_rows: int = 300
     support: float = 0.002  # least share of the toxic training documents, for a feature
-    least: int = 8  # and least number of them
-    surely: float = 3.0  # lower bound of the log-odds of a labelled toxic token
+    least: int = 4  # and least number of them
+    mostly: float = 0.8  # least share of toxic documents among those that hold a feature
+    surely: float = 0.9  # least share of toxic documents among those that hold a labelled toxic token
+    chance: float = 0.1  # features expected to pass the test by chance
     span_at: float = 0.5  # marginal of a token inside a reported span
     steps: int = 60
 
@@ -82,7 +86,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def feature_counts(training: DataFrame) -> DataFrame:
-    """feature, toxic, clean: in how many rows of training (text, toxic) it occurs. Summed within each task first."""
+    """feature, toxic, clean: in how many rows of training (text, toxic) it occurs; before: which of 64 hashes the words before it in toxic rows have, as bits. Summed within each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,24 +94,28 @@ def feature_counts(training: DataFrame) -> DataFrame:
             for at, to, data, offsets in K.slices(batch.column(0)):
                 _, _, hashes, first = _features(data, offsets)
                 row = np.repeat(np.arange(to - at), np.diff(first))
-                row = np.tile(row, FEATURES)
+                previous = np.r_[K.U64(0), hashes[0][:-1]][: len(hashes[0])]
+                previous[first[:-1][np.diff(first) > 0]] = 0
+                bit = K.U64(1) << (previous >> K.U64(58))
+                row, bit = np.tile(row, FEATURES), np.tile(bit, FEATURES)
                 every = np.concatenate(hashes)
                 keep = every != 0
-                every, row = every[keep], row[keep]
+                every, row, bit = every[keep], row[keep], bit[keep]
                 order = np.lexsort((row, every))
-                every, row = every[order], row[order]
+                every, row, bit = every[order], row[order], bit[order]
                 new = np.ones(len(every), dtype=bool)
                 new[1:] = (every[1:] != every[:-1]) | (row[1:] != row[:-1])
-                every, label = every[new], toxic[at:to][row[new]]
+                every, label, bit = every[new], toxic[at:to][row[new]], bit[new]
                 if not len(every):
                     continue
                 head = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
                 bad = np.add.reduceat(label, head)
+                before = np.bitwise_or.reduceat(np.where(label == 1, bit, K.U64(0)), head)
                 n = np.diff(np.r_[head, len(every)])
-                yield pa.RecordBatch.from_arrays([pa.array(every[head].view(np.int64)), pa.array(bad), pa.array(n - bad)], names=["feature", "toxic", "clean"])
+                yield pa.RecordBatch.from_arrays([pa.array(every[head].view(np.int64)), pa.array(bad), pa.array(n - bad), pa.array(before.view(np.int64))], names=["feature", "toxic", "clean", "before"])
 
-    counts = training.select("text", "toxic").mapInArrow(run, "feature long, toxic long, clean long")
-    return counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = training.select("text", "toxic").mapInArrow(run, "feature long, toxic long, clean long, before long")
+    return counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("before").alias("before"))
 
 
 # --- the chain
@@ -203,14 +211,27 @@ def _fit_chain(model: Model, texts: list[tuple[str, int]], config: Config) -> No
     model.weights, model.transition = theta[: FEATURES + 1], np.array([[0.0, theta[-3]], [theta[-2], theta[-1]]])
     p, _, _ = marginals(x @ theta[:FEATURES] + theta[FEATURES], first, model.transition)
     z, target = _evidence(p, first), np.array([y for _, y in texts], dtype=float)
-    a, b = 0.0, 1.0
-    for _ in range(40):  # Newton with a ridge; two numbers
-        s = 1 / (1 + np.exp(-np.clip(a + b * z, -30, 30)))
-        w = np.maximum(s * (1 - s), 1e-6)
-        grad = np.array([(target - s).sum() - 0.1 * a, ((target - s) * z).sum() - 0.1 * (b - 1)])
-        hess = np.array([[w.sum() + 0.1, (w * z).sum()], [(w * z).sum(), (w * z * z).sum() + 0.1]])
-        a, b = np.array([a, b]) + np.clip(np.linalg.solve(hess, grad), -2, 2)
-    model.calibration = (float(a), float(b))
+    model.calibration = _calibrated(z, target)
+
+
+def _calibrated(z: np.ndarray, target: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of a logistic fit of target on z: Newton steps, halved until the penalised likelihood rises."""
+
+    def loss(at: np.ndarray) -> float:
+        x = at[0] + at[1] * z
+        return float((np.logaddexp(0, x) - target * x).sum() + 0.05 * at[0] ** 2 + 0.05 * (at[1] - 1) ** 2)
+
+    at = np.array([0.0, 1.0])
+    for _ in range(50):
+        s = 1 / (1 + np.exp(-np.clip(at[0] + at[1] * z, -30, 30)))
+        w = s * (1 - s)
+        grad = np.array([(s - target).sum() + 0.1 * at[0], ((s - target) * z).sum() + 0.1 * (at[1] - 1)])
+        step = np.linalg.solve(np.array([[w.sum() + 0.1, (w * z).sum()], [(w * z).sum(), (w * z * z).sum() + 0.1]]), grad)
+        size = 1.0
+        while size > 1e-6 and loss(at - size * step) > loss(at):
+            size /= 2
+        at = at - size * step
+    return float(at[0]), float(at[1])
 
 
 def _evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -234,12 +255,21 @@ def train(documents: DataFrame, labels: DataFrame, config: Config = Config()) ->
     share = {c: min(n, config.fit_rows) for c, n in classes.items()}
     least = max(config.least, round(config.support * share[1]))
     odds = F.log((F.col("toxic") + 0.5) / (share[1] + 1)) - F.log((F.col("clean") + 0.5) / (share[0] + 1))
-    spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    rows = feature_counts(training).where(F.col("toxic") >= least).select("feature", odds.alias("odds"), (odds - 2 * spread).alias("low")).where("low > 1").orderBy("feature").collect()
+    counts = written(feature_counts(training), "features")
+    # copies repeat a word with the word before it: of 64 hashes of the latter, how many are seen tells how many uses are independent
+    seen = F.bit_count("before")
+    used = F.when(seen < 64, F.least(F.col("toxic").cast("double"), -64 * F.log(1 - F.least(seen, F.lit(63)) / 64))).otherwise(F.col("toxic").cast("double"))
+    counts = counts.select("feature", used.alias("toxic"), F.col("clean").cast("double").alias("clean"))
+    rate = share[1] / (share[0] + share[1])
+    part = lambda n, q: F.when(n > 0, n * F.log(n / (F.col("toxic") + F.col("clean")) / q)).otherwise(0.0)
+    gain = part(F.col("toxic"), rate) + part(F.col("clean"), 1 - rate)  # log-likelihood ratio against the classes' mixture
+    tested = math.log(max(1, counts.count()) / config.chance)
+    bad, good = F.col("toxic") * (classes[1] / share[1]), F.col("clean") * (classes[0] / share[0])  # of all training documents
+    rows = counts.where((F.col("toxic") >= least) & (odds > 1) & (gain >= tested)).select("feature", odds.alias("odds"), (bad / (bad + good)).alias("purity")).where(F.col("purity") >= config.mostly).orderBy("feature").collect()
     keys = np.array([r["feature"] for r in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     model.keys, model.odds = keys[order], np.clip(np.array([r["odds"] for r in rows]), 0, 10)[order]
-    model.sure = np.array([r["low"] >= config.surely for r in rows], dtype=bool)[order]
+    model.sure = np.array([r["purity"] >= config.surely for r in rows], dtype=bool)[order]
     model.bitmap[(model.keys & _MASK).astype(np.int64)] = True
     few = F.when(F.col("toxic") == 1, config.chain_rows / share[1]).otherwise(config.chain_rows / share[0])
     again = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.lit(1 << 30)) / (1 << 30)
@@ -255,6 +285,7 @@ ADDED = ("score", "predicted", "toxic_spans")
 def tag(documents: DataFrame, model: Model, config: Config = Config()) -> DataFrame:
     """documents with score, predicted (score >= 0.5) and toxic_spans: characters from start to end whose tokens have marginals of span_at or more."""
     kept = documents.select(*(c for c in documents.columns if c not in ADDED))
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())])))])
     names, where, span_at = [*kept.columns, *ADDED], kept.columns.index("text"), config.span_at
@@ -282,6 +313,12 @@ def tag(documents: DataFrame, model: Model, config: Config = Config()) -> DataFr
     return kept.mapInArrow(run, schema)
 
 
+def reject(documents: DataFrame, labels: DataFrame, config: Config = Config()) -> DataFrame:
+    """documents without those predicted toxic; all their columns as they were."""
+    clear, back = aside(documents, ADDED)
+    return toxicity(clear, labels, config).where("predicted = 0").select(*back)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, config: Config = Config()) -> DataFrame:
     """train(), then tag() every row."""
     return tag(documents, train(documents, labels, config), config)
