@@ -18,7 +18,7 @@ from emberline.llm.common import read, written
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of docs that the tagger, trained on the labelled ones among docs, does not reject."""
-    return toxicity.toxicity(docs, read(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    return toxicity.reject(docs, read(spark, sf_dir, "labels"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Benchmark decontamination by exact word windows.
 
 Benchmark items become windows of `n` consecutive normalised words (a shorter
-item is one window). Training texts are scanned window by window against a
-broadcast hash set of them; a hash hit counts only if the words are equal.
+item is one window). Training texts are scanned against a broadcast
+hash set of them, keyed by each window's longest word; a hash hit counts only if
+the words of the whole window are equal.
 Everything is DataFrame operations.
 
 The broadcast side is the benchmark, whose windows are counted first: above
@@ -19,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, aside, checked, written
 
 WINDOW = 13
+OWN = ("n_words", "n_hit", "hit_items", "hit_words", "contaminated", "th_", "hit_doc", "th")
 #: Most benchmark windows that are broadcast: some 200 bytes each, so 200 MB.
 BROADCAST_WINDOWS = 1_000_000
 #: After A-Z are lower-cased, the same words as [^\x00-\x2F\x3A-\x60\x7B-\x7F]+; Java matches this form six times as fast.
@@ -39,32 +41,47 @@ def windows(tokens: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """len, w, items (the ids that hold the window), h; one row for each different window."""
+    """len, w, items (the ids that hold the window), anchor (its longest word) and at (where in w); one row for each different window."""
     b = benchmark.select("item_id", words(F.col("text")).alias("tokens")).where("size(tokens) > 0")
     long = b.where(F.size("tokens") >= n).select("item_id", F.explode(F.transform(windows(F.col("tokens"), n), lambda x: x["w"])).alias("w"))
     short = b.where(F.size("tokens") < n).select("item_id", F.col("tokens").alias("w"))
-    return long.unionAll(short).groupBy("w").agg(F.collect_set("item_id").alias("items")).select(F.size("w").alias("len"), "w", "items", F.xxhash64("w").alias("h"))
+    out = long.unionAll(short).groupBy("w").agg(F.collect_set("item_id").alias("items"))
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    return out.select(F.size("w").alias("len"), "w", "items", longest.alias("anchor")).withColumn("at", F.array_position("w", F.col("anchor")).cast("int"))
+
+
+def _scan_broadcast(d: DataFrame, grams: DataFrame) -> DataFrame:
+    """Hits by the broadcast set, keyed by the windows' longest words: such a word in a text names the windows that may lie around it, and the words there decide. A text's words are not copied for this: probe and comparison run inside one generated loop."""
+    probe = d.select("doc_id", "th", "tokens", F.posexplode("tokens").alias("i", "word"))
+    start = F.col("i") + 2 - F.col("at")
+    there = F.slice(F.col("tokens"), F.greatest(start, F.lit(1)), F.col("len")) == F.col("w")
+    keyed = F.broadcast(grams.withColumn("h", F.xxhash64("anchor")))
+    return probe.join(keyed, (F.xxhash64("word") == F.col("h")) & (start >= 1) & there).select("doc_id", "th", F.size("tokens").alias("size"), start.alias("pos"), "len", "items")
+
+
+def _scan_shuffled(d: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same hits for a set too large to broadcast: every window of every text meets the set by its hash, then by its words."""
+    none = F.array().cast("array<struct<pos:int,w:array<string>>>")
+    every = F.concat(*(F.coalesce(windows(F.col("tokens"), k), none) for k in lengths))
+    scanned = d.select("doc_id", "th", F.size("tokens").alias("size"), F.explode(every).alias("x")).select("doc_id", "th", "size", "x.pos", F.col("x.w").alias("dw"))
+    keyed = grams.withColumn("h", F.xxhash64("w"))
+    return scanned.join(keyed, (F.xxhash64("dw") == F.col("h")) & (F.col("dw") == F.col("w"))).select("doc_id", "th", "size", "pos", "len", "items")
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, th (hash of the text), hit_words (array of word positions from 1), items (array); rows with hits only, one for each (doc_id, th)."""
+    """doc_id, th (hash of the text), size (words), hit_words (array of word positions from 1), items (array); rows with hits only, one for each (doc_id, th)."""
     grams = written(benchmark_windows(benchmark, n), "benchmark-windows")
     sizes = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most n rows
-    grams = F.broadcast(grams) if sum(sizes.values()) <= broadcast_windows else grams
     d = documents.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("tokens"))
-    lengths = sorted(sizes) or [n]
-    every = windows(F.col("tokens"), lengths[0]) if len(lengths) == 1 else F.concat(*(F.coalesce(windows(F.col("tokens"), k), F.array().cast("array<struct<pos:int,w:array<string>>>")) for k in lengths))
-    scanned = d.select("doc_id", "th", F.explode(every).alias("x")).select("doc_id", "th", "x.pos", F.col("x.w").alias("dw"))
-    hit = scanned.join(grams, (F.xxhash64(scanned["dw"]) == grams["h"]) & (scanned["dw"] == grams["w"]))
-    hit = hit.select("doc_id", "th", F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1).alias("at"), "items")
-    return hit.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hit_words"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    hit = _scan_broadcast(d, grams) if sum(sizes.values()) <= broadcast_windows else _scan_shuffled(d, grams, sorted(sizes))
+    hit = hit.select("doc_id", "th", "size", F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1).alias("at"), "items")
+    return hit.groupBy("doc_id", "th").agg(F.max("size").alias("size"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hit_words"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, least_share: int = 20) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, least_share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """documents with n_words, n_hit (words inside any hit window), hit_items (array) and contaminated: n_hit > 0 and least_share * n_hit >= n_words."""
-    own = ("n_words", "n_hit", "hit_items", "hit_words", "contaminated")
-    kept = documents.select(*(c for c in documents.columns if c not in own))
-    found = hits(documents, benchmark, n).withColumnsRenamed({"doc_id": "hit_doc", "items": "hit_items"})
+    kept = documents.select(*(c for c in documents.columns if c.lower() not in OWN))
+    found = hits(documents, benchmark, n, broadcast_windows).select(F.col("doc_id").alias("hit_doc"), "th", "hit_words", F.col("items").alias("hit_items"))
     d = kept.withColumns({"th_": F.xxhash64("text"), "n_words": F.size(words(F.col("text"))).cast("long")})
     out = d.join(found, d["doc_id"].eqNullSafe(found["hit_doc"]) & (d["th_"] == found["th"]), "left")
     n_hit = F.coalesce(F.size("hit_words"), F.lit(0)).cast("long")
@@ -73,13 +90,20 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, l
 
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, least_share: int = 20) -> DataFrame:
-    """documents without the contaminated ones."""
-    return contamination(documents, benchmark, n, least_share).where("not contaminated").select(*documents.columns)
+    """documents without the contaminated ones; all their columns as they were.
+
+    Only the contaminated ones' keys are joined back, so texts need not travel while these are few.
+    """
+    clear, back = aside(documents, OWN)
+    bad = hits(clear, benchmark, n).where(least_share * F.size("hit_words") >= F.col("size")).select(F.col("doc_id").alias("hit_doc"), "th")
+    bad = checked(bad, "contaminated")
+    return clear.join(bad, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.xxhash64("text") == F.col("th")), "left_anti").select(*back)
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """documents whose hit words are cut out: the text becomes its other normalised words, joined by spaces. Texts without hits stay as they are."""
-    c = contamination(documents, benchmark, n)
+    clear, back = aside(documents, OWN)
+    c = contamination(clear, benchmark, n)
     tokens = words(F.col("text"))
     rest = F.array_join(F.filter(tokens, lambda w, i: ~F.array_contains("hit_words", i + 1)), " ")
-    return c.withColumn("text", F.when(F.col("n_hit") > 0, rest).otherwise(F.col("text"))).select(*documents.columns)
+    return c.withColumn("text", F.when(F.col("n_hit") > 0, rest).otherwise(F.col("text"))).select(*back)

@@ -14,7 +14,7 @@ say nothing and are left out where enough others must agree; where a set has so
 many that they might be needed, they are keys too. So no link is lost.
 
 Verification without all pairs. In a bucket each class is held against the
-smallest class only, first by a 512-bit sketch, then exactly. Links give
+smallest class only, first by sketches of 512 and 2048 bits, then exactly. Links give
 components. Only where a bucket still holds several components are pairs across
 them held together, the largest component's members never with each other. All
 candidate pairs are then either verified or inside one component, so components
@@ -40,11 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_kernel as K
-from .common import written
+from .common import aside, checked, small_batches, written
 
 U64 = np.uint64
 SKETCH = 8  # longs: 512 bits
 SKETCH_COLUMNS = tuple(f"s{i}" for i in range(SKETCH))
+WIDE = 4 * SKETCH  # longs of the finer sketch, which folds into the other
 #: Parts whose keys are odd; a pair that meets in several of them is put forward once.
 EARLY = 12
 #: Different classes a task remembers, so that copies send their keys once.
@@ -121,8 +122,8 @@ def class_ids(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def sketches(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """rows x SKETCH longs: each token flips one of the row's 512 bits."""
-    rows, bits = len(starts) - 1, SKETCH * 64
+    """rows x WIDE longs: each token flips one of the row's 2048 bits. XOR of the four quarters is the 512-bit sketch."""
+    rows, bits = len(starts) - 1, WIDE * 64
     row = np.repeat(np.arange(rows), np.diff(starts))
     flips = np.bincount(row * bits + (tokens & U64(bits - 1)).astype(np.int64), minlength=rows * bits) & 1
     return np.packbits(flips.astype(np.uint8).reshape(rows, bits), axis=1).view(np.int64)
@@ -173,11 +174,14 @@ def members(documents: DataFrame, config: Config) -> DataFrame:
         for batch in batches:
             for at, to, data, offsets in K.slices(batch.column(1)):
                 tokens, starts = shingle_sets(data, offsets, words)
-                n, sketch = np.diff(starts), sketches(tokens, starts)
+                n, wide = np.diff(starts), sketches(tokens, starts)
+                sketch = np.bitwise_xor.reduce(wide.reshape(-1, 4, SKETCH), axis=1)
+                finer = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WIDE), pa.array(wide.ravel()))
                 cls = pa.array(class_ids(tokens, starts).view(np.int64), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n), cls, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH))], names=["doc_id", "n_shingles", "cls", *SKETCH_COLUMNS])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n), cls, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH)), finer], names=["doc_id", "n_shingles", "cls", *SKETCH_COLUMNS, "wide"])
 
-    schema = "doc_id long, n_shingles long, cls long, " + ", ".join(f"{s} long" for s in SKETCH_COLUMNS)
+    schema = "doc_id long, n_shingles long, cls long, " + ", ".join(f"{s} long" for s in SKETCH_COLUMNS) + ", wide array<long>"
+    small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -229,6 +233,14 @@ def _near(a: str, b: str, config: Config) -> Column:
     return (100 * F.least(na, nb) >= config.percent * F.greatest(na, nb)) & (distance * (100 + config.percent) <= (na + nb) * (100 - config.percent))
 
 
+def closer(pairs: DataFrame, classes: DataFrame, config: Config) -> DataFrame:
+    """The pairs (a, b) that the finer sketches allow too. It spares most pairs just below the threshold the journey of their whole sets."""
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    distance = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(distance * (100 + config.percent) <= (F.col("na") + F.col("nb")) * (100 - config.percent)).select("a", "b")
+
+
 def _named(classes: DataFrame, prefix: str) -> DataFrame:
     return classes.select(F.col("cls").alias(f"{prefix}cls"), F.col("n").alias(f"{prefix}n"), *(F.col(s).alias(f"{prefix}{s}") for s in SKETCH_COLUMNS))
 
@@ -237,7 +249,7 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, config:
     """The pairs (a, b) of classes that link, by their whole sets, which are made again from one text of each class."""
     words = config.words
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    texts = classes.join(needed, "cls", "left_semi").select(F.col("first_doc").alias("doc"))
+    texts = checked(classes.join(needed, "cls", "left_semi").select(F.col("first_doc").alias("doc")), "needed")
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = chosen.join(texts, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi").select("text")
 
@@ -296,15 +308,15 @@ def across(met: DataFrame, roots: DataFrame, classes: DataFrame, tried: DataFram
 def near_duplicates(documents: DataFrame, config: Config = Config()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
     rows = written(members(documents, config), "members")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in SKETCH_COLUMNS))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in (*SKETCH_COLUMNS, "wide")))
     classes = written(classes, "classes")
     met = written(buckets(documents, config), "buckets")
     stars = met.select(F.col("cls").alias("a_cls"), F.col("hub").alias("b_cls")).distinct()
     tried = stars.join(_named(classes, "a_"), "a_cls").join(_named(classes, "b_"), "b_cls").where(_near("a_", "b_", config))
-    tried = written(tried.select(F.greatest("a_cls", "b_cls").alias("a"), F.least("a_cls", "b_cls").alias("b")).distinct(), "stars")
+    tried = written(closer(tried.select(F.greatest("a_cls", "b_cls").alias("a"), F.least("a_cls", "b_cls").alias("b")).distinct(), classes, config), "stars")
     links = written(verified(tried, documents, classes, config), "links")
     roots = written(components(links), "roots")
-    more = written(across(met, roots, classes, tried, config), "across")
+    more = written(closer(across(met, roots, classes, tried, config), classes, config), "across")
     if not more.isEmpty():
         links = links.unionAll(verified(more, documents, classes, config))
         roots = written(components(links), "roots")
@@ -318,7 +330,15 @@ def near_duplicates(documents: DataFrame, config: Config = Config()) -> DataFram
 def keep_one(documents: DataFrame, config: Config = Config()) -> DataFrame:
     """documents without near duplicates: of each component the row with the smallest doc_id stays, and one row of those that repeat it."""
     found = near_duplicates(documents, config)
-    lone = found.where("component_id is null or doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows_of_id"))
-    out = documents.join(lone, F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    single, repeated = out.where("rows_of_id = 1"), out.where("rows_of_id > 1")
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"])).select(*documents.columns)
+    stays = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
+    ids = written(found.groupBy("doc_id").agg(F.max(stays).alias("stays"), F.count("*").alias("n")), "ids")
+    # those that go are the fewer, so texts need not travel while their ids can be broadcast
+    gone = checked(ids.where("not stays").select(F.col("doc_id").alias("gone_id")), "gone")
+    clear, back = aside(documents, ("gone_id", "repeated_id"))
+    out = clear.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    repeated = ids.where("stays and n > 1").select(F.col("doc_id").alias("repeated_id"))
+    if repeated.isEmpty():
+        return out.select(*back)
+    same = F.col("doc_id").eqNullSafe(F.col("repeated_id"))
+    single, several = out.join(repeated, same, "left_anti"), out.join(repeated, same, "left_semi")
+    return single.unionByName(several.dropDuplicates(["doc_id", "text"])).select(*back)

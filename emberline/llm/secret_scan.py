@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sha256_hex, written
+from .common import aside, sha256_hex, written
 
 
 @dataclass(frozen=True)
@@ -112,8 +112,10 @@ def scan(documents: DataFrame, rules: tuple[SecretRule, ...] = RULES, ledger: st
         fresh = written(unseen.select("blob").join(found, "blob", "left").select("blob", F.coalesce("findings", F.array().cast(found.schema["findings"].dataType)).alias("findings")).unionAll(clean), "ledger-new")
         fresh.withColumn("rule_version", F.lit(version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
         findings = (fresh if known is None else known.unionAll(fresh)).where(F.size("findings") > 0)
-    paths = kept.withColumn("blob", sha256_hex(whole))
-    return paths.join(findings, "blob", "left").select(*kept.columns, "blob", F.coalesce("findings", F.array().cast(found.schema["findings"].dataType)).alias("findings"))
+    # paths whose text can hold nothing need no join, so their texts don't travel
+    paths, none = kept.withColumn("blob", sha256_hex(whole)), F.array().cast(found.schema["findings"].dataType)
+    held = paths.where(any_gate).join(findings, "blob", "left").select(*kept.columns, "blob", F.coalesce("findings", none).alias("findings"))
+    return held.unionAll(paths.where(~any_gate).select(*kept.columns, "blob", none.alias("findings")))
 
 
 def joined_spans(findings: Column) -> Column:
@@ -126,7 +128,8 @@ def redact(documents: DataFrame, rules: tuple[SecretRule, ...] = RULES, mark: st
 
     Documents without findings stay as they are, null texts included.
     """
-    found = scan(documents, rules)
+    clear, back = aside(documents, ("blob", "findings"))
+    found = scan(clear, rules)
     # overlapping spans are merged; findings are sorted by start
     def join_span(acc, s):
         overlaps = (F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"])
@@ -142,4 +145,4 @@ def redact(documents: DataFrame, rules: tuple[SecretRule, ...] = RULES, mark: st
     )
     text = F.when(F.size("findings") > 0, cut).otherwise(F.col("text"))
     out = found.withColumn("text", text).withColumn("n_chars", F.when(F.size("findings") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+    return out.select(*back)
