@@ -47,7 +47,7 @@ SKETCH = 8  # longs: 512 bits
 SKETCH_COLUMNS = tuple(f"s{i}" for i in range(SKETCH))
 WIDE = 4 * SKETCH  # longs of the finer sketch, which folds into the other
 #: Parts whose keys are odd; a pair that meets in several of them is put forward once.
-EARLY = 12
+EARLY = 6
 #: Different classes a task remembers, so that copies send their keys once.
 REMEMBERED = 200_000
 
