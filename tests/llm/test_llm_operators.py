@@ -94,6 +94,33 @@ def test_scores_of_odd_texts_are_finite_and_equal_for_equal_texts(spark):
     assert lm_score.score(d.limit(0), F.lit(True)).count() == 0
 
 
+def test_context_counts_cover_every_training_row_and_the_mixers_rows_grow(spark):
+    texts = [f"{i:o} {i * i:x} row" for i in range(60)]
+    d = documents(spark, texts)
+    model = lm_score.train(d)
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    rows = lm_score.contexts(data, offsets, *lm_score.stream(data, offsets, model.table))
+    assert all(model.known[r].all() for r in rows)
+    config = lm_score.Config(mixer_share=0.25, mixer_rows=10)
+    for n in (2000, 8000):
+        many = spark.range(n).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+        halves = {r["half"]: r["n"] for r in lm_score.mixer_halves(many, n, config)[0].groupBy("half").agg(F.count("*").alias("n")).collect()}
+        assert all(abs(halves[h] / n - 0.125) < 0.03 for h in (0, 1)) and sum(halves.values()) == n
+
+
+def test_each_half_of_the_mixers_rows_is_blind_to_itself(spark):
+    rows = spark.createDataFrame([("aaaa", 0), ("bbbb", 1), ("cccc", None)], "text string, half int")
+    byte_counts = np.bincount(np.frombuffer(b"aaaabbbbcccc", dtype=np.uint8), minlength=256)
+    table = lm_score.symbol_table(byte_counts)
+    children = lm_score.code(np.bincount(table, weights=byte_counts, minlength=lm_score.SYMBOLS))[3]
+    seen = []
+    for v in lm_score.context_votes(rows, table, children):
+        at = [int(table[ord(x)]) * (1 + lm_score.SYMBOLS) for x in "abc"]
+        seen.append([bool(v[i].any()) for i in at])
+    assert seen == [[True, True, True], [False, True, True], [True, False, True]]
+
+
 def test_symbol_code_is_a_probability():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 1000, lm_score.SYMBOLS)
