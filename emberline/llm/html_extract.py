@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -159,7 +160,7 @@ def features(dom: Dom) -> list[list[str]]:
             continue
         f = [f"tag={tag if tag in KINDS else 'other'}"]
         if dom.names[i]:
-            f += {f"name={int.from_bytes(w.encode()[:16], 'big') % BUCKETS}" for w in _WORD.findall(dom.names[i].lower())}
+            f += {f"name={zlib.crc32(w.encode()) % BUCKETS}" for w in _WORD.findall(dom.names[i].lower())}
         if tag != "#text":
             f.append(f"links={min(4, 5 * linked[i] // max(1, size))}")
             f.append(f"share={min(4, 5 * size // total)}")

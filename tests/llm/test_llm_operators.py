@@ -58,6 +58,24 @@ def test_held_out_pages(page_model):
     assert sum(html_extract.extract(p, page_model) == t for p, t in pages) >= 85
 
 
+def test_most_held_out_layouts_are_exact(page_model):
+    pages = [html_labelled.labelled_page(i) for i in range(5000, 5400)]
+    assert sum(html_extract.extract(p, page_model) == t for p, t in pages) >= 374
+
+
+def test_a_class_name_alone_decides(page_model):
+    text = "Tona rebi sako, mu leti. Nare kosi bu lamo ne tira."
+    for kind in ("comment", "advertisement", "consent", "banner", "newsletter"):
+        page = f"<body><div class=content><p>{text}</p><div class={kind}><p>{text[::-1]}</p></div></div></body>"
+        assert html_extract.extract(page, page_model) == text, kind
+
+
+def test_class_words_have_buckets_of_their_own():
+    words = "content comment advertisement consent header footer banner newsletter container wrapper main login post list article title sidebar navbar".split()
+    buckets = {f for w in words for f in html_extract.features(html_extract.parse(f"<div class={w}>x</div>"))[1] if f.startswith("name=")}
+    assert len(buckets) == len(words)
+
+
 def test_tree_marginals_by_enumeration(page_model):
     dom = html_extract.parse("<div class=ad><p>one two.</p></div><article><p>three, four.</article>")
     n, default = len(dom.tag), page_model.pair["*"]
