@@ -21,6 +21,29 @@ def event_stream(spark: SparkSession, path: str, files_a_trigger: int = 1) -> Da
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def time_sliced(spark: SparkSession, path: str, rows_a_slice: int = 1_000_000) -> str:
+    """A folder with the table of events in slices of time, a file each, whose modification times follow the events' time.
+
+    event_stream() over it replays the table in time order, whatever rows the
+    table's own files hold, so no row is late and a trigger holds one slice.
+    """
+    rows = spark.read.parquet(path)
+    root = f"{shared_dir(spark)}/slices-{uuid.uuid4().hex}"
+    slices = max(1, -(-rows.count() // rows_a_slice))
+    rows.repartitionByRange(slices, "ts", "event_id").write.parquet(root)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: int(p.getName().split("-")[1]))
+    newest = fs.getFileStatus(files[-1]).getModificationTime() if files else 0
+    for k, file in enumerate(files):
+        # whole seconds, as not every file system keeps parts of one
+        set_to = (newest // 1000 - len(files) + k) * 1000
+        fs.setTimes(file, set_to, -1)
+        if fs.getFileStatus(file).getModificationTime() != set_to:
+            raise RuntimeError(f"{root}: the file system keeps no modification times, so slices can't be replayed in order")
+    return root
+
+
 def tumbling(events: DataFrame, late: str = "1 hour", size: str = "1 hour") -> DataFrame:
     g = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("v"))
     return g.select(F.col("w.start").alias("start"), "n", "v")

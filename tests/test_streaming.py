@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberline.operators import features
+from emberline.plans import queries
 from emberline.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -49,3 +51,26 @@ def test_ewma_state_spans_files(spark, tmp_path):
     files(spark, path, [[(1, 5, 1, "a", 1.0)], [(2, 6, 1, "a", 2.0)]])
     got = jobs.run_to_tier(jobs.ewma(jobs.event_stream(spark, path)), "w", "update", lambda rows: rows.groupBy("user_id").agg(F.max_by("ewma", "batch").alias("ewma")))
     assert [(r["user_id"], round(r["ewma"], 9)) for r in got.collect()] == [(1, 1.3)]
+
+
+@pytest.fixture(scope="module")
+def overlapping(spark, tmp_path_factory):
+    """The same events as one file, and as three files of which each spans all the time."""
+    root = tmp_path_factory.mktemp("overlap")
+    rows = [(i, 45 * i, i % 2, ("click", "error", "view")[i % 7 % 3], float(i * i % 11)) for i in range(120)]
+    files(spark, str(root / "one" / "events.parquet"), [rows])
+    files(spark, str(root / "three" / "events.parquet"), [[x for x in rows if x[0] % 3 == k] for k in (2, 0, 1)])
+    return root
+
+
+@pytest.mark.parametrize("name", ["j1_stream_tumbling", "j2_stream_sessions", "j3_stream_dedup", "j4_stream_join", "j5_stream_ewma"])
+def test_files_that_overlap_in_time_lose_no_row(spark, overlapping, name):
+    one, three = (sorted(map(tuple, queries.QUERIES[name](spark, str(overlapping / x)).collect())) for x in ("one", "three"))
+    assert one and three == one
+
+
+def test_slices_are_replayed_in_time_order(spark, overlapping):
+    sliced = jobs.time_sliced(spark, str(overlapping / "three" / "events.parquet"), rows_a_slice=25)
+    got = jobs.run_to_tier(jobs.deduplicated(jobs.event_stream(spark, sliced)), "sliced", fold=lambda rows: rows)
+    seen = [(r["ts"], r["batch"]) for r in got.orderBy("ts").collect()]
+    assert len(seen) == 120 and len({b for _, b in seen}) > 3 and [b for _, b in seen] == sorted(b for _, b in seen)
