@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, Config
 from emberline.functions.numeric import rounded
+from emberline.streaming.jobs import shared_dir
 
 
 def tumbling(events: DataFrame, size: str = "1 hour") -> DataFrame:
@@ -45,24 +49,87 @@ def differenced(events: DataFrame, lag: int = 3) -> DataFrame:
     return events.select("event_id", (F.col("value") - F.lag("value", lag).over(_by_tag())).alias("diff"))
 
 
-def ewma_last(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The last exponentially weighted mean of each user: a fold over the user's readings in time order."""
-    a = config.ewma_alpha
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
-    values = F.transform(ordered, lambda x: x["value"])
-    fold = F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1), lambda acc, v: F.lit(a) * v + F.lit(1 - a) * acc)
-    return events.where("value is not null").groupBy("user_id").agg(fold.alias("ewma"))
+#: Rows of a chunk of the exponentially weighted means: what one group holds in a task.
+CHUNK_ROWS = 200_000
+#: A reading's weight behind so many missing ones is 0 in double precision.
+LONGEST_GAP = 10_000
 
 
-def ewma_series(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The exponentially weighted mean after each reading of a user. A user's series must fit one task: a sensor's, not the plant's."""
+def _ewma_by_chunks(events: DataFrame, config: Config, chunk_rows: int) -> DataFrame:
+    """events (event_id, user_id, ts, value) with ewma, the mean after each reading.
+
+    Rows are ranged by user and time into chunks of about chunk_rows, so a long
+    series lies in many. A chunk maps the mean before it, e, to last + decay *
+    (e' - first), where e' is the mean after its first reading. These maps of
+    series that lie in several chunks (two a chunk at most) are folded on the
+    driver, and every chunk then starts from the mean before it. Missing
+    readings count as steps, and repeat the mean.
+    """
     a = config.ewma_alpha
+    spark = events.sparkSession
+    root = f"{shared_dir(spark)}/ewma-{uuid.uuid4().hex}"
+    # a chunk can hold several users: as text, the names of users stay exact beside a null one
+    rows = events.select("event_id", F.col("user_id").cast("string").alias("user"), "ts", "value", "user_id")
+    rows = rows.repartitionByRange(max(1, -(-events.count() // chunk_rows)), "user_id", "ts", "event_id").drop("user_id")
+    rows.withColumn("chunk", F.spark_partition_id()).write.parquet(root)
+    chunks = spark.read.parquet(root)
+
+    def kept(w: np.ndarray) -> np.ndarray:
+        """How much of the mean stays, when a reading comes w steps behind the one before."""
+        old = (1 - a) ** w
+        return old / (old + a)
+
+    def maps(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for user, one in pdf.sort_values(["ts", "event_id"]).groupby("user", dropna=False):
+            v = one["value"].to_numpy(dtype=float)
+            at = np.flatnonzero(~np.isnan(v))
+            some = len(at) > 0
+            last = one["value"].ewm(alpha=a, adjust=False).mean().iloc[-1] if some else None
+            decay = float(np.prod(kept(np.diff(at)))) if some else None
+            out.append((int(pdf["chunk"].iloc[0]), None if pd.isna(user) else user, int(at[0]) if some else len(v), float(v[at[0]]) if some else None, last, decay, len(v) - 1 - int(at[-1]) if some else len(v)))
+        return pd.DataFrame(out, columns=["chunk", "user", "lead", "first", "last", "decay", "trail"])
+
+    found = chunks.groupBy("chunk").applyInPandas(maps, "chunk int, user string, lead long, first double, last double, decay double, trail long")
+    split = found.withColumn("parts", F.count("*").over(Window.partitionBy("user"))).where("parts > 1")
+    before: dict[tuple[int, str | None], tuple[float, int]] = {}
+    state: dict[str | None, tuple[float, int]] = {}  # mean, and missing readings since
+    for r in sorted(split.collect(), key=lambda r: r["chunk"]):
+        had = state.get(r["user"])
+        if had:
+            before[r["chunk"], r["user"]] = had
+        if r["first"] is None:
+            if had:
+                state[r["user"]] = (had[0], had[1] + r["trail"])
+            continue
+        last = r["last"]
+        if had:
+            last += r["decay"] * float(kept(np.float64(had[1] + r["lead"] + 1))) * (had[0] - r["first"])
+        state[r["user"]] = (last, r["trail"])
+    shared = spark.sparkContext.broadcast(before)
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, chunk, parts = pdf.sort_values(["ts", "event_id"]), int(pdf["chunk"].iloc[0]), []
+        for user, one in pdf.groupby("user", dropna=False):
+            had = shared.value.get((chunk, None if pd.isna(user) else user))
+            lead = [had[0]] + [np.nan] * min(had[1], LONGEST_GAP) if had else []
+            means = pd.Series([*lead, *one["value"]], dtype=float).ewm(alpha=a, adjust=False).mean()
+            parts.append(one[["event_id", "user", "ts"]].assign(ewma=means.to_numpy()[len(lead) :]))
+        return pd.concat(parts)
+
+    done = chunks.groupBy("chunk").applyInPandas(finish, f"event_id long, user string, ts {events.schema['ts'].dataType.simpleString()}, ewma double")
+    return done.select("event_id", F.col("user").cast("long").alias("user_id"), "ts", "ewma")
+
+
+def ewma_last(events: DataFrame, config: Config = DEFAULT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The last exponentially weighted mean of each user: a fold over the user's readings in time order."""
+    series = _ewma_by_chunks(events.where("value is not null"), config, chunk_rows)
+    return series.groupBy("user_id").agg(F.max_by("ewma", F.struct("ts", "event_id")).alias("ewma"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        return pd.DataFrame({"event_id": pdf["event_id"], "user_id": pdf["user_id"], "ewma": pdf["value"].ewm(alpha=a, adjust=False).mean()})
 
-    return events.select("event_id", "user_id", "ts", "value").groupBy("user_id").applyInPandas(run, "event_id long, user_id long, ewma double")
+def ewma_series(events: DataFrame, config: Config = DEFAULT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The exponentially weighted mean after each reading of a user, however long the series."""
+    return _ewma_by_chunks(events, config, chunk_rows).select("event_id", "user_id", "ewma")
 
 
 def daily_pivot(events: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -138,3 +138,19 @@ def test_properties_of_sums_risk_and_episodes(spark, values):
     assert all(0 <= x <= 100 for x in column(risk.likelihood(risk.severity(z)), "risk", "hr"))
     flagged = anomaly.by_z(z)
     assert (anomaly.episodes(flagged).agg(F.sum("n")).first()[0] or 0) == flagged.count()
+
+
+def test_ewma_of_a_series_in_many_chunks(spark):
+    import pandas as pd
+
+    value = lambda i: None if i % 13 in (4, 5) or 60 < i < 90 else float(i * i % 17)
+    rows = [(T0 + i * H, None if i % 5 == 1 else 7 if i % 5 else 8 + i % 3, "view", value(i), None) for i in range(300)]
+    e = events(spark, rows)
+    pdf = pd.DataFrame([(i, -1 if u is None else u, v) for i, (_, u, _, v, _) in enumerate(rows)], columns=["i", "u", "v"])
+    want = {(i, u): x for u, one in pdf.groupby("u") for i, x in zip(one["i"], one["v"].ewm(alpha=0.3, adjust=False).mean(), strict=True)}
+    got = {(r["event_id"], -1 if r["user_id"] is None else r["user_id"]): r["ewma"] for r in features.ewma_series(e, chunk_rows=20).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], nan_ok=True) if got[k] is not None else pd.isna(want[k]) for k in want)
+    last = {-1 if r["user_id"] is None else r["user_id"]: r["ewma"] for r in features.ewma_last(e, chunk_rows=20).collect()}
+    known = pdf.dropna()
+    assert last == {u: pytest.approx(one["v"].ewm(alpha=0.3, adjust=False).mean().iloc[-1]) for u, one in known.groupby("u")}
