@@ -7,14 +7,18 @@ and a `conversion` record (its text), both naming the response in
 WARC-Refers-To. read_warc() reads files and to_members() makes the bytes of files,
 gzip members included; each file is read by one task.
 
-Defined cases: a null body is empty; bodies that are not UTF-8 are decoded with
-replacement; a null url gives an empty target; equal pages give equal digests,
+Bodies are decoded by their headers: chunked, gzip and deflate, then the charset.
+
+Defined cases: a null body is empty; bytes outside the charset are decoded with
+replacement; a body in another coding, or not in the one it names, is taken as it
+is; a null url gives an empty target; equal pages give equal digests,
 and equal (key, url, body) equal record ids; an empty table gives no records.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
@@ -34,7 +38,13 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 _HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)")
 _BREAK = re.compile(r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|table|tr|section|article|header|footer|nav|aside|form|blockquote|pre|title|head|body|main|dl|dt|dd|figure|hr|br)\b[^<>]*>")
 _TAG = re.compile(r"<[^<>]*>")
-_LINK = re.compile(r"(?is)<(a|img|link|script|iframe)\b[^<>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+_START = re.compile(r"<!--(?:.*?-->|.*)|<([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
+#: Elements whose body is text, and where it ends.
+_RAW = {x: re.compile(rf"(?i)</{x}(?=[\s/>])") for x in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
+_META = re.compile(rb"(?i)<meta\b[^>]*?\bcharset\s*=\s*[\"']?\s*([a-z0-9_:.-]+)")
+_CHARSET = re.compile(r"(?i)\bcharset\s*=\s*[\"']?\s*([a-z0-9_:.-]+)")
+_LATIN = ("ascii", "iso8859-1")  # pages that say so are windows-1252, as browsers take it
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title")
 
 
@@ -59,6 +69,77 @@ def _http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return status, {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in rest) if k.strip()}, body
 
 
+def _dechunked(body: bytes) -> bytes:
+    """The body without chunk sizes; as it is, where it begins with none."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0 and re.fullmatch(rb"[0-9a-fA-F]+", size := body[at:end].partition(b";")[0].strip()):
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return b"".join(out) if out else body
+
+
+def _inflated(body: bytes, coding: str) -> bytes:
+    """The body without gzip or deflate; as it is, where it is not so coded. What comes before damage is kept."""
+    for bits in (31,) if coding == "gzip" else (15, -15):
+        out, rest = [], body
+        try:
+            while rest:
+                one = zlib.decompressobj(bits)
+                out.append(one.decompress(rest))
+                rest = one.unused_data if coding == "gzip" else b""
+            return b"".join(out)
+        except zlib.error:
+            if out:
+                return b"".join(out)
+    return body
+
+
+def decoded(headers: dict[str, str], body: bytes) -> str:
+    """The text of a body: transfer and content encoding by the headers, then the charset of byte order mark, header or meta element, else UTF-8."""
+    named = {k.lower(): v for k, v in headers.items()}
+    if "chunked" in named.get("transfer-encoding", "").lower():
+        body = _dechunked(body)
+    for coding in reversed(named.get("content-encoding", "").lower().split(",")):
+        coding = coding.strip().removeprefix("x-")
+        if coding in ("gzip", "deflate"):
+            body = _inflated(body, coding)
+    said = _CHARSET.search(named.get("content-type", ""))
+    meta = None if said else _META.search(body[:1024])
+    charset = said[1] if said else meta[1].decode() if meta else "utf-8"
+    for mark, of in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if body.startswith(mark):
+            body, charset = body[len(mark) :], of
+    try:
+        name = codecs.lookup(charset).name
+        if meta and name.startswith("utf-16"):
+            name = "utf-8"  # the element was read byte by byte
+        return body.decode("cp1252" if name in _LATIN else name, "replace")
+    except (LookupError, UnicodeError):
+        return body.decode("utf-8", "replace")
+
+
+def links(page: str) -> list[dict[str, str]]:
+    """Every href and src of the start tags, in page order. Comments and the bodies of raw-text elements hold no tags; an attribute's first value counts."""
+    out, at = [], 0
+    while m := _START.search(page, at):
+        at = m.end()
+        if not m[1]:
+            continue
+        tag, seen = m[1].lower(), set()
+        for name, *values in _ATTRIBUTE.findall(m[2]):
+            name = name.lower()
+            if name in ("href", "src") and name not in seen:
+                out.append({"path": f"{tag}@{name}", "url": html.unescape("".join(values))})
+            seen.add(name)
+        if tag in _RAW:
+            end = _RAW[tag].search(page, at)
+            at = end.start() if end else len(page)
+    return out
+
+
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Response records (RECORD) of pages(page_id, url, html)."""
 
@@ -84,10 +165,9 @@ def derive(records: DataFrame) -> DataFrame:
             rows = []
             for r in frame.itertuples(index=False):
                 status, headers, body = _http(bytes(r.block or b""))
-                text = body.decode("utf-8", "replace")
+                text = decoded(headers, body)
                 title = _TITLE.search(text)
-                links = [{"path": f"{tag.lower()}@{at.lower()}", "url": html.unescape(a or b)} for tag, at, a, b in _LINK.findall(_HIDDEN.sub(" ", text))]
-                meta = json.dumps({"Response-Status": status, "Source-Headers": headers, "Title": " ".join(html.unescape(title[1]).split()) if title else "", "Links": links, "Payload-Digest": r.payload_digest}, ensure_ascii=False, sort_keys=True).encode()
+                meta = json.dumps({"Response-Status": status, "Source-Headers": headers, "Title": " ".join(html.unescape(title[1]).split()) if title else "", "Links": links(text), "Payload-Digest": r.payload_digest}, ensure_ascii=False, sort_keys=True).encode()
                 plain = plain_text(text).encode()
                 for kind, mime, block in (("metadata", "application/json", meta), ("conversion", "text/plain", plain)):
                     rows.append((r.key, kind, record_id(kind, r.record_id), r.record_id, r.target_uri, r.date, {"Content-Type": mime, "WARC-Refers-To-Digest": r.payload_digest}, block, r.payload_digest if kind == "metadata" else digest(block), digest(block), len(block)))

@@ -371,6 +371,42 @@ def test_patterns_hold_every_piece_once(histogram):
         assert [a for a, _ in spans] == [0, *(b for _, b in spans[:-1])] and spans[-1][1] == histogram[length]
 
 
+def test_links_of_every_start_tag():
+    page = """<!-- <a href="/no"> --><script src="/s.js">x = "<a href='/no'>";</script ><a href=/b>b</a><noscript><img src='/i?a=1&amp;b'></noscript>
+    <template><a title="x > y href='/no'" HREF = "/t">t</a></template><iframe href="/h" src=/f></iframe><title><a href=/no></title><a data-href="/no">n</a><script>"<a href=/no>"""
+    found = [(x["path"], x["url"]) for x in warc.links(page)]
+    assert found == [("script@src", "/s.js"), ("a@href", "/b"), ("img@src", "/i?a=1&b"), ("a@href", "/t"), ("iframe@href", "/h"), ("iframe@src", "/f")]
+
+
+def test_bodies_are_decoded_by_their_headers(spark):
+    import gzip
+    import json
+    import zlib
+
+    text = "<title>é</title><p>été €</p><a href=/é>x</a>"
+    latin = text.encode("cp1252")
+    chunked = lambda b: b"".join(b"%x;q=1\r\n%s\r\n" % (len(b[i : i + 9]), b[i : i + 9]) for i in range(0, len(b), 9)) + b"0\r\n\r\n"
+    cases = [
+        ("Content-Type: text/html; charset=ISO-8859-1", latin),
+        ("content-type: text/html; charset=windows-1252\r\ncontent-encoding: gzip", gzip.compress(latin)),
+        ("Transfer-Encoding: chunked", chunked(text.encode())),
+        ("Transfer-Encoding: chunked\r\nContent-Encoding: x-gzip", chunked(gzip.compress(text.encode()))),
+        ("Content-Encoding: deflate", zlib.compress(text.encode())),
+        ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", text.encode()),  # kept decoded by the crawler
+        ("Content-Type: text/html", b"<meta charset=windows-1252>" + latin),
+        ("Content-Type: text/html; charset=none-such", text.encode()),
+        ("Content-Type: text/html", text.encode("utf-16")),
+    ]
+    base = warc.responses(spark.createDataFrame([(i, "u", "") for i in range(len(cases))], "page_id long, url string, html string")).drop("block")
+    blocks = spark.createDataFrame([(i, f"HTTP/1.1 200 OK\r\n{h}\r\n\r\n".encode() + b) for i, (h, b) in enumerate(cases)], "key long, block binary")
+    for r in warc.derive(base.join(blocks, "key")).collect():
+        if r["warc_type"] == "conversion":
+            assert bytes(r["block"]).decode() == "é\nété €\nx", r["key"]
+        elif r["warc_type"] == "metadata":
+            meta = json.loads(bytes(r["block"]))
+            assert (meta["Title"], [x["url"] for x in meta["Links"]]) == ("é", ["/é"]), r["key"]
+
+
 # --- op10
 
 @settings(max_examples=40, deadline=None)
