@@ -16,11 +16,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """The application's folder inside the one that the cluster shares (spark.checkpoint.dir); delete it when its results are no longer needed.
+
+    Only a local master may go without the setting, as in tests: its tasks share the driver's temp folder.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.gettempdir()}/emberline-shared"
-    return where.rstrip("/")
+    return f"{where.rstrip('/')}/emberline-{spark.sparkContext.applicationId}"
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -30,7 +35,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again.
 
     Unlike cache() the rows outlive executors, and unlike checkpoint() later
@@ -39,9 +44,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Spark drops a finished query's shuffle files once their handles are collected, which an idle driver does rarely.
-    spark.sparkContext._jvm.System.gc()
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
