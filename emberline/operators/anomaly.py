@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberline.config import DEFAULT, Config
 from emberline.operators.baseline import mad
 from emberline.operators.features import sessions
+from emberline.operators.ordered import quantiles
 
 
 def by_z(z: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -16,7 +17,7 @@ def by_z(z: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def by_iqr(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Readings outside the quartiles by iqr_factor times their distance."""
-    q = events.groupBy(F.col("event_type").alias("tag")).agg(F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3"))
+    q = quantiles(events, "event_type", "value", {"q1": 0.25, "q3": 0.75}).withColumnRenamed("event_type", "tag")
     far = config.iqr_factor * (F.col("q3") - F.col("q1"))
     return events.join(F.broadcast(q), F.col("event_type") == F.col("tag")).where((F.col("value") < F.col("q1") - far) | (F.col("value") > F.col("q3") + far)).select("event_id", "tag", "value")
 

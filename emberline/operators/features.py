@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, Config
 from emberline.functions.numeric import rounded
+from emberline.operators.ordered import BLOCK_ROWS, before_slice, in_blocks, in_spans, numbered, sliced
 from emberline.streaming.jobs import shared_dir
 
 
@@ -30,23 +31,30 @@ def sessions(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return g.select("user_id", "start", "until", "n")
 
 
-def _by_tag() -> Window:
-    return Window.partitionBy("event_type").orderBy("ts", "event_id")
+def behind(events: DataFrame, rows: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, Window]:
+    """A tag's readings in blocks of time order that also hold the rows just before, and the window over a block."""
+    found = numbered(events.select("event_id", "event_type", "ts", "value"), "event_type", ("ts", "event_id"), block_rows)
+    return in_blocks(found, rows, block_rows), Window.partitionBy("event_type", "block").orderBy("at")
 
 
-def rolling_rows(events: DataFrame, rows: int = 5) -> DataFrame:
-    return events.select("event_id", F.avg("value").over(_by_tag().rowsBetween(-rows, -1)).alias("roll"))
+def rolling_rows(events: DataFrame, rows: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Mean of the tag's readings just before each reading."""
+    blocks, w = behind(events, rows, block_rows)
+    return blocks.withColumn("roll", F.avg("value").over(w.rowsBetween(-rows, -1))).where("own").select("event_id", "roll")
 
 
 def rolling_time(events: DataFrame, hours: int = 6) -> DataFrame:
-    """Mean of a tag's readings in the hours up to each reading, itself and its peers included."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("event_type").orderBy("us").rangeBetween(-hours * 3_600_000_000, 0)
-    return events.withColumn("us", seconds).select("event_id", F.avg("value").over(w).alias("roll"))
+    """Mean of a tag's readings in the hours up to each reading, itself and its peers included. Blocks have the hours' length, and hold the one before."""
+    span = hours * 3_600_000_000
+    rows = events.select("event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    w = Window.partitionBy("event_type", "block").orderBy("us").rangeBetween(-span, 0)
+    return in_spans(rows, "us", span).withColumn("roll", F.avg("value").over(w)).where("own").select("event_id", "roll")
 
 
-def differenced(events: DataFrame, lag: int = 3) -> DataFrame:
-    return events.select("event_id", (F.col("value") - F.lag("value", lag).over(_by_tag())).alias("diff"))
+def differenced(events: DataFrame, lag: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Each reading less the tag's reading `lag` before it."""
+    blocks, w = behind(events, lag, block_rows)
+    return blocks.withColumn("diff", F.col("value") - F.lag("value", lag).over(w)).where("own").select("event_id", "diff")
 
 
 #: Rows of a chunk of the exponentially weighted means: what one group holds in a task.
@@ -132,6 +140,24 @@ def ewma_series(events: DataFrame, config: Config = DEFAULT, chunk_rows: int = C
     return _ewma_by_chunks(events, config, chunk_rows).select("event_id", "user_id", "ewma")
 
 
+def ranked(rows: DataFrame, by: str, order: tuple[str, ...], tiles: int, slice_rows: int = BLOCK_ROWS) -> DataFrame:
+    """rows with rn, rk, dr, tile, pr and cd: row number, rank, dense rank, tile, percent rank and cumulative distribution in the group's order."""
+    s = sliced(rows, by, order, slice_rows)
+    w = Window.partitionBy(by, "slice").orderBy(*order)
+    # peers never lie in two slices, so ranks in a slice need only what lies before it
+    local = s.withColumns({"rn": F.row_number().over(w), "rk": F.rank().over(w), "dr": F.dense_rank().over(w), "peers": F.count("*").over(Window.partitionBy(by, "slice", *order))})
+    base = before_slice(s, by, {"rows": F.count("*"), "keys": F.count_distinct(F.struct(*order))}).withColumnsRenamed({by: "by_", "slice": "slice_"})
+    totals = s.groupBy(F.col(by).alias("of")).agg(F.count("*").alias("total"))
+    base = base.join(totals, F.col("by_").eqNullSafe(F.col("of"))).drop("of")  # a row a slice and group
+    out = local.join(F.broadcast(base), F.col(by).eqNullSafe(F.col("by_")) & (F.col("slice") == F.col("slice_")))
+    rn, rk, total = F.col("rows") + F.col("rn"), F.col("rows") + F.col("rk"), F.col("total")
+    small, large = F.floor(total / tiles), total % tiles  # the first tiles have one more
+    head = large * (small + 1)
+    tile = F.when(rn <= head, F.floor((rn - 1) / (small + 1)) + 1).otherwise(large + F.floor(F.try_divide(rn - head - 1, small)) + 1)
+    share = F.when(total > 1, (rk - 1) / (total - 1).cast("double")).otherwise(F.lit(0.0))
+    return out.select(*rows.columns, rn.alias("rn"), rk.alias("rk"), (F.col("keys") + F.col("dr")).alias("dr"), tile.alias("tile"), share.alias("pr"), ((rk - 1 + F.col("peers")) / total.cast("double")).alias("cd"))
+
+
 def daily_pivot(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """A row a day, a column a tag. The list of tags is fixed, so no extra pass finds it."""
     return events.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).pivot("event_type", list(config.tags)).agg(F.avg("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, Config
 from emberline.functions.numeric import safe_corr
+from emberline.operators.ordered import in_spans
 from emberline.operators.quality import hour
 
 HOUR_US = 3_600_000_000
@@ -27,7 +28,12 @@ def lagged_correlation(grid: DataFrame, driver: str, target: str, lag: int) -> D
 
 
 def precursors(events: DataFrame, precursor: str, target: str, config: Config = DEFAULT) -> DataFrame:
-    """target_id, precursor_id: the precursors of the same unit in the hours before each target event.
+    """target_id, precursor_id: the precursors of the same unit in the hours before each target event."""
+    return tagged_precursors(events, [precursor], target, config).select("target_id", "precursor_id")
+
+
+def tagged_precursors(events: DataFrame, tags: list[str], target: str, config: Config = DEFAULT) -> DataFrame:
+    """target_id, precursor_id, tag: the events of these tags of the same unit in the hours before each target event.
 
     A range join by time buckets: a target event looks up the two buckets that its
     range can touch, so a unit's events are compared with near ones only.
@@ -36,17 +42,26 @@ def precursors(events: DataFrame, precursor: str, target: str, config: Config =
     e = events.select("event_id", "user_id", "event_type", _us("ts").alias(us))
     target_rows = e.where(F.col("event_type") == target).select(F.col("event_id").alias("target_id"), F.col("user_id").alias("unit"), F.col(us).alias("t_us"))
     target_rows = target_rows.withColumn("bucket", F.explode(F.array((F.col("t_us") / size).cast("long"), (F.col("t_us") / size).cast("long") - 1)))
-    early = e.where(F.col("event_type") == precursor).select(F.col("event_id").alias("precursor_id"), F.col("user_id").alias("unit"), F.col(us).alias("p_us"), (F.col(us) / size).cast("long").alias("bucket"))
+    early = e.where(F.col("event_type").isin(tags)).select(F.col("event_id").alias("precursor_id"), F.col("event_type").alias("tag"), F.col("user_id").alias("unit"), F.col(us).alias("p_us"), (F.col(us) / size).cast("long").alias("bucket"))
     near = target_rows.join(early, ["unit", "bucket"])
-    return near.where((F.col("p_us") < F.col("t_us")) & (F.col("p_us") >= F.col("t_us") - size)).select("target_id", "precursor_id")
+    return near.where((F.col("p_us") < F.col("t_us")) & (F.col("p_us") >= F.col("t_us") - size)).select("target_id", "precursor_id", "tag")
 
 
 def precursor_rate(events: DataFrame, precursor: str, target: str, config: Config = DEFAULT) -> DataFrame:
-    """One row: target events, and those with a precursor."""
-    hit = precursors(events, precursor, target, config).select("target_id").distinct().withColumn("hit", F.lit(1))
-    t = events.where(F.col("event_type") == target).select(F.col("event_id").alias("target_id"))
-    out = t.join(hit, "target_id", "left").agg(F.count("*").alias("events"), F.count("hit").alias("hits"))
-    return out.withColumn("rate", F.try_divide(F.col("hits").cast("double"), F.col("events").cast("double")))
+    """One row: target events and those with a precursor of the unit in the hours before, their rate, the base rate (of all other readings), and the lift of the one over the other.
+
+    Blocks of the hours' length hold the one before, so a unit of any size is cut up.
+    """
+    span = config.precursor_hours * HOUR_US
+    rows = in_spans(events.select("user_id", "event_type", _us("ts").alias("us")), "us", span)
+    w = Window.partitionBy("user_id", "block").orderBy("us").rangeBetween(-span, -1)
+    hit = F.max(F.col("event_type") == precursor).over(w)
+    found = rows.withColumn("hit", F.coalesce(hit, F.lit(False)).cast("long")).where("own")
+    is_target = F.coalesce(F.col("event_type") == target, F.lit(False))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = found.agg(n(is_target.cast("long")).alias("events"), n(F.when(is_target, F.col("hit"))).alias("hits"), n((~is_target).cast("long")).alias("others"), n(F.when(~is_target, F.col("hit"))).alias("other_hits"))
+    rate, base = (F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in (("hits", "events"), ("other_hits", "others")))
+    return sums.select("events", "hits", rate.alias("rate"), base.alias("base"), F.try_divide(rate, base).alias("lift"))
 
 
 def as_of(events: DataFrame, precursor: str, target: str) -> DataFrame:
@@ -71,20 +86,18 @@ def fuel_impact(share: DataFrame, z: DataFrame, quartiles: int = 4) -> DataFrame
     return z.join(bucketed, "hr").groupBy("bucket", "tag").agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"), F.stddev_samp("z").alias("sd_z"))
 
 
-def unit_regression(events: DataFrame) -> DataFrame:
-    """Per unit: correlation, slope and fit of value on time in seconds since the unit's first reading; null where either does not vary."""
-    first = Window.partitionBy("user_id")
-    t = events.select("user_id", "value", ((_us("ts") - F.min(_us("ts")).over(first)) / 1e6).alias("s"))
+def unit_regression(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Per unit: correlation, slope and fit of value on time in seconds; null where either does not vary. No result depends on where time begins, so it begins at config.start."""
+    start = F.unix_micros(F.lit(config.start).cast("timestamp_ntz").cast("timestamp"))
+    t = events.select("user_id", "value", ((_us("ts") - start) / 1e6).alias("s"))
     r = safe_corr("s", "value")
     both = F.col("s").isNotNull() & F.col("value").isNotNull()
     return t.where(both).groupBy("user_id").agg(r.alias("r"), F.try_divide(F.covar_pop("s", "value"), F.var_pop("s")).alias("slope"), (r * r).alias("r2"))
 
 
 def root_causes(events: DataFrame, target: str, config: Config = DEFAULT) -> DataFrame:
-    """Per other tag: pairs with a target event of the same unit within the precursor range."""
-    out = None
-    for tag in config.tags:
-        if tag != target:
-            one = precursors(events, tag, target, config).agg(F.count("*").alias("pairs"), F.count_distinct("target_id").alias("targets")).select(F.lit(tag).alias("tag"), "pairs", "targets")
-            out = one if out is None else out.unionAll(one)
-    return out
+    """Per other tag: pairs with a target event of the same unit within the precursor range. One range join serves all tags."""
+    near = tagged_precursors(events, [t for t in config.tags if t != target], target, config)
+    found = near.groupBy("tag").agg(F.count("*").alias("pairs"), F.count_distinct("target_id").alias("targets"))
+    tags = events.sparkSession.createDataFrame([(t,) for t in config.tags if t != target], "tag string")
+    return tags.join(found, "tag", "left").select("tag", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("targets", F.lit(0)).alias("targets"))

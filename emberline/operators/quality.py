@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, Config
 from emberline.functions.numeric import rounded
+from emberline.operators.ordered import BLOCK_ROWS, in_blocks, numbered
 
 
 def hour(c: str = "ts"):
@@ -47,11 +48,19 @@ def keep_first(events: DataFrame) -> DataFrame:
     return events.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def stuck(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Runs of readings of a tag that barely change: tag, run, n, start, until. Runs of one reading are left out."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    flagged = events.withColumn("new", F.coalesce((F.abs(F.col("value") - F.lag("value").over(w)) > config.stuck_eps).cast("int"), F.lit(1)))
-    runs = flagged.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def stuck(events: DataFrame, config: Config = DEFAULT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Runs of readings of a tag that barely change: tag, run, n, start, until. Runs of one reading are left out.
+
+    Runs are numbered along the blocks of a tag, so one may lie in several.
+    """
+    found = numbered(events.select("event_id", "event_type", "ts", "value"), "event_type", ("ts", "event_id"), block_rows)
+    w = Window.partitionBy("event_type", "block").orderBy("at")
+    flagged = in_blocks(found, 1, block_rows).withColumn("new", F.coalesce((F.abs(F.col("value") - F.lag("value").over(w)) > config.stuck_eps).cast("int"), F.lit(1))).where("own")
+    begun = flagged.groupBy(F.col("event_type").alias("of"), F.col("block").alias("of_block")).agg(F.sum("new").alias("begun"))  # a row a block
+    earlier = Window.partitionBy("of").orderBy("of_block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = begun.withColumn("begun", F.coalesce(F.sum("begun").over(earlier), F.lit(0)))
+    local = flagged.withColumn("local", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = local.join(F.broadcast(begun), F.col("event_type").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block"))).withColumn("run", F.col("begun") + F.col("local"))
     return runs.groupBy(F.col("event_type").alias("tag"), "run").agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("until")).where("n > 1")
 
 

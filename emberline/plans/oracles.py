@@ -24,6 +24,11 @@ BACK = f"""{Z}, late as (select * from z where hr >= timestamp '2024-01-11'),
     near as (select a.hr as a, e.hr as e from alerts a join evs e on a.hr < e.hr and a.hr >= e.hr - interval 6 hour)"""
 
 
+HOURS = f"""with {Z}, e as (select hr from z where tag = 'error' and z > 1.5),
+    l as (select h.hr, exists (select 1 from e where e.hr > h.hr and e.hr <= h.hr + interval 6 hour) as label from (select distinct hr from z) h where hr >= timestamp '2024-01-11')
+    select count(*) as hours, count(*) filter (label) as positives, true as proper from l"""
+
+
 def r(x: str, name: str | None = None, digits: int = 9) -> str:
     return f"round({x}, {digits}) + 0.0 as {name or x}"
 
@@ -32,6 +37,8 @@ SQL: dict[str, str] = {
     "riskiest_hours": f"with {RAW}, k as (select hr, raw, 100 / (1 + exp(-(raw - 1))) as risk from raw) select hr, {r('raw')}, {r('risk')}, case when risk >= 75 then 'HIGH' when risk >= 50 then 'MEDIUM' else 'LOW' end as band from k",
     "a1_scan": "select event_id, value from events where event_type = 'error' and value > 3",
     "a2_delimited_text": f"select event_id, ts, user_id, event_type, {r('value')}, props from events",
+    "a2_csv_files": f"select event_id, ts, user_id, event_type, {r('value')}, props from events",
+    "a2_json_files": f"select event_id, ts, user_id, event_type, {r('value')}, props from events",
     "a2_json_text": f"select event_id, user_id, event_type, {r('value')} from events",
     "a4_curated_tier": f"with {HOURLY} select tag, hr, {r('v')} from hourly",
     "a5_profile": f"select event_type as tag, count(*) as n, count(value) as known, count(distinct user_id) as users, {r('min(value)', 'lo')}, {r('max(value)', 'hi')} from events group by 1",
@@ -73,8 +80,9 @@ SQL: dict[str, str] = {
     "e1_lagged_correlation": f"""with {HOURLY}, p as (select c.v as d, e.v as t from hourly c join hourly e on e.tag = 'error' and e.hr = c.hr + interval 1 hour where c.tag = 'click')
         select {r('covar_pop(d, t) / nullif(stddev_pop(d) * stddev_pop(t), 0)', 'r')}, count(*) as n from p""",
     "e2_precursors": f"with {PAIRS} select target_id, precursor_id from pairs where tag = 'click'",
-    "e3_precursor_rate": f"""with {PAIRS}, h as (select count(distinct target_id) as hits from pairs where tag = 'click'), t as (select count(*) as events from events where event_type = 'error')
-        select events, hits, {r('hits::double / nullif(events, 0)', 'rate')} from t, h""",
+    "e3_precursor_rate": f"""with x as (select event_type = 'error' as target, exists (select 1 from events i where i.user_id = e.user_id and i.event_type = 'click' and i.ts < e.ts and i.ts >= e.ts - interval 24 hour) as hit from events e),
+        n as (select count(*) filter (target) as events, count(*) filter (target and hit) as hits, count(*) filter (not target) as others, count(*) filter (not target and hit) as other_hits from x)
+        select events, hits, {r('hits::double / nullif(events, 0)', 'rate')}, {r('other_hits::double / nullif(others, 0)', 'base')}, {r('(hits::double / nullif(events, 0)) / nullif(other_hits::double / nullif(others, 0), 0)', 'lift')} from n""",
     "e4_as_of": """select target_id, precursor_id from (select e.event_id as target_id, i.event_id as precursor_id, row_number() over (partition by e.event_id order by i.ts desc nulls last, i.event_id desc) as rn
         from events e left join events i on i.user_id = e.user_id and i.event_type = 'click' and i.ts <= e.ts where e.event_type = 'error') where rn = 1""",
     "e5_fuel_share": f"select date_trunc('hour', ts)::timestamp as hr, {r("count(*) filter (event_type = 'signup') / count(*)::double", 'share')} from events group by 1",
@@ -104,6 +112,7 @@ SQL: dict[str, str] = {
     "g6_cube": f"select l_returnflag, l_linestatus, count(*) as n, {r('sum(l_quantity)', 'quantity', 2)} from lineitem group by cube (l_returnflag, l_linestatus)",
     "g6_rollup": "select l_returnflag, l_linestatus, count(*) as n, grouping(l_linestatus)::bigint as total from lineitem group by rollup (l_returnflag, l_linestatus)",
     "g7_distinct": "select event_type, count(distinct user_id) as users from events group by 1",
+    "g7_approx_distinct": "select event_type, count(distinct user_id) as users, true as near from events group by 1",
     "g8_ranking": f"""select event_id, row_number() over w as rn, rank() over w as rk, dense_rank() over w as dr, ntile(10) over w as tile, {r('percent_rank() over w', 'pr')}, {r('cume_dist() over w', 'cd')}
         from events window w as (partition by event_type order by value, event_id)""",
     "g9_top_k": "select event_type, rn, event_id from (select *, row_number() over (partition by event_type order by value desc, event_id) as rn from events) where rn <= 3",
@@ -111,7 +120,8 @@ SQL: dict[str, str] = {
     "g11_union": "select user_id from events where event_type = 'click' union select user_id from events where event_type = 'error'",
     "g11_union_all": "select c_nationkey::bigint as k from customer union all select s_nationkey::bigint as k from supplier",
     "g11_intersect": "select c_nationkey::bigint as k from customer intersect select s_nationkey::bigint as k from supplier",
-    "g11_except": "select distinct hr from (select date_trunc('hour', ts)::timestamp as hr from events where event_type = 'view' except all select date_trunc('hour', ts)::timestamp from events where event_type = 'error')",
+    "g11_except": "select date_trunc('hour', ts)::timestamp as hr from events where event_type = 'view' except select date_trunc('hour', ts)::timestamp from events where event_type = 'error'",
+    "g11_except_all": "select date_trunc('hour', ts)::timestamp as hr from events where event_type = 'view' except all select date_trunc('hour', ts)::timestamp from events where event_type = 'error'",
     "g12_math": f"select event_id, {r('exp(-value / 100)', 'e')}, {r('sqrt(value)', 'q')}, {r('greatest(value, 50.0::double)', 'g')}, {r('ln(1 + value)', 'l')} from events",
     "g13_strings_dates": "select year(o_orderdate) as y, month(o_orderdate) as m, upper(substr(o_orderpriority, 1, 3)) as p, count(*) as n, sum(length(o_orderpriority))::bigint as letters from orders group by 1, 2, 3",
     "g14_star": f"""select r_name, {r('sum(l_extendedprice * (1 - l_discount))', 'revenue', 1)}, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
@@ -124,10 +134,18 @@ SQL: dict[str, str] = {
     "h6_precision_recall": f"""with {BACK} select round((select count(distinct a) from near)::double / nullif((select count(*) from alerts), 0), 9) + 0.0 as precision,
         round((select count(distinct e) from near)::double / nullif((select count(*) from evs), 0), 9) + 0.0 as recall""",
     "i1_labels": "select e.event_id, case when exists (select 1 from events x where x.user_id = e.user_id and x.event_type = 'error' and x.ts > e.ts and x.ts <= e.ts + interval 6 hour) then 1 else 0 end::bigint as label from events e",
+    "i2_logistic_hours": HOURS,
+    "i3_trees_hours": HOURS,
+    "i4_importance_whole": "select 5::bigint as features, 1.0::double as whole, true as shares",
     "i5_contributions": f"with {Z}, {PART}, n as (select *, row_number() over (partition by hr order by part desc, tag) as place from part) select tag, hr, {r('part')}, place from n where place <= 2",
     "j1_stream_tumbling": f"""select * from (select date_trunc('hour', ts)::timestamp as "start", count(*) as n, {r('avg(value)', 'v')} from events group by 1)
         where "start" + interval 1 hour <= (select max(ts) from events) - interval 1 hour""",
+    "j2_stream_sessions": f"""with {SESSIONS} select user_id, min(ts) as "start", count(*) as n from numbered group by user_id, session
+        having max(ts) + interval 30 minute <= (select max(ts) from events) - interval 1 hour""",
     "j3_stream_dedup": "select event_id, event_type from events",
     "j4_stream_join": f"with {PAIRS} select target_id, precursor_id from pairs where tag = 'click'",
     "j5_stream_ewma": f"select user_id, {r(EWMA, 'ewma')} from events group by 1",
+    "j6_late_data": f"""select * from (select date_trunc('hour', ts)::timestamp as "start", count(*) as n, {r('avg(value)', 'v')} from events group by 1)
+        where "start" + interval 1 hour <= (select max(ts) from events) - interval 1 hour""",
+    "j7_stream_sink": "select event_type, count(*) as n, count(distinct event_id) as ids from events group by 1",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from emberline.functions.numeric import rounded
 from emberline.operators import anomaly, baseline, features, indicators, kpi, prediction, quality, risk
 from emberline.operators.features import rounded_columns as r
 from emberline.sources import sinks
-from emberline.sources.tables import EVENTS, table
+from emberline.sources.tables import EVENTS, read_text_table, split_corrupt, table
 from emberline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,11 +65,28 @@ def a2_json_text(s, d):
     return line.select(F.from_json("line", schema).alias("x")).select("x.event_id", "x.user_id", "x.event_type", rounded(F.col("x.value")).alias("value"))
 
 
+def _through_files(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """The events written as text files of a raw tier, and read again by their schema; rows that don't fit are counted on the side."""
+    path = f"{jobs.shared_dir(s)}/raw-{uuid.uuid4().hex}"
+    stamp = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    ev(s, d).write.format(kind).options(**stamp, **({"header": "true"} if kind == "csv" else {})).save(path)
+    good, _ = split_corrupt(read_text_table(s, path, EVENTS, kind, **stamp))
+    return r(good.select("event_id", "ts", "user_id", "event_type", "value", "props"), "value")
+
+
+@query
+def a2_csv_files(s, d):
+    return _through_files(s, d, "csv")
+
+
+@query
+def a2_json_files(s, d):
+    return _through_files(s, d, "json")
+
+
 @query
 def a4_curated_tier(s, d):
     """Hourly means through the curated tier."""
-    import uuid
-
     path = sinks.write_tier(quality.hourly(ev(s, d)), f"{jobs.shared_dir(s)}/tiers-{uuid.uuid4().hex}", "curated", "hourly", "hr")
     return r(s.read.parquet(path).select("tag", "hr", "v"), "v")
 
@@ -239,7 +257,7 @@ def e2_precursors(s, d):
 
 @query
 def e3_precursor_rate(s, d):
-    return r(indicators.precursor_rate(ev(s, d), "click", "error"), "rate")
+    return r(indicators.precursor_rate(ev(s, d), "click", "error"), "rate", "base", "lift")
 
 
 @query
@@ -355,13 +373,15 @@ def g7_distinct(s, d):
 
 @query
 def g7_approx_distinct(s, d):
-    return ev(s, d).groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"))
+    """The sketch's count beside the exact one: whether it is within 5 percent."""
+    both = ev(s, d).groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.01).alias("about"), F.count_distinct("user_id").alias("users"))
+    return both.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.05 * F.col("users")).alias("near"))
 
 
 @query
 def g8_ranking(s, d):
-    w = Window.partitionBy("event_type").orderBy("value", "event_id")
-    return ev(s, d).select("event_id", F.row_number().over(w).cast("long").alias("rn"), F.rank().over(w).cast("long").alias("rk"), F.dense_rank().over(w).cast("long").alias("dr"), F.ntile(10).over(w).cast("long").alias("tile"), rounded(F.percent_rank().over(w)).alias("pr"), rounded(F.cume_dist().over(w)).alias("cd"))
+    """All rankings of a tag's readings by value, from positions along slices of the order."""
+    return r(features.ranked(ev(s, d).select("event_id", "event_type", "value"), "event_type", ("value", "event_id"), 10), "pr", "cd").select("event_id", "rn", "rk", "dr", "tile", "pr", "cd")
 
 
 @query
@@ -393,7 +413,13 @@ def g11_intersect(s, d):
 @query
 def g11_except(s, d):
     hours = lambda tag: ev(s, d).where(F.col("event_type") == tag).select(quality.hour().alias("hr"))
-    return hours("view").exceptAll(hours("error")).distinct()
+    return hours("view").subtract(hours("error"))
+
+
+@query
+def g11_except_all(s, d):
+    hours = lambda tag: ev(s, d).where(F.col("event_type") == tag).select(quality.hour().alias("hr"))
+    return hours("view").exceptAll(hours("error"))
 
 
 @query
@@ -469,6 +495,29 @@ def i3_boosted_trees(s, d):
     return r(prediction.predicted(prediction.hourly_features(zs(s, d)), "trees"), "p")
 
 
+def _probabilities(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """Of the hours after the cutoff: how many, how many precede a deviation of the target, and whether all have a probability."""
+    p = prediction.predicted(prediction.hourly_features(zs(s, d)), kind)
+    return p.agg(F.count("*").alias("hours"), F.sum("label").cast("long").alias("positives"), F.min(F.coalesce(F.col("p").between(0, 1), F.lit(False))).alias("proper"))
+
+
+@query
+def i2_logistic_hours(s, d):
+    return _probabilities(s, d, "logistic")
+
+
+@query
+def i3_trees_hours(s, d):
+    return _probabilities(s, d, "trees")
+
+
+@query
+def i4_importance_whole(s, d):
+    """Importances are shares of one."""
+    found = prediction.importances(prediction.hourly_features(zs(s, d)))
+    return found.agg(F.count("*").alias("features"), rounded(F.sum("importance"), 6).alias("whole"), F.min(F.col("importance") >= 0).alias("shares"))
+
+
 @query
 def i4_importance(s, d):
     return r(prediction.importances(prediction.hourly_features(zs(s, d))), "importance")
@@ -513,3 +562,17 @@ def j5_stream_ewma(s, d):
     """The last state of each user."""
     last = lambda rows: rows.groupBy("user_id").agg(F.max_by("ewma", "batch").alias("ewma"))
     return r(jobs.run_to_tier(jobs.ewma(stream(s, d)), "ewma", "update", last), "ewma")
+
+
+@query
+def j6_late_data(s, d):
+    """Rows that come again behind the watermark change no closed window: the earliest tenth is sent once more at the end."""
+    out = jobs.run_to_tier(jobs.tumbling(jobs.event_stream(s, jobs.time_sliced(s, f"{d}/events.parquet", late_share=0.1))), "late")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", rounded(F.col("v")).alias("v"))
+
+
+@query
+def j7_stream_sink(s, d):
+    """A stream that is stopped and started again from its checkpoint leaves every row in the tier once."""
+    out = jobs.run_to_tier(jobs.deduplicated(stream(s, d)).select("event_id", "event_type"), "sink", restarts=1)
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,14 +44,11 @@ def read_spreadsheet(spark: SparkSession, path: str, schema: T.StructType, sheet
     except ImportError as e:
         raise RuntimeError("spreadsheets need openpyxl; convert them to csv or Parquet upstream") from e
     names = schema.fieldNames()
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(lambda frames: sheet_rows(frames, names, sheet), schema)
 
-    def run(frames):
-        import io
-
-        import pandas as pd
-
-        for frame in frames:
-            for content in frame["content"]:
-                yield pd.read_excel(io.BytesIO(content), sheet_name=sheet)[names]
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+def sheet_rows(frames: Iterable[pd.DataFrame], names: list[str], sheet: int) -> Iterator[pd.DataFrame]:
+    """The named columns of each file in frames (content)."""
+    for frame in frames:
+        for content in frame["content"]:
+            yield pd.read_excel(io.BytesIO(content), sheet_name=sheet)[names]

@@ -21,19 +21,30 @@ def event_stream(spark: SparkSession, path: str, files_a_trigger: int = 1) -> Da
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def time_sliced(spark: SparkSession, path: str, rows_a_slice: int = 1_000_000) -> str:
+def time_sliced(spark: SparkSession, path: str, rows_a_slice: int = 1_000_000, late_share: float = 0.0) -> str:
     """A folder with the table of events in slices of time, a file each, whose modification times follow the events' time.
 
     event_stream() over it replays the table in time order, whatever rows the
     table's own files hold, so no row is late and a trigger holds one slice.
+    late_share: so much of the events, the earliest ones, comes once more in the end.
     """
     rows = spark.read.parquet(path)
     root = f"{shared_dir(spark)}/slices-{uuid.uuid4().hex}"
-    slices = max(1, -(-rows.count() // rows_a_slice))
+    slices = max(3 if late_share else 1, -(-rows.count() // rows_a_slice))  # a row is late by the watermark of the trigger before the last
     rows.repartitionByRange(slices, "ts", "event_id").write.parquet(root)
+    if late_share:
+        until = rows.agg(F.percentile_approx("ts", F.lit(late_share), F.lit(10_000))).first()[0]
+        again = f"{root}-late"
+        rows.where(F.col("ts") <= F.lit(until)).coalesce(1).write.parquet(again)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: int(p.getName().split("-")[1]))
+    if late_share:
+        for f in fs.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(again)):
+            if f.getPath().getName().startswith("part-"):
+                to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "part-99999-late.parquet")
+                fs.rename(f.getPath(), to)
+                files.append(to)
     newest = fs.getFileStatus(files[-1]).getModificationTime() if files else 0
     for k, file in enumerate(files):
         # whole seconds, as not every file system keeps parts of one
@@ -83,21 +94,25 @@ def ewma(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset."""
+    """The application's folder inside the one that the cluster shares (spark.checkpoint.dir). Only a local master may go without the setting, as in tests."""
     import tempfile
 
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/emberline-shared").rstrip("/")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(where or f'file://{tempfile.gettempdir()}/emberline-shared').rstrip('/')}/emberline-{spark.sparkContext.applicationId}"
 
 
-def run_to_tier(stream: DataFrame, name: str, mode: str = "append", fold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Run a stream over what is there, batch by batch into Parquet, and read that. fold: what to make of the rows read."""
+def run_to_tier(stream: DataFrame, name: str, mode: str = "append", fold: Callable[[DataFrame], DataFrame] | None = None, restarts: int = 0) -> DataFrame:
+    """Run a stream over what is there, batch by batch into Parquet, and read that. fold: what to make of the rows read. restarts: how often to start it again from its checkpoint."""
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def batch(rows: DataFrame, number: int) -> None:
         rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{root}/data/number={number}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(batch).start()
-    q.awaitTermination()
+    for _ in range(1 + restarts):
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(batch).start()
+        q.awaitTermination()
     out = spark.read.parquet(f"{root}/data").drop("number")
     return fold(out) if fold else out.drop("batch")

@@ -154,3 +154,64 @@ def test_ewma_of_a_series_in_many_chunks(spark):
     last = {-1 if r["user_id"] is None else r["user_id"]: r["ewma"] for r in features.ewma_last(e, chunk_rows=20).collect()}
     known = pdf.dropna()
     assert last == {u: pytest.approx(one["v"].ewm(alpha=0.3, adjust=False).mean().iloc[-1]) for u, one in known.groupby("u")}
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 6), st.one_of(st.none(), st.integers(0, 4))), min_size=1, max_size=40))
+def test_windows_over_blocks_equal_windows_over_tags(spark, rows):
+    from pyspark.sql import Window
+
+    e = events(spark, [(T0 + m * H, 1, k, None if v is None else float(v), None) for k, m, v in rows])
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    want = {r["event_id"]: (r["roll"], r["diff"]) for r in e.select("event_id", F.avg("value").over(w.rowsBetween(-5, -1)).alias("roll"), (F.col("value") - F.lag("value", 3).over(w)).alias("diff")).collect()}
+    roll = {r["event_id"]: r["roll"] for r in features.rolling_rows(e, 5, block_rows=6).collect()}
+    diff = {r["event_id"]: r["diff"] for r in features.differenced(e, 3, block_rows=6).collect()}
+    assert {k: (pytest.approx(roll[k]) if roll[k] is not None else None, diff[k]) for k in roll} == want
+    ranks = {r["event_id"]: tuple(r[c] for c in ("rn", "rk", "dr", "tile")) for r in features.ranked(e.select("event_id", "event_type", "ts", "value"), "event_type", ("ts", "value"), 3, slice_rows=5).collect()}
+    v = Window.partitionBy("event_type").orderBy("ts", "value")
+    exact = {r["event_id"]: (r["rk"], r["dr"]) for r in e.select("event_id", F.rank().over(v).alias("rk"), F.dense_rank().over(v).alias("dr")).collect()}
+    assert {k: x[1:3] for k, x in ranks.items()} == exact
+    for tag in ("a", "b"):
+        n = sum(k == tag for k, _, _ in rows)
+        assert sorted(ranks[i][0] for i, x in enumerate(rows) if x[0] == tag) == [*range(1, n + 1)]
+        tiles = sorted(ranks[i][3] for i, x in enumerate(rows) if x[0] == tag)
+        assert tiles == [t for t in (1, 2, 3) for _ in range(n // 3 + (t <= n % 3))]
+
+
+def test_stuck_runs_across_blocks(spark):
+    values = [1.0, 1.2, 1.4, 1.5, 9.0, 9.1, 9.2, 3.0]
+    e = events(spark, [(T0 + i * H, 1, "error", v, None) for i, v in enumerate(values)])
+    for rows in (1, 2, 3, 100):
+        assert [(r["run"], r["n"]) for r in quality.stuck(e, block_rows=rows).orderBy("run").collect()] == [(1, 4), (2, 3)]
+
+
+def test_quantiles_of_nulls_ties_and_single_rows(spark):
+    from emberline.operators.ordered import quantiles
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 2.0), ("a", 10.0), ("a", None), ("b", 5.0), ("c", None), (None, 3.0), (None, 4.0)], "k string, v double")
+    for size in (1, 2, 100):
+        got = {r["k"]: (r["q"], r["m"]) for r in quantiles(rows, "k", "v", {"q": 0.25, "m": 0.5}, size).collect()}
+        assert got == {"a": (1.0, 1.5), "b": (5.0, 5.0), None: (3.25, 3.5)}
+    assert quantiles(rows.limit(0), "k", "v", {"m": 0.5}).count() == 0
+
+
+def test_lift_by_hand(spark):
+    e = events(spark, [(T0, 1, "click", 1.0, None), (T0 + H, 1, "error", 1.0, None), (T0 + 2 * H, 1, "view", 1.0, None), (T0 + 30 * H, 1, "error", 1.0, None), (T0, 2, "view", 1.0, None)])
+    r = indicators.precursor_rate(e, "click", "error").first()
+    assert (r["events"], r["hits"], r["rate"]) == (2, 1, 0.5) and r["base"] == pytest.approx(1 / 3) and r["lift"] == pytest.approx(1.5)
+
+
+def test_spreadsheets_need_their_reader(spark, tmp_path, monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "openpyxl", None)
+    with pytest.raises(RuntimeError, match="openpyxl"):
+        tables.read_spreadsheet(spark, str(tmp_path), tables.EVENTS)
+    import types
+
+    import pandas as pd
+
+    monkeypatch.setitem(sys.modules, "openpyxl", types.ModuleType("openpyxl"))
+    monkeypatch.setattr(pd, "read_excel", lambda data, sheet_name: pd.DataFrame({"extra": [0], "n": [len(data.read())], "s": [str(sheet_name)]}))
+    made = list(tables.sheet_rows([pd.DataFrame({"content": [b"abc"]})], ["s", "n"], 2))
+    assert [f.to_dict("list") for f in made] == [{"s": ["2"], "n": [3]}]
