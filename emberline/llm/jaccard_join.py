@@ -20,6 +20,18 @@ them held together, the largest component's members never with each other. All
 candidate pairs are then either verified or inside one component, so components
 are exact, and a group of n near copies costs about n verifications, not n^2.
 
+Buckets of what does not link. Texts that share a long template meet in the same
+buckets without being linked. There are a fifth more parts than the pigeonholes need,
+so a linked pair has not one but several equal keys, t at least, a number that a set
+knows by itself. Each set therefore leaves out its t - 1 largest buckets (of those that
+hold several components, all sets by the same order): of t shared keys one stays. This
+empties the buckets that a template of up to half of the texts' shingles makes.
+
+Hot keys. A class that a large share of the pairs name, as the hub of a large group,
+meets its data by broadcast: keys above max(500, 1 / 20,000 of the rows) are fewer
+than 20,000. Whole sets are never broadcast: a hub's set is sent once for each
+slice of so many members.
+
 Sets are compared by 64-bit hashes: N classes are confused with a chance of about
 N^2 / 2^65.
 
@@ -36,7 +48,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_kernel as K
@@ -48,6 +60,8 @@ SKETCH_COLUMNS = tuple(f"s{i}" for i in range(SKETCH))
 WIDE = 4 * SKETCH  # longs of the finer sketch, which folds into the other
 #: Parts whose keys are odd; a pair that meets in several of them is put forward once.
 EARLY = 6
+#: Most keys that are hot, and rows that every key may have.
+HOT, COLD_ROWS = 20_000, 500
 #: Different classes a task remembers, so that copies send their keys once.
 REMEMBERED = 200_000
 
@@ -71,10 +85,10 @@ def bands(config: Config, longest: int) -> np.ndarray:
 
 
 def parts(config: Config, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each band, as that of a pair's smaller set: most tokens apart, and number of sketch parts. Some 12% more parts than the pigeonholes need make up for empty ones."""
+    """For each band, as that of a pair's smaller set: most tokens apart, and number of sketch parts. A fifth more parts than the pigeonholes need make up for empty ones, and let a linked pair agree in several."""
     largest = ends[1:] - 1
     apart = np.array([config.most_apart(int(n + n * 100 // config.percent)) for n in largest], dtype=np.int64)
-    return apart, np.ceil((apart + 1) * 1.12).astype(np.int64) + 1
+    return apart, np.ceil((apart + 1) * 1.2).astype(np.int64) + 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +143,31 @@ def sketches(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8).reshape(rows, bits), axis=1).view(np.int64)
 
 
+def spare_keys(tokens: np.ndarray, starts: np.ndarray, config: Config) -> np.ndarray:
+    """rows x 2: in how many keys of an even and of an odd band, beside one, a linked row agrees at least."""
+    n = np.diff(starts)
+    if not len(tokens):
+        return np.zeros((len(n), 2), dtype=np.int64)
+    ends = bands(config, int(n.max()))
+    apart, count = parts(config, ends)
+    own = np.searchsorted(ends, n, side="right") - 1
+    row = np.repeat(np.arange(len(n)), n)
+    out, high = np.zeros((len(n), 2), dtype=np.int64), tokens >> U64(32)
+    for band in (own, own - 1):
+        fits = np.flatnonzero((n > 0) & (band >= 0))
+        parts_of = np.where(band >= 0, count[band], 0)
+        with np.errstate(over="ignore"):
+            part = (high * parts_of[row].astype(U64)) >> U64(32)  # as in part_keys
+        filled = np.bincount(row, weights=np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])], minlength=len(n)).astype(np.int64)
+        out[fits, band[fits] & 1] = np.maximum(0, filled[fits] - apart[band[fits]] - 1)
+    return out
+
+
 def part_keys(tokens: np.ndarray, starts: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the sketch parts of all rows, in both bands where a row can link."""
+    """(row, key) of the sketch parts of all rows, in both bands where a row can link.
+
+    Bit 0 of a key: an early part. Bit 1: whether the band is odd.
+    """
     n = np.diff(starts)
     ends = bands(config, int(n.max()) if len(n) else 1)
     apart, count = parts(config, ends)
@@ -156,7 +193,7 @@ def part_keys(tokens: np.ndarray, starts: np.ndarray, config: Config) -> tuple[n
                 r, part, x = np.r_[r, np.full(len(empty), row)], np.r_[part, empty], np.r_[x, np.zeros(len(empty), dtype=U64)]
             rows.append(r)
             key = K.splitmix(x ^ K.splitmix((band[r] << 32 | part).astype(U64)))
-            keys.append(key & ~U64(1) | (part < EARLY).astype(U64))
+            keys.append(key & ~U64(3) | (band[r] & 1).astype(U64) << U64(1) | (part < EARLY).astype(U64))
     if not rows:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
     return np.concatenate(rows), np.concatenate(keys)
@@ -167,8 +204,8 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def members(documents: DataFrame, config: Config) -> DataFrame:
-    """doc_id, n_shingles, cls (null without shingles) and sketch of every row."""
-    words = config.words
+    """doc_id, n_shingles, cls (null without shingles), sketch, and how many keys it may leave out of even and of odd bands, of every row."""
+    words, percent = config.words, config.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +215,11 @@ def members(documents: DataFrame, config: Config) -> DataFrame:
                 sketch = np.bitwise_xor.reduce(wide.reshape(-1, 4, SKETCH), axis=1)
                 finer = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WIDE), pa.array(wide.ravel()))
                 cls = pa.array(class_ids(tokens, starts).view(np.int64), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n), cls, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH)), finer], names=["doc_id", "n_shingles", "cls", *SKETCH_COLUMNS, "wide"])
+                spare = spare_keys(tokens, starts, Config(words, percent))
+                longs = [*(sketch[:, i] for i in range(SKETCH)), spare[:, 0], spare[:, 1]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n), cls, *(pa.array(np.ascontiguousarray(x)) for x in longs), finer], names=["doc_id", "n_shingles", "cls", *SKETCH_COLUMNS, "even", "odd", "wide"])
 
-    schema = "doc_id long, n_shingles long, cls long, " + ", ".join(f"{s} long" for s in SKETCH_COLUMNS) + ", wide array<long>"
+    schema = "doc_id long, n_shingles long, cls long, " + ", ".join(f"{s} long" for s in SKETCH_COLUMNS) + ", even long, odd long, wide array<long>"
     small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -233,10 +272,25 @@ def _near(a: str, b: str, config: Config) -> Column:
     return (100 * F.least(na, nb) >= config.percent * F.greatest(na, nb)) & (distance * (100 + config.percent) <= (na + nb) * (100 - config.percent))
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with table (key; n: how many rows it has at most; ...), without n. Keys with many rows meet by broadcast; their rows are HOT times fewer than total, or COLD_ROWS times."""
+    limit = max(COLD_ROWS, total // HOT)
+    hot = F.broadcast(table.where(F.col("n") > limit))
+    cold = table.where(F.col("n") <= limit)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key)).drop("n")
+
+
+def counted(rows: DataFrame, key: str, classes: DataFrame) -> DataFrame:
+    """classes (key; ...), written, with n: how many of rows have the key. Keys without any are left out."""
+    return written(classes.join(rows.groupBy(key).agg(F.count("*").alias("n")), key), "counted")
+
+
 def closer(pairs: DataFrame, classes: DataFrame, config: Config) -> DataFrame:
     """The pairs (a, b) that the finer sketches allow too. It spares most pairs just below the threshold the journey of their whole sets."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = written(pairs, "pairs")
+    both, total = pairs, pairs.count()
+    for x in ("a", "b"):
+        both = lookup(both, counted(pairs, x, classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))), x, total)
     distance = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return both.where(distance * (100 + config.percent) <= (F.col("na") + F.col("nb")) * (100 - config.percent)).select("a", "b")
 
@@ -246,23 +300,37 @@ def _named(classes: DataFrame, prefix: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, config: Config) -> DataFrame:
-    """The pairs (a, b) of classes that link, by their whole sets, which are made again from one text of each class."""
-    words = config.words
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    texts = checked(classes.join(needed, "cls", "left_semi").select(F.col("first_doc").alias("doc")), "needed")
+    """The pairs (a, b) of classes that link, by their whole sets, which are made again from one text of each class.
+
+    Each pair brings the set of a to where b's set is; b has a place for every COLD_ROWS pairs.
+    """
+    words, total = config.words, pairs.count()
+    limit = max(COLD_ROWS, total // HOT)
+    hot = F.broadcast(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > limit))
+    place = F.when(F.col("n").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / limit)))
+    placed = written(pairs.join(hot, "b", "left").select("a", "b", place.alias("place")), "placed")
+    docs = classes.select("cls", F.col("first_doc").alias("doc"))
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = chosen.join(texts, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in K.slices(batch.column(0)):
+            for at, to, data, offsets in K.slices(batch.column(3)):
                 tokens, starts = shingle_sets(data, offsets, words)
-                yield pa.RecordBatch.from_arrays([_long(class_ids(tokens, starts)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), _long(tokens))], names=["cls", "tokens"])
-
-    sets = chosen.mapInArrow(run, "cls long, tokens array<long>").dropDuplicates(["cls"])
-    sides = pairs.join(sets.withColumnsRenamed({"cls": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"cls": "b", "tokens": "tb"}), "b")
+                cols = [batch.column(k).slice(at, to - at) for k in range(3)]
+                # another text may have the same doc_id
+                yield pa.RecordBatch.from_arrays([*cols, _long(class_ids(tokens, starts)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), _long(tokens))], names=["b", "place", "cls", "is", "tokens"])
+
+    def sets(asked: DataFrame, label: str) -> DataFrame:
+        """b, place, cls and tokens for asked (b, place, cls)."""
+        asked = checked(asked.join(docs, "cls").select("b", "place", "cls", "doc"), label)
+        made = chosen.join(asked, F.col("doc_id").eqNullSafe(F.col("doc"))).select("b", "place", "cls", "text")
+        return made.mapInArrow(run, "b long, place long, cls long, is long, tokens array<long>").where(F.col("cls") == F.col("is")).drop("is")
+
+    left = sets(placed.select("b", "place", F.col("a").alias("cls")), "asked").withColumnsRenamed({"cls": "a", "tokens": "ta"})
+    right = sets(placed.select("b", "place", F.col("b").alias("cls")).distinct(), "asked").drop("cls").withColumnRenamed("tokens", "tb")
     common = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return sides.where(100 * common >= config.percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+    links = left.join(right, ["b", "place"]).where(100 * common >= config.percent * (F.size("ta") + F.size("tb") - common))
+    return links.select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -271,12 +339,12 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "least")
+        large = lookup(both.where("v > u"), least, "u", 2 * edges.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "of")
-        small = large.join(least, F.col("u") == F.col("of"))
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select(F.col("of").alias("u"), F.col("m").alias("v")))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = lookup(large, least, "u", large.count())
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = written(small.distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -293,6 +361,12 @@ def across(met: DataFrame, roots: DataFrame, classes: DataFrame, tried: DataFram
     rows = rows.join(roots, rows["cls"] == roots["node"], "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     held = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("key", "top")
     rows = written(rows.join(held, "key"), "mixed")
+    # a class leaves out its largest buckets, as far as a linked class agrees with it in others
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
+    odd = F.col("key").bitwiseAND(F.lit(2)) != 0
+    order = Window.partitionBy("cls", odd).orderBy(F.col("size").desc(), F.col("key"))
+    rows = rows.join(sizes, "key").withColumn("rank", F.row_number().over(order)).join(classes.select("cls", "even", "odd"), "cls")
+    rows = written(rows.where(F.col("rank") > F.when(odd, F.col("odd")).otherwise(F.col("even"))).select("key", "cls", "root", "top"), "mixed")
     early = rows.where("key % 2 <> 0").groupBy("cls").agg(F.collect_set("key").alias("early"))  # EARLY keys in each of two bands at most
     about = classes.join(early, "cls", "left").select("cls", "n", *SKETCH_COLUMNS, F.coalesce("early", F.array().cast("array<bigint>")).alias("early"))
     rows, columns = rows.join(about, "cls"), ("cls", "n", *SKETCH_COLUMNS, "early")
@@ -308,11 +382,11 @@ def across(met: DataFrame, roots: DataFrame, classes: DataFrame, tried: DataFram
 def near_duplicates(documents: DataFrame, config: Config = Config()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
     rows = written(members(documents, config), "members")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in (*SKETCH_COLUMNS, "wide")))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in (*SKETCH_COLUMNS, "even", "odd", "wide")))
     classes = written(classes, "classes")
     met = written(buckets(documents, config), "buckets")
-    stars = met.select(F.col("cls").alias("a_cls"), F.col("hub").alias("b_cls")).distinct()
-    tried = stars.join(_named(classes, "a_"), "a_cls").join(_named(classes, "b_"), "b_cls").where(_near("a_", "b_", config))
+    stars = written(met.select(F.col("cls").alias("a_cls"), F.col("hub").alias("b_cls")).distinct(), "stars")
+    tried = lookup(stars.join(_named(classes, "a_"), "a_cls"), counted(stars, "b_cls", _named(classes, "b_")), "b_cls", stars.count()).where(_near("a_", "b_", config))
     tried = written(closer(tried.select(F.greatest("a_cls", "b_cls").alias("a"), F.least("a_cls", "b_cls").alias("b")).distinct(), classes, config), "stars")
     links = written(verified(tried, documents, classes, config), "links")
     roots = written(components(links), "roots")
