@@ -61,6 +61,11 @@ def aside(documents: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list
     return documents.withColumnsRenamed(moved), [F.col(moved.get(c, c)).alias(c) for c in documents.columns]
 
 
+def without(documents: DataFrame, *names: str) -> list[str]:
+    """The columns of documents but those of these names, in any case."""
+    return [c for c in documents.columns if c.lower() not in names]
+
+
 #: Most rows of keys that checked() broadcasts, under 100 bytes each.
 BROADCAST_ROWS = 1_000_000
 
