@@ -38,22 +38,34 @@ reach as (select doc_id as a, doc_id as b from n union select r.a, l.b from reac
 select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.b, d.doc_id) as component_id
 from d left join n using (doc_id) left join (select a as doc_id, min(b) as b from reach group by 1) c using (doc_id)"""
 
-_SEG = "list_filter(string_split(path, '/'), lambda x: x <> '')"
 
+_SEG = "list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '[0-9]') then '*' else x end)"
 
-def _raw(d: int) -> str:
-    return f"case when regexp_matches(coalesce(seg[{d}], ''), '[0-9]') then '*' else coalesce(seg[{d}], '') end as raw{d}"
+
+def _domain(k: int) -> str:
+    """Purity of the hosts' domains of k labels, on top of those of k - 1."""
+    node = f"array_to_string(parts[-{k}:], '.')"
+    return f"""dom{k} as (select d, sum(lab) as dl, sum(blk) as db from (select {node} as d, lab, blk from hosts) group by 1),
+up{k} as (select h.* exclude (purity, held), case when len(parts) > {k} then (db + 4 * purity) / (dl + 4) else purity end as purity, case when len(parts) > {k} then greatest(held, dl) else held end as held
+    from up{k - 1} h join dom{k} on d = {node})"""
 
 
 def _level(d: int) -> str:
-    parent = ", ".join(["host", *(f"t{i}" for i in range(1, d))])
     old = f"tree{d - 1}"
-    return f"""b{d} as (select {parent}, raw{d}, sum(n) as bn, sum(lab) as bl, sum(blk) as bb from {old} group by all),
-p{d} as (select {parent}, sum(bl) as pl, sum(bb) as pb from b{d} group by all),
-v{d} as (select {parent}, raw{d}, bn, bl::double as bl, bb::double as bb, (pl - bl)::double as rl, (pb - bb)::double as rb, pl::double as pl, pb::double as pb from b{d} join p{d} using ({parent})),
-m{d} as (select {parent}, raw{d}, case when raw{d} = '' or (bn >= 5 and not coalesce(case when bl > 0 and rl > 0 then (bb / bl - rb / rl) * (bb / bl - rb / rl) <= 1.96 * 1.96 * (pb / pl * (1 - pb / pl) * (1 / bl + 1 / rl)) end, false)) then raw{d} else '*' end as t{d} from v{d}),
-tree{d} as (select {old}.*, t{d} from {old} join m{d} using ({parent}, raw{d}))"""
+    return f"""b{d} as (select node, raw[{d}] as step, sum(n) as bn, sum(lab) as bl, sum(blk) as bb from {old} where len(raw) >= {d} and nn >= 5 group by all),
+p{d} as (select node, sum(bl) as pl, sum(bb) as pb from b{d} group by all),
+v{d} as (select node, step, bn, bl::double as bl, bb::double as bb, (pl - bl)::double as rl, (pb - bb)::double as rb, pl::double as pl, pb::double as pb from b{d} join p{d} using (node)),
+m{d} as (select node, step, bn, bl, bb, case when bn >= 5 and not coalesce(case when bl > 0 and rl > 0 then (bb / bl - rb / rl) * (bb / bl - rb / rl) <= 1.96 * 1.96 * (pb / pl * (1 - pb / pl) * (1 / bl + 1 / rl)) end, false) then step else '*' end as name from v{d}),
+c{d} as (select node, step, name, sum(bn) over w as cn, sum(bl) over w as cl, sum(bb) over w as cb from m{d} window w as (partition by node, name)),
+tree{d} as (select t.* exclude (node, nn, purity, held), case when nn < 0 then t.node when c.node is null then t.node || array_to_string(list_transform(raw[{d}:], lambda x: '/*'), '') else concat_ws('/', c.node, name) end as node, case when c.node is null then -1 else cn end as nn,
+    case when c.node is null then purity else (cb + 4 * purity) / (cl + 4) end as purity, case when c.node is null then held else greatest(held, cl) end as held
+    from (select *, case when len(raw) >= {d} and nn >= 5 then raw[{d}] end as step from {old}) t left join c{d} c on t.node = c.node and t.step = c.step)"""
+
 
+#: Levels of the tree that the SQL spells out: more than the paths of the test tables have.
+LEVELS = 4
+_LEVELS = ",\n".join(_level(d) for d in range(1, LEVELS + 1))
+_DOMAINS = ",\n".join(_domain(k) for k in range(1, 5))
 
 OP5 = rf"""
 with u as (select page_id, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end, '') as rest from pages),
@@ -61,22 +73,21 @@ h as (select page_id, {lowered("regexp_extract(rest, '^([^/?#]*)', 1)")} as host
 rules as (select * from (values ('block', 'net', ''), ('allow', 'example.net', 'en/'), ('block', 'example.com', 'de/'), ('allow', 'org', 'fr/')) r(verdict, rhost, rpath)),
 fit as (select page_id, rhost || '/' || rpath as rule, verdict, row_number() over (partition by page_id order by length(rhost || '/' || rpath) desc, rhost || '/' || rpath desc) as k
     from h join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, '/' || rpath)),
-j as (select h.page_id, host, path, rule, verdict, {_SEG} as seg from h left join (select * from fit where k = 1) f using (page_id)),
-k as (select page_id, host, path, rule, verdict, {_raw(1)}, {_raw(2)}, {_raw(3)} from j),
-tree0 as (select host, raw1, raw2, raw3, count(*) as n, count(verdict) as lab, count(*) filter (verdict = 'block') as blk from k group by all),
-{_level(1)},
-{_level(2)},
-{_level(3)},
-prior as (select coalesce(sum(blk)::double / nullif(sum(lab), 0), 0.5) as prior from tree3),
-leaf as (select host, t1, t2, t3, sum(blk)::double as blk, sum(lab)::double as lab from tree3 group by all),
-verdicts as (select host, t1, t2, t3, case when (blk + 4.0 * prior) / (lab + 4.0) >= 0.8 then 'block' else 'allow' end as tree_verdict from leaf, prior),
-named as (select host, raw1, raw2, raw3, tree_verdict, concat_ws('/', host, nullif(t1, ''), nullif(t2, ''), nullif(t3, '')) as template from tree3 join verdicts using (host, t1, t2, t3))
-select page_id, host, path, rule, coalesce(verdict, tree_verdict) as verdict, template from k join named using (host, raw1, raw2, raw3)"""
+k as (select h.page_id, host, path, rule, verdict, {_SEG} as raw from h left join (select * from fit where k = 1) f using (page_id)),
+counted as (select host, raw, count(*) as n, count(verdict) as lab, count(*) filter (verdict = 'block') as blk from k group by all),
+prior as (select coalesce(sum(blk)::double / nullif(sum(lab), 0), 0.5) as prior from counted),
+hosts as (select host, string_split(host, '.') as parts, sum(n) as nn, sum(lab)::double as lab, sum(blk)::double as blk from counted group by host),
+up0 as (select hosts.*, prior as purity, 0::double as held from hosts, prior),
+{_DOMAINS},
+top as (select host, nn, (blk + 4 * purity) / (lab + 4) as purity, greatest(held, lab) as held from up4),
+tree0 as (select host, raw, n, lab, blk, host as node, nn, purity, held from counted join top using (host)),
+{_LEVELS}
+select page_id, k.host, path, rule, coalesce(verdict, case when purity >= 0.8 and held >= 5 then 'block' else 'allow' end) as verdict, node as template from k join tree{LEVELS} t on t.host = k.host and t.raw = k.raw"""
 
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _KINDS = (
     ("assign", _ASSIGN, 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32), ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 32), ("url_login", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{1,1000}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 32), ("url_login", r"[a-z][a-z0-9+.-]{0,15}://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@", 0, 1),
 )
 _FOUND = " union all ".join(
     f"""select doc_id, {k} as o, '{kind}' as kind, i, gap, m, length(v) >= {least} as ok from (select doc_id, unnest(range(1, len(ms) + 1)) as i, unnest(gs[:len(ms)]) as gap, unnest(ms) as m, unnest(vs) as v

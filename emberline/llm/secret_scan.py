@@ -7,41 +7,57 @@ findings back to every path (row) that holds the blob, in any historical version
 
 Everything is DataFrame operations: a rule's matches come from regexp_extract_all,
 their offsets from the lengths of the pieces that split() leaves between them.
+Texts are gated first: only those that hold a rule's literal and its gate pattern
+travel, once for each different text. Patterns try a bounded number of characters
+at each place, so a long run of letters costs no more than as many words.
 
 Defined cases: a null text is an empty one and has no findings; copies of a text
 are scanned once, whatever their number; equal rows stay equal rows; an empty
-table gives an empty result and an empty ledger entry; other columns pass.
+table gives an empty result and an empty ledger entry; clean blobs are in the ledger
+too; other columns pass, but for `blob` and `findings` in any case. Two scans that
+write one ledger at once may both write a pair; it is read as one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import aside, sha256_hex, written
+from .common import aside, sha256_hex, shared_dir, without, written
 
 
 @dataclass(frozen=True)
 class SecretRule:
-    """pattern's matches count whose group (0: whole match) has at least `least` characters."""
+    """pattern's matches count whose group (0: whole match) has at least `least` characters.
+
+    gate: a cheaper pattern, and needs: a literal, that every text with a counting match holds.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    gate: str | None = None  # None: the pattern
+    needs: str = ""
 
 
 # The three base rules. Letter classes are spelt out, so only ASCII letters fold.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-BASE = (SecretRule("assign", ASSIGN, 2, 8), SecretRule("access", "AKIA[A-Z0-9]+", 0, 16), SecretRule("hex", "[0-9a-f]+", 0, 32))
-#: Spans that the method adds.
+BASE = (
+    SecretRule("assign", ASSIGN, 2, 8),
+    SecretRule("access", "AKIA[A-Z0-9]+", 0, 16, "AKIA[A-Z0-9]{12}", "AKIA"),
+    SecretRule("hex", "[0-9a-f]+", 0, 32, "[0-9a-f]{32}"),
+)
+#: Spans that the method adds. A token's header has 1000 characters at most, a scheme 16.
 ADDED = (
-    SecretRule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 32),
-    SecretRule("url_login", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@"),
+    SecretRule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", needs="-----BEGIN "),
+    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{1,1000}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 32, needs="eyJ"),
+    SecretRule("url_login", r"[a-z][a-z0-9+.-]{0,15}://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@", needs="://"),
 )
 RULES = BASE + ADDED
 
@@ -50,9 +66,17 @@ def rule_version(rules: tuple[SecretRule, ...]) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
-def _gate(rule: SecretRule) -> str:
-    """A cheap pattern that every text with a counting match of a base rule satisfies."""
-    return {"hex": "[0-9a-f]{32}", "access": "AKIA[A-Z0-9]{12}"}.get(rule.kind, rule.pattern)
+#: Most bytes of findings that are broadcast; beyond, they meet their paths by a shuffle.
+BROADCAST_BYTES = 64_000_000
+
+
+def gated(text: Column, rules: tuple[SecretRule, ...]) -> Column:
+    """Whether a text can hold a counting match."""
+    out = F.lit(False)
+    for r in rules:
+        one = text.rlike(r.gate or r.pattern)
+        out = out | (text.contains(r.needs) & one if r.needs else one)
+    return out
 
 
 def _matches(text: Column, rule: SecretRule, ordinal: int) -> Column:
@@ -83,39 +107,43 @@ def blob_findings(blobs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
     return spans.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("findings"))
 
 
-def scan(documents: DataFrame, rules: tuple[SecretRule, ...] = RULES, ledger: str | None = None, text: str = "text") -> DataFrame:
+def in_ledger(spark: SparkSession, ledger: str, version: str) -> DataFrame | None:
+    """blob and findings that the ledger has of a rule version; None where there is no ledger yet."""
+    try:
+        return spark.read.parquet(ledger).where(F.col("rule_version") == version).select("blob", "findings")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def scan(documents: DataFrame, rules: tuple[SecretRule, ...] = RULES, ledger: str | None = None, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """documents with `blob` and `findings` (never null) added, columns of these names being replaced.
 
     ledger: folder of the ledger, shared by all executors; scans with the same
-    one skip what it has. None: a new ledger for this call, in the shared folder.
+    one skip what it has. None: a new ledger, in the application's shared folder.
     """
     spark, version = documents.sparkSession, rule_version(rules)
-    kept = documents.select(*(c for c in documents.columns if c not in ("blob", "findings")))
+    ledger = ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    kept = documents.select(*without(documents, "blob", "findings"))
     whole = F.coalesce(F.col(text), F.lit(""))
-    any_gate = None
-    for r in rules:
-        any_gate = whole.rlike(_gate(r)) if any_gate is None else any_gate | whole.rlike(_gate(r))
+    may = gated(whole, rules)
     # Only texts that can hold a finding travel; the others are known clean, and go into the ledger by their names alone.
-    seen = kept.select(sha256_hex(whole).alias("blob"), F.when(any_gate, whole).alias("text"))
-    known = None
-    if ledger is not None:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            known = spark.read.parquet(ledger).where(F.col("rule_version") == version).select("blob", "findings")
-            seen = seen.join(known, "blob", "left_anti")
-    unseen = seen.where("text is not null").groupBy("blob").agg(F.first("text").alias("text"))
-    found = blob_findings(unseen, rules)
-    if ledger is None:
-        findings = written(found, "ledger")
-    else:
-        clean = seen.where("text is null").select("blob").distinct().select("blob", F.array().cast(found.schema["findings"].dataType).alias("findings"))
-        fresh = written(unseen.select("blob").join(found, "blob", "left").select("blob", F.coalesce("findings", F.array().cast(found.schema["findings"].dataType)).alias("findings")).unionAll(clean), "ledger-new")
-        fresh.withColumn("rule_version", F.lit(version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
-        findings = (fresh if known is None else known.unionAll(fresh)).where(F.size("findings") > 0)
+    seen = kept.select(sha256_hex(whole).alias("blob"), F.when(may, whole).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    known = in_ledger(spark, ledger, version)
+    unseen = written(seen if known is None else seen.join(known, "blob", "left_anti"), "unseen")
+    found = blob_findings(unseen.where("text is not null"), rules)
+    none = F.array().cast(found.schema["findings"].dataType)
+    fresh = unseen.select("blob").join(found, "blob", "left").select("blob", F.coalesce("findings", none).alias("findings"), F.lit(version).alias("rule_version"))
+    fresh.write.mode("append").partitionBy("rule_version").parquet(ledger)
+    findings = in_ledger(spark, ledger, version).where(F.size("findings") > 0).dropDuplicates(["blob"])
+    paths = kept.withColumn("blob", sha256_hex(whole))
+    chars = F.aggregate("findings", F.lit(0).cast("long"), lambda n, s: n + 100 + 2 * F.length(s["value"]))
+    if (findings.agg(F.sum(chars + 100)).first()[0] or 0) <= broadcast_bytes:
+        return paths.join(F.broadcast(findings), "blob", "left").select(*kept.columns, "blob", F.coalesce("findings", none).alias("findings"))
     # paths whose text can hold nothing need no join, so their texts don't travel
-    paths, none = kept.withColumn("blob", sha256_hex(whole)), F.array().cast(found.schema["findings"].dataType)
-    held = paths.where(any_gate).join(findings, "blob", "left").select(*kept.columns, "blob", F.coalesce("findings", none).alias("findings"))
-    return held.unionAll(paths.where(~any_gate).select(*kept.columns, "blob", none.alias("findings")))
+    held = paths.where(may).join(findings, "blob", "left").select(*kept.columns, "blob", F.coalesce("findings", none).alias("findings"))
+    return held.unionAll(paths.where(~may).select(*kept.columns, "blob", none.alias("findings")))
 
 
 def joined_spans(findings: Column) -> Column:
@@ -124,7 +152,7 @@ def joined_spans(findings: Column) -> Column:
 
 
 def redact(documents: DataFrame, rules: tuple[SecretRule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """documents without their secrets: each run of overlapping findings in `text` becomes the mark, and n_chars is counted again.
+    """documents without their secrets: each run of overlapping findings in `text` becomes the mark, and n_chars, where there is one, is counted again.
 
     Documents without findings stay as they are, null texts included.
     """
@@ -144,5 +172,7 @@ def redact(documents: DataFrame, rules: tuple[SecretRule, ...] = RULES, mark: st
         lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.char_length("text"))),
     )
     text = F.when(F.size("findings") > 0, cut).otherwise(F.col("text"))
-    out = found.withColumn("text", text).withColumn("n_chars", F.when(F.size("findings") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    out = found.withColumn("text", text)
+    if "n_chars" in (c.lower() for c in documents.columns):
+        out = out.withColumn("n_chars", F.when(F.size("findings") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*back)

@@ -1,19 +1,29 @@
 """URL verdicts from rules and, where no rule fits, from a tree of path templates.
 
 Rows that a rule decides are the labelled ones. Every url becomes a chain of
-templates: its host, then the host with one more path segment at each level.
+templates: its host, then the host with one more path segment at each level, as
+deep as paths go.
 Segments that hold a digit, or that a parent has seen fewer than `support` times,
 become the wildcard `*`. A branch whose labelled block rate does not differ from
 that of its labelled siblings (two-proportion z) is merged into the wildcard
-branch. A template is rejected when its smoothed labelled purity reaches
-`reject`; a template without labels has the prior's purity.
+branch. The tree grows level by level; a node of fewer than `support` rows grows no
+further, as all below it would be wildcards, which are written at once. So there are
+as many rounds as levels that `support` rows share.
+
+A node's purity is its labelled block rate, smoothed by `weight` pseudo-rows of its
+parent's purity; a host's parent is its domain without the first label, and so on up
+to the root, whose purity is the block rate of all labelled rows. So a branch without labels
+of its own is judged by the nearest node that has some. A template is rejected when
+its purity reaches `reject` and the branches that lead to it, host and domains
+included, hold `support` labelled rows at one of them below the root.
 
 Everything is DataFrame operations. Urls are reduced to counted templates before
 the first shuffle, so a host with a third of all rows adds up on the map side.
 
 Defined cases: a null url, or one without ://, has an empty host and path, and is
 judged by the template of the empty host; repeated rows are each judged; an empty
-table gives an empty result; no labelled row at all gives the prior 0.5, so allow.
+table gives an empty result; no labelled row at all gives the prior 0.5, so allow;
+other columns pass, but for clashing ones (in any case), which are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, without, written
 
 
 @dataclass(frozen=True)
@@ -42,10 +52,10 @@ RULES = (Rule("block", "net"), Rule("allow", "example.net", "en/"), Rule("block"
 
 @dataclass(frozen=True)
 class TreeConfig:
-    depth: int = 3  # levels of the tree below the host; what is deeper shares its ancestor's template
-    support: int = 5  # rows that a segment needs to stay literal
+    support: int = 5  # rows that a segment needs to stay literal, and labelled rows that a rejection needs
     z: float = 1.96  # siblings whose rates differ by less are merged
-    weight: float = 4.0  # pseudo-rows of the prior
+    weight: float = 4.0  # pseudo-rows of the parent's purity
+    domains: int = 4  # levels of parent domains that lend their purity to a host; a host of more labels hangs below its last four
     reject: float = 0.8  # least purity of a rejected template
 
 
@@ -72,50 +82,86 @@ def _counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("n", "lab", "blk")))
 
 
+def _purity(lab: Column, blk: Column, parent: Column, config: TreeConfig) -> Column:
+    return (blk + config.weight * parent) / (lab + config.weight)
+
+
+def domain(host: Column, labels: int) -> Column:
+    """The last so many labels of a host."""
+    return F.substring_index(host, ".", -labels)
+
+
+def host_purities(hosts: DataFrame, prior: float, config: TreeConfig) -> DataFrame:
+    """hosts (host; n, lab, blk) with purity and held: the labelled rows of the best evidenced node from the host up to its domain of one label.
+
+    Domains of 1, 2, ... labels are nodes where they are shorter than the host.
+    """
+    out = hosts.withColumns({"purity": F.lit(prior), "held": F.lit(0).cast("long")})
+    for k in range(1, config.domains + 1):
+        sums = _counts(hosts.select(domain(F.col("host"), k).alias("d"), "n", "lab", "blk"), "d").select("d", F.col("lab").alias("dl"), F.col("blk").alias("db"))
+        inner = F.size(F.split("host", "[.]")) > k  # else this node is the host itself
+        out = out.withColumn("at", domain(F.col("host"), k)).join(sums, F.col("at") == F.col("d"))
+        out = out.withColumns({"purity": F.when(inner, _purity(F.col("dl"), F.col("db"), F.col("purity"), config)).otherwise(F.col("purity")), "held": F.when(inner, F.greatest("held", "dl")).otherwise(F.col("held"))}).drop("at", "d", "dl", "db")
+    return out.withColumns({"purity": _purity(F.col("lab"), F.col("blk"), F.col("purity"), config), "held": F.greatest("held", "lab")})
+
+
+def segments(path: Column) -> Column:
+    """Segments of a path; those that hold a digit are the wildcard."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
+
+
 def template_verdicts(judged: DataFrame, config: TreeConfig) -> DataFrame:
-    """For every (host, raw1..rawD) of the urls: template and verdict of the tree.
+    """For every (host, raw: segments) of the urls: template, purity and verdict of the tree.
 
     judged: rows with host, path and rule_verdict.
     """
-    levels = range(1, config.depth + 1)
-    segments = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
-    raw = [F.when(F.get(segments, F.lit(d - 1)).rlike("[0-9]"), F.lit("*")).otherwise(F.coalesce(F.get(segments, F.lit(d - 1)), F.lit(""))).alias(f"raw{d}") for d in levels]
     labelled = F.col("rule_verdict").isNotNull().cast("long")
     blocked = F.coalesce((F.col("rule_verdict") == "block").cast("long"), F.lit(0).cast("long"))
-    tree = judged.select("host", *raw, F.lit(1).cast("long").alias("n"), labelled.alias("lab"), blocked.alias("blk"))
-    tree = written(_counts(tree, "host", *(f"raw{d}" for d in levels)), "templates")
-    for d in levels:
-        parent = ["host", *(f"t{i}" for i in range(1, d))]
-        branch = [*parent, f"raw{d}"]
-        branches = _counts(tree, *branch).withColumnsRenamed({"n": "bn", "lab": "bl", "blk": "bb"})
-        parents = _counts(branches.withColumnsRenamed({"bn": "n", "bl": "lab", "bb": "blk"}), *parent).withColumnsRenamed({"n": "pn", "lab": "pl", "blk": "pb"})
+    counted = _counts(judged.select("host", segments(F.col("path")).alias("raw"), F.lit(1).cast("long").alias("n"), labelled.alias("lab"), blocked.alias("blk")), "host", "raw")
+    counted = written(counted, "templates")
+    total = counted.agg(F.sum("lab").alias("lab"), F.sum("blk").alias("blk")).first()  # two numbers
+    prior = total["blk"] / total["lab"] if total["lab"] else 0.5
+    hosts = written(host_purities(_counts(counted, "host"), prior, config), "hosts")
+    # node: the template so far; open rows are those whose node may still branch
+    rows = counted.join(hosts.select("host", "purity", "held", F.col("n").alias("nn")), "host").withColumn("node", F.col("host"))
+    done, level = [], 1
+    while True:
+        ends = (F.size("raw") < level) | (F.col("nn") < config.support)
+        below = F.when(F.size("raw") >= level, F.concat(F.lit("/"), F.array_join(F.array_repeat(F.lit("*"), F.size("raw") - (level - 1)), "/"))).otherwise(F.lit(""))
+        done.append(rows.where(ends).select("host", "raw", F.concat("node", below).alias("template"), "purity", "held"))
+        rows = written(rows.where(~ends), "templates")
+        if rows.isEmpty():
+            break
+        step = F.get("raw", F.lit(level - 1))
+        branches = _counts(rows.withColumn("step", step), "node", "step").withColumnsRenamed({"n": "bn", "lab": "bl", "blk": "bb"})
+        parents = branches.groupBy("node").agg(F.sum("bl").alias("pl"), F.sum("bb").alias("pb"))
         rest_l, rest_b = F.col("pl") - F.col("bl"), F.col("pb") - F.col("bb")
         gap = F.col("bb") / F.col("bl") - rest_b / rest_l
         pooled = F.col("pb") / F.col("pl")
         spread = pooled * (1 - pooled) * (1 / F.col("bl") + 1 / rest_l)
         similar = F.when((F.col("bl") > 0) & (rest_l > 0), gap * gap <= config.z * config.z * spread).otherwise(F.lit(False))
-        literal = (F.col(f"raw{d}") == "") | ((F.col("bn") >= config.support) & ~similar)
-        named = branches.join(parents, parent).select(*branch, F.when(literal, F.col(f"raw{d}")).otherwise("*").alias(f"t{d}"))
-        tree = written(tree.join(named, branch), "templates")  # a level refers to the one above three times
-    leaf = ["host", *(f"t{d}" for d in levels)]
-    total = tree.agg(F.sum("lab").alias("lab"), F.sum("blk").alias("blk")).first()  # two numbers
-    prior = total["blk"] / total["lab"] if total["lab"] else 0.5
-    leaves = _counts(tree, *leaf)
-    purity = (F.col("blk") + config.weight * prior) / (F.col("lab") + config.weight)
-    leaves = leaves.select(*leaf, purity.alias("purity"), F.when(purity >= config.reject, "block").otherwise("allow").alias("tree_verdict"))
-    template = F.concat_ws("/", "host", *(F.when(F.col(f"t{d}") != "", F.col(f"t{d}")) for d in levels))
-    return tree.join(leaves, leaf).select("host", *(f"raw{d}" for d in levels), template.alias("template"), "purity", "tree_verdict")
+        name = F.when((F.col("bn") >= config.support) & ~similar, F.col("step")).otherwise("*")
+        named = written(branches.join(parents, "node").withColumn("name", name), "branches")
+        sums = named.groupBy("node", "name").agg(F.sum("bn").alias("cn"), F.sum("bl").alias("cl"), F.sum("bb").alias("cb"))
+        children = named.select("node", "step", "name").join(sums, ["node", "name"])
+        rows = rows.withColumn("step", step).join(children, ["node", "step"]).select(
+            "host", "raw", "n", "lab", "blk", _purity(F.col("cl"), F.col("cb"), F.col("purity"), config).alias("purity"), F.greatest("held", "cl").alias("held"),
+            F.col("cn").alias("nn"), F.concat_ws("/", "node", "name").alias("node"),
+        )
+        rows = written(rows, "templates")
+        level += 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionAll(d)
+    verdict = F.when((F.col("purity") >= config.reject) & (F.col("held") >= config.support), "block").otherwise("allow")
+    return written(out.select("host", "raw", "template", "purity", verdict.alias("tree_verdict")), "templates")
 
 
 def judge_urls(urls: DataFrame, rules: tuple[Rule, ...] = RULES, config: TreeConfig = TreeConfig(), url: str = "url") -> DataFrame:
     """urls with host, path, rule, verdict, template and purity added (columns of these names are replaced)."""
-    levels = range(1, config.depth + 1)
-    own = ("host", "path", "rule", "rule_verdict", "verdict", "template", "purity", "tree_verdict", *(f"raw{d}" for d in levels))
-    kept = urls.select(*(c for c in urls.columns if c not in own))
+    kept = urls.select(*without(urls, "host", "path", "rule", "rule_verdict", "verdict", "template", "purity", "tree_verdict", "raw"))
     text, verdict = rule_columns(rules)
     judged = with_parts(kept, url).withColumns({"rule": text, "rule_verdict": verdict})
     templates = template_verdicts(judged, config)
-    segments = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
-    keyed = judged.withColumns({f"raw{d}": F.when(F.get(segments, F.lit(d - 1)).rlike("[0-9]"), F.lit("*")).otherwise(F.coalesce(F.get(segments, F.lit(d - 1)), F.lit(""))) for d in levels})
-    out = keyed.join(templates, ["host", *(f"raw{d}" for d in levels)], "left")
+    out = judged.withColumn("raw", segments(F.col("path"))).join(templates, ["host", "raw"], "left")
     return out.select(*kept.columns, "host", "path", "rule", F.coalesce("rule_verdict", "tree_verdict").alias("verdict"), "template", "purity")
