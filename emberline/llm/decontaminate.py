@@ -2,8 +2,9 @@
 
 Benchmark items become windows of `n` consecutive normalised words (a shorter
 item is one window). Training texts are scanned against a broadcast
-hash set of them, keyed by each window's longest word; a hash hit counts only if
-the words of the whole window are equal.
+hash set of them, keyed by each window's rarest word (the one in the fewest
+windows), so that a word which many windows share leads to few of them; a hash hit
+counts only if the words of the whole window are equal.
 Everything is DataFrame operations.
 
 The broadcast side is the benchmark, whose windows are counted first: above
@@ -41,17 +42,21 @@ def windows(tokens: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """len, w, items (the ids that hold the window), anchor (its longest word) and at (where in w); one row for each different window."""
+    """len, w, items (the ids that hold the window), anchor (its rarest word, the longest of these) and at (where in w); one row for each different window."""
     b = benchmark.select("item_id", words(F.col("text")).alias("tokens")).where("size(tokens) > 0")
     long = b.where(F.size("tokens") >= n).select("item_id", F.explode(F.transform(windows(F.col("tokens"), n), lambda x: x["w"])).alias("w"))
     short = b.where(F.size("tokens") < n).select("item_id", F.col("tokens").alias("w"))
     out = long.unionAll(short).groupBy("w").agg(F.collect_set("item_id").alias("items"))
-    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
-    return out.select(F.size("w").alias("len"), "w", "items", longest.alias("anchor")).withColumn("at", F.array_position("w", F.col("anchor")).cast("int"))
+    out = written(out, "benchmark-grams")
+    each = out.select("w", F.explode(F.array_distinct("w")).alias("word"))
+    held = each.groupBy("word").agg(F.count("*").alias("held"))  # words of the benchmark: few rows, however many windows hold one
+    rarest = F.min_by("word", F.struct("held", -F.length("word"), "word"))
+    anchors = each.join(held, "word").groupBy("w").agg(rarest.alias("anchor"))
+    return out.join(anchors, "w").select(F.size("w").alias("len"), "w", "items", "anchor").withColumn("at", F.array_position("w", F.col("anchor")).cast("int"))
 
 
 def _scan_broadcast(d: DataFrame, grams: DataFrame) -> DataFrame:
-    """Hits by the broadcast set, keyed by the windows' longest words: such a word in a text names the windows that may lie around it, and the words there decide. A text's words are not copied for this: probe and comparison run inside one generated loop."""
+    """Hits by the broadcast set, keyed by the windows' rarest words: such a word in a text names the windows that may lie around it, and the words there decide. A text's words are not copied for this: probe and comparison run inside one generated loop."""
     probe = d.select("doc_id", "th", "tokens", F.posexplode("tokens").alias("i", "word"))
     start = F.col("i") + 2 - F.col("at")
     there = F.slice(F.col("tokens"), F.greatest(start, F.lit(1)), F.col("len")) == F.col("w")
