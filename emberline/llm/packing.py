@@ -35,13 +35,26 @@ END_ID = 1
 JSON, RANKS, SPECIAL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "<|endoftext|>"
 #: Text is tokenised so many rows at a time.
 ROWS = 256
+#: Characters of a run that only the tokenizer file takes.
+LONG_RUN = 1000
+
+
+def long_runs(text: str) -> bool:
+    """Whether a text may have a run of LONG_RUN white-space characters, or has a word of as many."""
+    if len(text) < LONG_RUN:
+        return False
+    words = text.split()
+    sizes = list(map(len, words))
+    return max(sizes, default=0) >= LONG_RUN or len(text) - sum(sizes) - len(words) >= LONG_RUN - 2
 
 
 def encoder(vocabulary: Callable[[str], str] = public_tokenizers.path) -> Callable[[str], list[int]]:
     """Ids of a text without special tokens added, as the tokenizer file gives them.
 
     The rank file holds the same vocabulary and splits, and is four times as
-    fast; texts that spell a special token go through the tokenizer file itself.
+    fast, but overflows its stack on long white space and is quadratic in long
+    words. Texts with either, and those that spell a special token, go through the
+    tokenizer file itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -52,7 +65,7 @@ def encoder(vocabulary: Callable[[str], str] = public_tokenizers.path) -> Callab
     slow: list[Tokenizer] = []
 
     def encode(text: str) -> list[int]:
-        if SPECIAL not in text:
+        if SPECIAL not in text and not long_runs(text):
             return fast.encode_ordinary(text)
         if not slow:
             slow.append(Tokenizer.from_file(vocabulary(JSON)))
