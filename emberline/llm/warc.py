@@ -5,7 +5,9 @@ Records are rows: warc_type, record_id, refers_to, target_uri, date, headers
 adds to every response a `metadata` record (JSON: source headers, title, links)
 and a `conversion` record (its text), both naming the response in
 WARC-Refers-To. read_warc() reads files and to_members() makes the bytes of files,
-gzip members included; each file is read by one task.
+gzip members included; each file is read whole by one task, so it may have 2 GB at
+most (by convention WARC files have 1 GB). Field names are matched in any case; a
+record whose length is no number is passed over.
 
 Bodies are decoded by their headers: chunked, gzip and deflate, then the charset.
 
@@ -157,13 +159,14 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """The records with two more for each response: metadata and conversion."""
+    """The records (RECORD) with two more for each response: metadata and conversion. One pass."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORD.split(", ")]
         for frame in frames:
+            yield frame
             rows = []
-            for r in frame.itertuples(index=False):
+            for r in frame[frame["warc_type"] == "response"].itertuples(index=False):
                 status, headers, body = _http(bytes(r.block or b""))
                 text = decoded(headers, body)
                 title = _TITLE.search(text)
@@ -173,8 +176,7 @@ def derive(records: DataFrame) -> DataFrame:
                     rows.append((r.key, kind, record_id(kind, r.record_id), r.record_id, r.target_uri, r.date, {"Content-Type": mime, "WARC-Refers-To-Digest": r.payload_digest}, block, r.payload_digest if kind == "metadata" else digest(block), digest(block), len(block)))
             yield pd.DataFrame(rows, columns=names).astype({"key": "Int64"})
 
-    made = records.where("warc_type = 'response'").select(*(x.split()[0] for x in RECORD.split(", "))).mapInPandas(run, RECORD)
-    return records.unionByName(made)
+    return records.select(*(x.split()[0] for x in RECORD.split(", "))).mapInPandas(run, RECORD)
 
 
 def serialise(record: dict) -> bytes:
@@ -200,11 +202,16 @@ def parse_warc(data: bytes) -> Iterator[dict]:
             while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
                 k, _, v = line.decode("utf-8", "replace").partition(":")
                 head[k.strip()] = v.strip()
-            size = int(head.pop("Content-Length", "0"))
+            spelt = {k.lower(): k for k in head}
+            field = lambda name: head.pop(spelt[name], None) if name in spelt else None
+            length = field("content-length") or "0"
+            if not re.fullmatch("[0-9]{1,18}", length):
+                continue  # the next line that begins a record is the next record
+            size = int(length)
             block = stream.read(size)
             if len(block) < size:
                 return
-            named = {k: head.pop(h, None) for k, h in (("warc_type", "WARC-Type"), ("record_id", "WARC-Record-ID"), ("date", "WARC-Date"), ("target_uri", "WARC-Target-URI"), ("refers_to", "WARC-Refers-To"), ("payload_digest", "WARC-Payload-Digest"), ("block_digest", "WARC-Block-Digest"))}
+            named = {k: field(h) for k, h in (("warc_type", "warc-type"), ("record_id", "warc-record-id"), ("date", "warc-date"), ("target_uri", "warc-target-uri"), ("refers_to", "warc-refers-to"), ("payload_digest", "warc-payload-digest"), ("block_digest", "warc-block-digest"))}
             yield named | {"headers": head, "block": block, "content_length": size}
     except (EOFError, zlib.error, gzip.BadGzipFile):
         return
