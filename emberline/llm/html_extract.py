@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, without
 
 #: Hash buckets of class and id words.
 BUCKETS = 4096
@@ -296,8 +296,8 @@ def train(labelled: DataFrame, smooth: float = 0.5, temper: float = 0.3) -> Mode
 
 def main_text(pages: DataFrame, model: Model, column: str = "html") -> DataFrame:
     """pages with text and n_chars (its code points)."""
-    kept = pages.select(*(c for c in pages.columns if c not in ("text", "n_chars")))
-    names, where = [*kept.columns, "text", "n_chars"], kept.columns.index(column)
+    kept = pages.select(*without(pages, "text", "n_chars"))
+    names, where = [*kept.columns, "text", "n_chars"], [c.lower() for c in kept.columns].index(column.lower())
     schema = T.StructType([*kept.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text_kernel as K
-from .common import aside, small_batches, written
+from .common import aside, small_batches, without, written
 
 PREFIXES = (3, 4, 5, 6)
 FEATURES = 1 + len(PREFIXES)
@@ -284,11 +284,11 @@ ADDED = ("score", "predicted", "toxic_spans")
 
 def tag(documents: DataFrame, model: Model, config: Config = Config()) -> DataFrame:
     """documents with score, predicted (score >= 0.5) and toxic_spans: characters from start to end whose tokens have marginals of span_at or more."""
-    kept = documents.select(*(c for c in documents.columns if c not in ADDED))
+    kept = documents.select(*without(documents, *ADDED))
     small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())])))])
-    names, where, span_at = [*kept.columns, *ADDED], kept.columns.index("text"), config.span_at
+    names, where, span_at = [*kept.columns, *ADDED], [c.lower() for c in kept.columns].index("text"), config.span_at
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
