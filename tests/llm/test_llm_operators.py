@@ -112,14 +112,26 @@ def test_scores_of_odd_texts_are_finite_and_equal_for_equal_texts(spark):
     assert lm_score.score(d.limit(0), F.lit(True)).count() == 0
 
 
-def test_context_counts_cover_every_training_row_and_the_mixers_rows_grow(spark):
-    texts = [f"{i:o} {i * i:x} row" for i in range(60)]
+def test_counts_cover_every_training_row_and_the_mixers_rows_grow(spark):
+    import collections
+    import re
+
+    texts = [f"{i:o} {i * i:x} row\n  end é" for i in range(60)] * 2 + ["", None, "a"]
     d = documents(spark, texts)
-    model = lm_score.train(d)
-    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
-    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
-    rows = lm_score.contexts(data, offsets, *lm_score.stream(data, offsets, model.table))
-    assert all(model.known[r].all() for r in rows)
+    counts = lm_score.gather(d)
+    got = collections.defaultdict(dict)
+    for r in counts.collect():
+        got[r["kind"]][r["key"]] = r["c"]
+    raw = [(t or "").encode() for t in texts]
+    assert got[lm_score.BYTE] == {**collections.Counter(b"".join(raw)), 256: len(raw)}
+    for k in lm_score.OWNED:
+        want = collections.Counter((bytes(6) + t)[i + 6 - k : i + 6] for t in raw for i in range(len(t) + 1))
+        assert got[lm_score.CONTEXT + k] == {int.from_bytes(c[::-1], "big"): n for c, n in want.items()}
+    units = collections.Counter(u for t in raw for u in re.findall(rb"[^\s]+\s*|^\s+", t))
+    assert sorted(got[lm_score.UNIT].values()) == sorted(units.values())
+    words = collections.Counter(w for t in raw for w in (*t.lower().split(), b" "))
+    assert sorted(got[lm_score.WORD].values()) == sorted(words.values())
+    assert sum(got[lm_score.PHRASE].values()) <= sum(got[lm_score.UNIT].values()) and all(c % 2 == 0 for c in got[lm_score.PHRASE].values() if c > 1)
     config = lm_score.Config(mixer_share=0.25, mixer_rows=10)
     for n in (2000, 8000):
         many = spark.range(n).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
@@ -127,18 +139,42 @@ def test_context_counts_cover_every_training_row_and_the_mixers_rows_grow(spark)
         assert all(abs(halves[h] / n - 0.125) < 0.03 for h in (0, 1)) and sum(halves.values()) == n
 
 
+def test_a_slot_belongs_to_its_commonest_context(spark):
+    d = documents(spark, ["abcdef" * 3, "abcdxf", "zzzz"])
+    counts = lm_score.gather(d).cache()
+    owners = lm_score.slot_owners(counts)
+    for i, k in enumerate(lm_score.OWNED):
+        best = {}
+        for r in counts.where(F.col("kind") == lm_score.CONTEXT + k).collect():
+            slot, check = (int(x[0]) for x in lm_score.slot_and_check(np.array([r["key"]], dtype=np.uint64), k))
+            best[slot] = max(best.get(slot, (0, 0)), (r["c"], -check))
+        assert {s: -c for s, (_, c) in best.items()} == {int(s): int(owners[i][s]) for s in np.flatnonzero(owners[i] >= 0)}
+
+
 def test_each_half_of_the_mixers_rows_is_blind_to_itself(spark):
     rows = spark.createDataFrame([("aaaa", 0), ("bbbb", 1), ("cccc", None)], "text string, half int")
     byte_counts = np.bincount(np.frombuffer(b"aaaabbbbcccc", dtype=np.uint8), minlength=256)
     table = lm_score.symbol_table(byte_counts)
     children = lm_score.code(np.bincount(table, weights=byte_counts, minlength=lm_score.SYMBOLS))[3]
+    owners = lm_score.slot_owners(lm_score.gather(rows))
     seen = []
-    for v in lm_score.context_votes(rows, table, children):
-        at = [int(table[ord(x)]) * (1 + lm_score.SYMBOLS) for x in "abc"]
+    for v in lm_score.context_votes(rows, table, children, owners):
+        assert not v[lm_score.UNKNOWN].any()
+        at = [lm_score.STARTS[1] + int(table[ord(x)]) * (1 + lm_score.SYMBOLS) for x in "abc"]
         seen.append([bool(v[i].any()) for i in at])
     assert seen == [[True, True, True], [False, True, True], [True, False, True]]
 
 
+def test_a_text_does_not_vouch_for_itself(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)) for _ in range(30)]
+    d = documents(spark, [*texts, texts[3], texts[4]])
+    bits = [r["bits_per_byte"] for r in lm_score.score(d, F.col("doc_id") != 31).orderBy("doc_id").collect()]
+    single = [bits[i] for i in range(30) if i not in (3, 4)]
+    assert bits[3] == bits[30] < min(single) / 2  # the one lends itself to the other
+    assert bits[31] < min(single) / 2 < bits[4]  # of the last row nothing is learnt
+
+
 def test_symbol_code_is_a_probability():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 1000, lm_score.SYMBOLS)
@@ -146,12 +182,13 @@ def test_symbol_code_is_a_probability():
     assert sum(0.5 ** int(n) for n in length) == pytest.approx(1.0)
     votes = np.zeros((lm_score.CONTEXTS, lm_score.SYMBOLS), dtype=np.int8)
     refine = np.tile(lm_score.CENTRES, (lm_score.SYMBOLS, 1))
-    m = lm_score.Model(lm_score.symbol_table(np.arange(256)), 130, length, node.astype(np.intp), bit, votes.ravel(), votes.any(axis=1).astype(np.int8), np.zeros((len(node), 4, 4), dtype=np.float32), refine)
+    owners = np.full((len(lm_score.OWNED), lm_score.SLOTS), -1, dtype=np.int32)
+    weights = np.zeros((len(node), lm_score.GATES, len(lm_score.SIZES)), dtype=np.float32)
+    m = lm_score.Model(lm_score.symbol_table(np.arange(256)), 130, length, node.astype(np.intp), bit, votes.ravel(), lm_score.known(votes), weights, refine, owners, np.zeros(1))
     # every first byte, or the end: the probabilities of all one-symbol continuations add up to 1
-    data = np.arange(256, dtype=np.uint8)
-    whole = m.decisions(data, np.arange(257), m.costs())
+    bits = m.decisions(np.arange(256, dtype=np.uint8), np.arange(257), m.costs())[0::2]
     end = m.decisions(np.zeros(0, dtype=np.uint8), np.zeros(2, dtype=np.int64), m.costs())[0]
-    assert (2.0 ** -(whole - end)).sum() + 2.0**-end == pytest.approx(1.0, rel=1e-3)
+    assert (2.0**-bits).sum() + 2.0**-end == pytest.approx(1.0, rel=1e-3)
 
 
 # --- op3
