@@ -120,49 +120,93 @@ def feature_counts(training: DataFrame) -> DataFrame:
 
 # --- the chain
 
-def _lanes(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by falling length, and how many are longer than t, for each t."""
-    n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    longest = int(n.max()) if len(n) else 0
-    active = len(n) - np.searchsorted(np.sort(n), np.arange(longest), side="right")
+#: Tokens of a lane: longer rows are cut into several, so that steps don't grow with the longest text.
+LANE = 1024
+
+
+def _lanes(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes by falling length, and how many are longer than t, for each t."""
+    order = np.argsort(-length, kind="stable")
+    longest = int(length.max()) if len(length) else 0
+    active = len(length) - np.searchsorted(np.sort(length), np.arange(longest), side="right")
     return order, active
 
 
-def marginals(unary: np.ndarray, first: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(toxic) of each token; each row's log partition function; and the forward messages. All rows advance together, one token a step."""
-    trans = np.exp(transition)
-    e = np.exp(np.clip(unary, -30, 30))
-    order, active = _lanes(first)
-    begin, stop = first[:-1][order], first[1:][order]
-    forward, backward = np.empty(len(e)), np.empty(len(e))
-    log_z = np.zeros(len(order))
-    p = np.zeros(len(order))
+def _forward(e: np.ndarray, begin: np.ndarray, length: np.ndarray, trans: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward messages of the tokens (P(toxic) given what came), and each lane's last one and log normaliser. before: P(toxic) of the token before each lane. All lanes advance together, one token a step."""
+    order, active = _lanes(length)
+    out, p, log_z, start = np.empty(len(e)), before[order], np.zeros(len(order)), begin[order]
     for t, k in enumerate(active):
-        at = begin[:k] + t
-        if t:
-            q = p[:k]
-            x1, x0 = (1 - q) * trans[0, 1] + q * trans[1, 1], (1 - q) * trans[0, 0] + q * trans[1, 0]
-        else:
-            x1, x0 = trans[0, 1], trans[0, 0]  # a text begins after a clean token
+        at, q = start[:k] + t, p[:k]
+        x1, x0 = (1 - q) * trans[0, 1] + q * trans[1, 1], (1 - q) * trans[0, 0] + q * trans[1, 0]
         x1 = e[at] * x1
         z = x1 + x0
         p[:k] = x1 / z
-        forward[at] = p[:k]
+        out[at] = p[:k]
         log_z[:k] += np.log(z)
-    b = np.full(len(order), 0.5)
+    last, total = np.empty(len(order)), np.empty(len(order))
+    last[order], total[order] = p, log_z
+    return out, last, total
+
+
+def _backward(e: np.ndarray, stop: np.ndarray, length: np.ndarray, trans: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Backward messages of the tokens, and each lane's first one (for the token before it) and log normaliser. behind: the message to each lane's last token."""
+    order, active = _lanes(length)
+    out, b, log_z, end = np.empty(len(e)), behind[order], np.zeros(len(order)), stop[order]
     for t, k in enumerate(active):
-        at = stop[:k] - 1 - t
-        backward[at] = b[:k]
-        q = b[:k]
+        at, q = end[:k] - 1 - t, b[:k].copy()
+        out[at] = q
         x = e[at] * q
         b0, b1 = trans[0, 0] * (1 - q) + trans[0, 1] * x, trans[1, 0] * (1 - q) + trans[1, 1] * x
         b[:k] = b1 / (b0 + b1)
+        log_z[:k] += np.log(b0 + b1)
+    last, total = np.empty(len(order)), np.empty(len(order))
+    last[order], total[order] = b, log_z
+    return out, last, total
+
+
+def _chained(turns: list[np.ndarray], start: float, pass0: tuple[np.ndarray, np.ndarray], pass1: tuple[np.ndarray, np.ndarray], lanes: int) -> np.ndarray:
+    """What enters each lane, when turns lists the lanes of each cut row in the order they are passed. A lane is linear in what enters it, so its ends for 0 and for 1 tell all others."""
+    enters = np.full(lanes, start)
+    for own in turns:
+        p = start
+        for lane in own:
+            enters[lane] = p
+            most = max(pass0[1][lane], pass1[1][lane])
+            a0, a1 = (1 - p) * np.exp(pass0[1][lane] - most), p * np.exp(pass1[1][lane] - most)
+            p = (a0 * pass0[0][lane] + a1 * pass1[0][lane]) / (a0 + a1)
+    return enters
+
+
+def marginals(unary: np.ndarray, first: np.ndarray, transition: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(toxic) of each token; each row's log partition function; and the forward messages. A text begins after a clean token."""
+    trans = np.exp(transition)
+    e = np.exp(np.clip(unary, -30, 30))
+    n = np.diff(first)
+    pieces = np.maximum(1, -(-n // lane))
+    row = np.repeat(np.arange(len(n)), pieces)
+    head = np.r_[0, np.cumsum(pieces)]
+    begin = first[:-1][row] + (np.arange(len(row)) - head[row]) * lane
+    stop = np.minimum(begin + lane, first[1:][row])
+    length = stop - begin
+    cut = np.flatnonzero(pieces > 1)
+    enters, leaves = np.zeros(len(row)), np.full(len(row), 0.5)
+    if len(cut):
+        many = np.flatnonzero(pieces[row] > 1)
+        own = [np.arange(head[r], head[r + 1]) for r in cut]
+
+        def ends(run, at, value):  # of the lanes of cut rows
+            last, total = np.zeros(len(row)), np.zeros(len(row))
+            _, last[many], total[many] = run(e, at[many], length[many], trans, np.full(len(many), value))
+            return last, total
+
+        enters = _chained(own, 0.0, ends(_forward, begin, 0.0), ends(_forward, begin, 1.0), len(row))
+        leaves = _chained([x[::-1] for x in own], 0.5, ends(_backward, stop, 0.0), ends(_backward, stop, 1.0), len(row))
+    forward, _, log_z = _forward(e, begin, length, trans, enters)
+    backward, _, _ = _backward(e, stop, length, trans, leaves)
     both = forward * backward
     out = both / np.maximum(both + (1 - forward) * (1 - backward), 1e-300)
-    z = np.empty(len(order))
-    z[order] = log_z
-    return out, z, forward
+    return out, np.bincount(row, weights=log_z, minlength=len(n)), forward
 
 
 def _unary(model: Model, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
