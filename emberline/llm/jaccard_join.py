@@ -25,7 +25,8 @@ buckets without being linked. There are a fifth more parts than the pigeonholes
 so a linked pair has not one but several equal keys, t at least, a number that a set
 knows by itself. Each set therefore leaves out its t - 1 largest buckets (of those that
 hold several components, all sets by the same order): of t shared keys one stays. This
-empties the buckets that a template of up to half of the texts' shingles makes.
+empties nearly all buckets that a template of up to two fifths of the texts' shingles
+makes; members of others are held against each other by their sketches.
 
 Hot keys. A class that a large share of the pairs name, as the hub of a large group,
 meets its data by broadcast: keys above max(500, 1 / 20,000 of the rows) are fewer
@@ -204,7 +205,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def members(documents: DataFrame, config: Config) -> DataFrame:
-    """doc_id, n_shingles, cls (null without shingles), sketch, and how many keys it may leave out of even and of odd bands, of every row."""
+    """doc_id, th (hash of the text), n_shingles, cls (null without shingles), sketch, and how many keys it may leave out of even and of odd bands, of every row."""
     words, percent = config.words, config.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +218,17 @@ def members(documents: DataFrame, config: Config) -> DataFrame:
                 cls = pa.array(class_ids(tokens, starts).view(np.int64), mask=n == 0)
                 spare = spare_keys(tokens, starts, Config(words, percent))
                 longs = [*(sketch[:, i] for i in range(SKETCH)), spare[:, 0], spare[:, 1]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n), cls, *(pa.array(np.ascontiguousarray(x)) for x in longs), finer], names=["doc_id", "n_shingles", "cls", *SKETCH_COLUMNS, "even", "odd", "wide"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at), pa.array(n), cls, *(pa.array(np.ascontiguousarray(x)) for x in longs), finer], names=["doc_id", "th", "n_shingles", "cls", *SKETCH_COLUMNS, "even", "odd", "wide"])
 
-    schema = "doc_id long, n_shingles long, cls long, " + ", ".join(f"{s} long" for s in SKETCH_COLUMNS) + ", even long, odd long, wide array<long>"
+    schema = "doc_id long, th long, n_shingles long, cls long, " + ", ".join(f"{s} long" for s in SKETCH_COLUMNS) + ", even long, odd long, wide array<long>"
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return with_hash(documents).mapInArrow(run, schema)
+
+
+def with_hash(documents: DataFrame) -> DataFrame:
+    """doc_id, text and th: together the name of a row, as ids can be null or repeated, and texts, too."""
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def buckets(documents: DataFrame, config: Config) -> DataFrame:
@@ -309,21 +316,19 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, config:
     hot = F.broadcast(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > limit))
     place = F.when(F.col("n").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / limit)))
     placed = written(pairs.join(hot, "b", "left").select("a", "b", place.alias("place")), "placed")
-    docs = classes.select("cls", F.col("first_doc").alias("doc"))
-    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs, chosen = classes.select("cls", F.col("row.doc_id").alias("doc"), F.col("row.th").alias("doc_th")), with_hash(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in K.slices(batch.column(3)):
                 tokens, starts = shingle_sets(data, offsets, words)
                 cols = [batch.column(k).slice(at, to - at) for k in range(3)]
-                # another text may have the same doc_id
                 yield pa.RecordBatch.from_arrays([*cols, _long(class_ids(tokens, starts)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), _long(tokens))], names=["b", "place", "cls", "is", "tokens"])
 
     def sets(asked: DataFrame, label: str) -> DataFrame:
         """b, place, cls and tokens for asked (b, place, cls)."""
-        asked = checked(asked.join(docs, "cls").select("b", "place", "cls", "doc"), label)
-        made = chosen.join(asked, F.col("doc_id").eqNullSafe(F.col("doc"))).select("b", "place", "cls", "text")
+        asked = checked(asked.join(docs, "cls").select("b", "place", "cls", "doc", "doc_th"), label)
+        made = chosen.join(asked, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("doc_th"))).select("b", "place", "cls", "text")
         return made.mapInArrow(run, "b long, place long, cls long, is long, tokens array<long>").where(F.col("cls") == F.col("is")).drop("is")
 
     left = sets(placed.select("b", "place", F.col("a").alias("cls")), "asked").withColumnsRenamed({"cls": "a", "tokens": "ta"})
@@ -382,7 +387,7 @@ def across(met: DataFrame, roots: DataFrame, classes: DataFrame, tried: DataFram
 def near_duplicates(documents: DataFrame, config: Config = Config()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
     rows = written(members(documents, config), "members")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in (*SKETCH_COLUMNS, "even", "odd", "wide")))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("row"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in (*SKETCH_COLUMNS, "even", "odd", "wide")))
     classes = written(classes, "classes")
     met = written(buckets(documents, config), "buckets")
     stars = written(met.select(F.col("cls").alias("a_cls"), F.col("hub").alias("b_cls")).distinct(), "stars")
