@@ -123,13 +123,13 @@ def template_verdicts(judged: DataFrame, config: TreeConfig) -> DataFrame:
     prior = total["blk"] / total["lab"] if total["lab"] else 0.5
     hosts = written(host_purities(_counts(counted, "host"), prior, config), "hosts")
     # node: the template so far; open rows are those whose node may still branch
-    rows = counted.join(hosts.select("host", "purity", "held", F.col("n").alias("nn")), "host").withColumn("node", F.col("host"))
+    rows = written(counted.join(hosts.select("host", "purity", "held", F.col("n").alias("nn")), "host").withColumn("node", F.col("host")), "templates")
     done, level = [], 1
     while True:
         ends = (F.size("raw") < level) | (F.col("nn") < config.support)
         below = F.when(F.size("raw") >= level, F.concat(F.lit("/"), F.array_join(F.array_repeat(F.lit("*"), F.size("raw") - (level - 1)), "/"))).otherwise(F.lit(""))
         done.append(rows.where(ends).select("host", "raw", F.concat("node", below).alias("template"), "purity", "held"))
-        rows = written(rows.where(~ends), "templates")
+        rows = rows.where(~ends)
         if rows.isEmpty():
             break
         step = F.get("raw", F.lit(level - 1))
