@@ -77,7 +77,11 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_packing_is_gapless_and_whole(spark, docs):
-    encode = packing.encoder()
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     rows = queries.op9_packing(spark, SF).collect()
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -99,6 +103,8 @@ def test_packing_is_gapless_and_whole(spark, docs):
             at += length
         assert at <= packing.CAPACITY
     assert sorted(sequences) == list(range(len(sequences)))
+    tokens = sum(n for parts in sequences.values() for _, n in parts)
+    assert len(sequences) * packing.CAPACITY - tokens <= 0.01 * tokens + packing.CAPACITY  # little padding
 
 
 def test_media_round_trip(spark, docs):
