@@ -4,6 +4,12 @@ toxicity drops documents that the tagger rejects; near_duplicates keeps one of
 each group; decontamination drops contaminated documents; secret_scan redacts
 secrets; packing lays what is left into token sequences. The first four return
 the columns of documents.
+
+Defined cases: a null or empty text is not toxic, has no near duplicate and no
+secret, is clean, and is packed as its end id; of rows that repeat a doc_id and its
+text one stays, of a doc_id with several texts each that is kept; a null doc_id is
+kept like any other; columns that bear the operators' names pass as they are; an
+empty table, and one without labels or benchmark items, goes through.
 """
 
 from __future__ import annotations
