@@ -13,7 +13,7 @@ DATA = "/root/testdata"
 def spark(tmp_path_factory):
     from emberline.session import session
 
-    s = session("local[*]", 8, spark__ui__enabled="false", spark__driver__memory="6g", **{"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
+    s = session("local[4]", 4, spark__default__parallelism="2", spark__ui__enabled="false", spark__driver__memory="6g", **{"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
