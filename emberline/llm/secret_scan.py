@@ -107,10 +107,13 @@ def blob_findings(blobs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
     return spans.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("findings"))
 
 
+LEDGER = "blob string, findings array<struct<start:bigint,ordinal:int,end:bigint,kind:string,value:string>>, rule_version string"
+
+
 def in_ledger(spark: SparkSession, ledger: str, version: str) -> DataFrame | None:
     """blob and findings that the ledger has of a rule version; None where there is no ledger yet."""
     try:
-        return spark.read.parquet(ledger).where(F.col("rule_version") == version).select("blob", "findings")
+        return spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == version).select("blob", "findings")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
