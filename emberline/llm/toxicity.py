@@ -10,7 +10,7 @@ token's log-odds. Forward-backward marginals of all tokens make a document's
 score (noisy-or, calibrated) and its offending character offsets.
 
 Bounds: learning sees at most `fit_rows` documents of each class for counts and
-`chain_rows` for the chain, chosen by a hash of doc_id. A broadcast feature
+`chain_rows` for the chain, which one task fits, chosen by a hash of doc_id. A broadcast feature
 occurs in a share `support` of the toxic training documents at least, so there
 are at most (mean features of a toxic document) / support of them, whatever the
 size of the corpus. Scoring covers every row and whole texts.
@@ -25,7 +25,7 @@ is 0; repeated rows score alike; other columns pass, but for clashing `score`,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -317,12 +317,27 @@ def train(documents: DataFrame, labels: DataFrame, config: Config = Config()) ->
     model.bitmap[(model.keys & _MASK).astype(np.int64)] = True
     few = F.when(F.col("toxic") == 1, config.chain_rows / share[1]).otherwise(config.chain_rows / share[0])
     again = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.lit(1 << 30)) / (1 << 30)
-    texts = [(r["text"] or "", r["toxic"]) for r in training.where(again < few).orderBy("doc_id").collect()]
-    if {y for _, y in texts} == {0, 1} and len(model.keys):
-        _fit_chain(model, texts, config)
+    if len(model.keys):
+        # the chain's rows are few, so one task fits it
+        rows = training.where(again < few).repartition(1).sortWithinPartitions("doc_id", "text").select("text", "toxic")
+        found = rows.mapInArrow(_chain_fitter(model, config), "numbers array<double>").first()
+        if found:
+            *weights, t01, t10, t11, a, b = found["numbers"]
+            model.weights, model.transition, model.calibration = np.array(weights), np.array([[0.0, t01], [t10, t11]]), (a, b)
     return model
 
 
+def _chain_fitter(model: Model, config: Config) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [(t or "", y) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        if {y for _, y in texts} == {0, 1}:
+            _fit_chain(model, texts, config)
+            numbers = [*model.weights.tolist(), float(model.transition[0, 1]), float(model.transition[1, 0]), float(model.transition[1, 1]), *model.calibration]
+            yield pa.RecordBatch.from_arrays([pa.array([numbers], type=pa.list_(pa.float64()))], names=["numbers"])
+
+    return run
+
+
 ADDED = ("score", "predicted", "toxic_spans")
 
 
