@@ -289,7 +289,7 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame
 
 def counted(rows: DataFrame, key: str, classes: DataFrame) -> DataFrame:
     """classes (key; ...), written, with n: how many of rows have the key. Keys without any are left out."""
-    return written(classes.join(rows.groupBy(key).agg(F.count("*").alias("n")), key), "counted")
+    return written(classes.join(checked(rows.groupBy(key).agg(F.count("*").alias("n")), "counts"), key), "counted")
 
 
 def closer(pairs: DataFrame, classes: DataFrame, config: Config) -> DataFrame:
