@@ -346,7 +346,7 @@ def describe(media: DataFrame, column: str = "media", to: str = "mpeg") -> DataF
     """Add a struct column `to` (PARSED) with what the MPEG audio bytes in `column` hold."""
 
     kept = media.select(*without(media, to.lower()))
-    where = [c.lower() for c in kept.columns].index(column.lower())
+    where, names = [c.lower() for c in kept.columns].index(column.lower()), [*kept.columns, to]
     schema = T.StructType([*kept.schema.fields, T.StructField(to, PARSED)])
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 6 + [pa.map_(pa.string(), pa.string()), pa.list_(pa.int64())]
     small_batches(media.sparkSession)
@@ -358,7 +358,7 @@ def describe(media: DataFrame, column: str = "media", to: str = "mpeg") -> DataF
                 found = [parse(x) for x in part.column(where).to_pylist()]
                 rows = [(m.frames, m.samples, m.rate, m.duration_us, m.vbr, m.vbr_frames, m.crc_checked, m.crc_failed, m.junk_bytes, m.delay, m.padding, list(m.tags.items()), m.offsets) for m in found]
                 fields = [pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(fields, names=PARSED.names)], names=[*kept.columns, to])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(fields, names=PARSED.names)], names=names)
 
     return kept.mapInArrow(run, schema)
 
