@@ -176,6 +176,7 @@ def redact(documents: DataFrame, rules: tuple[SecretRule, ...] = RULES, mark: st
     )
     text = F.when(F.size("findings") > 0, cut).otherwise(F.col("text"))
     out = found.withColumn("text", text)
-    if "n_chars" in (c.lower() for c in documents.columns):
-        out = out.withColumn("n_chars", F.when(F.size("findings") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    for f in clear.schema.fields:
+        if f.name.lower() == "n_chars":  # in the type that it has
+            out = out.withColumn(f.name, F.when(F.size("findings") > 0, F.char_length("text").cast(f.dataType)).otherwise(F.col(f.name)))
     return out.select(*back)
