@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, Config
 from emberline.functions.numeric import rounded
-from emberline.operators.ordered import BLOCK_ROWS, before_slice, in_blocks, in_spans, numbered, sliced
+from emberline.operators.ordered import BLOCK_ROWS, in_blocks, in_spans, numbered, sliced, with_sums_before
 from emberline.streaming.jobs import shared_dir
 
 
@@ -142,14 +142,12 @@ def ewma_series(events: DataFrame, config: Config = DEFAULT, chunk_rows: int = C
 
 def ranked(rows: DataFrame, by: str, order: tuple[str, ...], tiles: int, slice_rows: int = BLOCK_ROWS) -> DataFrame:
     """rows with rn, rk, dr, tile, pr and cd: row number, rank, dense rank, tile, percent rank and cumulative distribution in the group's order."""
-    s = sliced(rows, by, order, slice_rows)
+    s = with_sums_before(sliced(rows, by, order, slice_rows), by, {"rows": F.count("*"), "keys": F.count_distinct(F.struct(*order))})
     w = Window.partitionBy(by, "slice").orderBy(*order)
     # peers never lie in two slices, so ranks in a slice need only what lies before it
     local = s.withColumns({"rn": F.row_number().over(w), "rk": F.rank().over(w), "dr": F.dense_rank().over(w), "peers": F.count("*").over(Window.partitionBy(by, "slice", *order))})
-    base = before_slice(s, by, {"rows": F.count("*"), "keys": F.count_distinct(F.struct(*order))}).withColumnsRenamed({by: "by_", "slice": "slice_"})
     totals = s.groupBy(F.col(by).alias("of")).agg(F.count("*").alias("total"))
-    base = base.join(totals, F.col("by_").eqNullSafe(F.col("of"))).drop("of")  # a row a slice and group
-    out = local.join(F.broadcast(base), F.col(by).eqNullSafe(F.col("by_")) & (F.col("slice") == F.col("slice_")))
+    out = local.join(totals, F.col(by).eqNullSafe(F.col("of")))
     rn, rk, total = F.col("rows") + F.col("rn"), F.col("rows") + F.col("rk"), F.col("total")
     small, large = F.floor(total / tiles), total % tiles  # the first tiles have one more
     head = large * (small + 1)

@@ -2,13 +2,15 @@
 
 A window by tag alone sends all readings of a tag to one task. Here rows are ranged
 by group and order into slices first; a slice's rows are numbered in the slice, and
-the sizes of the slices before it (a row a slice and group) are added. Windows then run over blocks of so
-many positions, or of so much time, into which the rows just before are copied.
+what the group's slices before it hold (sums, last values, gaps) is carried into
+it by a row a slice. Windows then run over a slice, or over blocks of so many
+positions, or of so much time, into which the rows just before are copied.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,20 +30,36 @@ def sliced(rows: DataFrame, by: str, order: tuple[str, ...], slice_rows: int = S
     return spark.read.parquet(path)
 
 
-def before_slice(slices: DataFrame, by: str, amounts: dict[str, Column]) -> DataFrame:
-    """by, slice, and each amount (an aggregate) summed over the group's slices before: a row a slice and group."""
-    sums = slices.groupBy(by, "slice").agg(*(a.alias(k) for k, a in amounts.items()))
-    w = Window.partitionBy(by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(by, "slice", *(F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in amounts))
+def carried(slices: DataFrame, by: str, amounts: dict[str, Column], combine: dict[str, Callable[[str], Column]], after: bool = False) -> DataFrame:
+    """by_, slice_, and each amount (an aggregate) combined over the group's slices before (or after) this one.
+
+    Only groups that lie in several slices have rows: a group between the first and
+    the last of a slice lies in no other, so these are two rows a slice at most,
+    however many groups there are. Where a group has no row, nothing is carried.
+    """
+    parts = slices.groupBy(by, "slice").agg(*(a.alias(k) for k, a in amounts.items()))
+    parts = parts.withColumn("in_slices", F.count("*").over(Window.partitionBy(by))).where("in_slices > 1")
+    w = Window.partitionBy(by).orderBy(F.desc("slice") if after else F.asc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(F.col(by).alias("by_"), F.col("slice").alias("slice_"), *(combine[k](k).over(w).alias(k) for k in amounts))
+
+
+def with_carried(slices: DataFrame, by: str, base: DataFrame) -> DataFrame:
+    """slices with the columns of base (of carried()), null where nothing is carried."""
+    same = F.col(by).eqNullSafe(F.col("by_")) & (F.col("slice") == F.col("slice_"))
+    return slices.join(F.broadcast(base), same, "left").drop("by_", "slice_")  # two rows a slice
+
+
+def with_sums_before(slices: DataFrame, by: str, amounts: dict[str, Column]) -> DataFrame:
+    """slices with each amount summed over the group's slices before."""
+    out = with_carried(slices, by, carried(slices, by, amounts, dict.fromkeys(amounts, F.sum)))
+    return out.withColumns({k: F.coalesce(k, F.lit(0)) for k in amounts})
 
 
 def numbered(rows: DataFrame, by: str, order: tuple[str, ...], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """rows with `at`: the position, from 1, in the group's order. A null group is one, too."""
-    s = sliced(rows, by, order, slice_rows)
-    base = before_slice(s, by, {"before": F.count("*")}).withColumnsRenamed({by: "by_", "slice": "slice_"})
-    local = s.withColumn("local", F.row_number().over(Window.partitionBy(by, "slice").orderBy(*order)))
-    same = F.col(by).eqNullSafe(F.col("by_")) & (F.col("slice") == F.col("slice_"))
-    return local.join(F.broadcast(base), same).withColumn("at", F.col("before") + F.col("local")).drop("by_", "slice_", "slice", "local", "before")
+    s = with_sums_before(sliced(rows, by, order, slice_rows), by, {"before": F.count("*")})
+    local = F.row_number().over(Window.partitionBy(by, "slice").orderBy(*order))
+    return s.withColumn("at", F.col("before") + local).drop("slice", "before")
 
 
 def in_blocks(positioned: DataFrame, rows_before: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -69,10 +87,8 @@ def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], sl
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("by"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
     s = sliced(counts, "by", ("v",), slice_rows)
-    base = before_slice(s, "by", {"before": F.sum("n")}).withColumnsRenamed({"by": "by_", "slice": "slice_"})
-    running = s.withColumn("upto", F.sum("n").over(Window.partitionBy("by", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    placed = running.join(F.broadcast(base), F.col("by").eqNullSafe(F.col("by_")) & (F.col("slice") == F.col("slice_")))
-    placed = placed.select("by", "v", (F.col("before") + F.col("upto")).alias("upto"), (F.col("before") + F.col("upto") - F.col("n")).alias("from"))
+    running = F.sum("n").over(Window.partitionBy("by", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = with_sums_before(s, "by", {"before": F.sum("n")}).withColumn("upto", running).select("by", "v", (F.col("before") + F.col("upto")).alias("upto"), (F.col("before") + F.col("upto") - F.col("n")).alias("from"))
     totals = s.groupBy(F.col("by").alias("of")).agg(F.sum("n").alias("total"))  # a row a group
     names = list(shares)
     both = placed.join(F.broadcast(totals), F.col("by").eqNullSafe(F.col("of")))
