@@ -156,7 +156,7 @@ def spare_keys(tokens: np.ndarray, starts: np.ndarray, config: Config) -> np.nda
     out, high = np.zeros((len(n), 2), dtype=np.int64), tokens >> U64(32)
     for band in (own, own - 1):
         fits = np.flatnonzero((n > 0) & (band >= 0))
-        parts_of = np.where(band >= 0, count[band], 0)
+        parts_of = np.where(band >= 0, count[np.maximum(band, 0)], 0)  # a row without shingles has no band
         with np.errstate(over="ignore"):
             part = (high * parts_of[row].astype(U64)) >> U64(32)  # as in part_keys
         filled = np.bincount(row, weights=np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])], minlength=len(n)).astype(np.int64)
@@ -189,7 +189,8 @@ def part_keys(tokens: np.ndarray, starts: np.ndarray, config: Config) -> tuple[n
             head = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (part[1:] != part[:-1])])
             r, part, x = r[head], part[head], np.bitwise_xor.reduceat(x, head)
             filled = np.bincount(r, minlength=len(n))
-            for row in np.flatnonzero(fits & (count[band] - filled > count[band] - apart[band] - 1)):  # too many empty parts
+            needed = apart[np.maximum(band, 0)] + 1
+            for row in np.flatnonzero(fits & (filled < needed)):  # too many empty parts
                 empty = np.setdiff1d(np.arange(count[band[row]]), part[r == row])
                 r, part, x = np.r_[r, np.full(len(empty), row)], np.r_[part, empty], np.r_[x, np.zeros(len(empty), dtype=U64)]
             rows.append(r)
