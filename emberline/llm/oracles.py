@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, written from their definitions.
 
 Not here: op1, op2, op6 (trained models), op8 (SHA-1 in base 32, HTML), op9
-(tokenizer), op10 (binary media). Tests hold those against brute force, exact
+(tokenizer), op10 (binary media), op12 (XXH64). Tests hold those against brute force, exact
 round trips or held-out accuracy.
 """
 
@@ -104,4 +104,51 @@ a as (select doc_id, count(*) filter (o = 0) as n_assign, count(*) filter (o = 1
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join a using (doc_id)"""
 
-SQL: dict[str, str] = {"op3_decontamination": OP3, "op4_jaccard_join": OP4, "op5_url_filter": OP5, "op7_secret_scan": OP7}
+#: As operator 11's contract has them.
+PARTS, ENTRIES, ROUNDS = 8, 16, 6
+
+
+def _assigned(k: int) -> str:
+    """Each distinct part's nearest entry of codebook k, lower index first, and the squared distance."""
+    apart = "list_sum(list_transform(list_zip(w.part, c.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+    return f"as{k} as (select pos, part, any_value(n) as n, min(struct_pack(d := dist, e := e)) as best from (select w.pos, w.part, w.n, c.e, {apart} as dist from w join cb{k} c using (pos)) group by pos, part)"
+
+
+def _moved(k: int) -> str:
+    """Codebook k + 1: floors of the means of what entries of codebook k hold; an unused entry stays."""
+    return f"""sum{k} as (select pos, e, list(struct_pack(j := j, m := ((s - ((s % n) + n) % n) // n)::bigint) order by j) as m from
+        (select pos, best.e as e, j, sum(n * part[j])::bigint as s, sum(n)::bigint as n from (select pos, best, n, part, unnest(range(1, len(part) + 1)) as j from as{k}) group by pos, best.e, j) group by pos, e),
+cb{k + 1} as (select c.pos, c.e, case when m is null then c.part else list_transform(m, lambda x: x.m) end as part from cb{k} c left join sum{k} s on s.pos = c.pos and s.e = c.e)"""
+
+
+OP11 = f"""
+with v as (select vec_id, label, row_number() over () as r, list_transform(embedding, lambda x: floor({4096} * x::double)::bigint) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select vec_id, r, pos, v[pos * (len(v) // {PARTS}) + 1:(pos + 1) * (len(v) // {PARTS})] as part from v, (select unnest(range({PARTS})) as pos)),
+w as (select pos, part, count(*) as n from p group by all),
+cb0 as (select pos, e, part from p join (select r, row_number() over (order by vec_id) - 1 as e from v order by vec_id limit {ENTRIES}) using (r)),
+{", ".join(f"{_assigned(k)}, {_moved(k)}" for k in range(ROUNDS))},
+{_assigned(ROUNDS)},
+book as (select sha256(string_agg(x::varchar, ',' order by pos, e, j)) as codebooks_sha256 from (select pos, e, unnest(part) as x, unnest(range(len(part))) as j from cb{ROUNDS})),
+o as (select r, string_agg(printf('%02x', best.e), '' order by pos) as code, sum(best.d)::bigint as error from p join as{ROUNDS} using (pos, part) group by r)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from v join o using (r), book"""
+
+#: CRC-32 of a string of ASCII characters, bit by bit.
+_STEP = "list_reduce(list_concat([xor(s, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, o: xor(x >> 1, (x & 1) * 3988292384))"
+_CRC = f"xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(c::varchar, ''), lambda d: ascii(d)::bigint)), lambda s, b: {_STEP}), 4294967295)"
+
+OP13 = f"""
+with o as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first) as i, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) as turn from conversations where conv_id is not null),
+l as (select c, list(turn order by i) as ts from o group by c),
+h as (select c, ts, {_CRC} % 9 as h from l),
+s as (select h.c, list_concat(coalesce(b.ts[1:h.h], []), h.ts[h.h + 1:]) as ts from h left join l b on b.c = h.c - h.c % 5),
+pre as (select c, d, ts[1:d] as p, len(ts) = d as last from (select c, ts, unnest(range(len(ts) + 1)) as d from s)),
+n as (select p, any_value(d) as depth, min(c) as conv_id, count(*) as n_convs, coalesce(string_agg(c::varchar, ',' order by c) filter (last), '') as ids,
+    case when any_value(d) = 0 then 0 else octet_length(encode(p[-1].t)) end as bytes from pre group by p),
+k as (select p[:-2] as p, count(*) as n_children from n where depth > 0 group by 1),
+m as (select n.*, coalesce(n_children, 0) as n_children from n left join k using (p)),
+sub as (select p[1:a] as p, sum(case when n_children = 0 then 1 else 0 end)::bigint as n_leaves, sum((n_convs - 1) * bytes)::bigint as saved_tokens from (select *, unnest(range(depth + 1)) as a from m) group by 1)
+select m.conv_id, m.depth, u.conv_id as parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(m.ids) as ends_sha256
+from m join sub using (p) left join n u on m.depth > 0 and u.p = m.p[:-2]"""
+
+SQL: dict[str, str] = {"op3_decontamination": OP3, "op4_jaccard_join": OP4, "op5_url_filter": OP5, "op7_secret_scan": OP7, "op11_vector_codes": OP11, "op13_prefix_trie": OP13}

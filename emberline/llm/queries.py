@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, html_labelled, jaccard_join, lm_score, mpeg_audio, packing, secret_scan, toxicity, url_filter, warc
+from . import decontaminate, html_extract, html_labelled, jaccard_join, lm_score, mpeg_audio, packing, prefix_trie, secret_scan, simhash_dedup, toxicity, url_filter, vector_codes, warc
 from .common import read, sha256_hex
 
 
@@ -59,6 +59,18 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.carry_texts(read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_lm_score": op2_lm_score,
@@ -70,4 +82,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_mpeg_audio": op10_mpeg_audio,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
