@@ -88,18 +88,18 @@ def variants(classes: DataFrame) -> DataFrame:
     """key, fp: the lower half (variant -1), and the upper half with each of its bits left out; the variant's number makes part of the key."""
     upper, lower = F.shiftrightunsigned("fp", HALF), F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1))
     keys = F.transform(F.sequence(F.lit(0), F.lit(HALF - 1)), lambda p: _bit(F.lit(HALF)) * (p + 1) + upper.bitwiseAND(F.bitwise_not(_bit(p))))
-    return classes.select("fp", F.explode(F.concat(F.array(lower), keys)).alias("key"))
+    return classes.select(F.explode(F.concat(F.array(lower), keys)).alias("key"), "fp")
 
 
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b of the linked pairs in buckets of up to BUCKET, and the key (hot) of each larger one. Rows (key, fp) come sorted by key, each once."""
+def meet(batches: Iterator[pa.RecordBatch], bucket: int = BUCKET) -> Iterator[pa.RecordBatch]:
+    """a, b of the linked pairs in buckets of up to `bucket`, and the key (hot) of each larger one. Rows (key, fp) come sorted by key, each once."""
     held_key, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def pairs(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
         size = np.diff(np.r_[head, len(key)])
-        hot = key[head[size > BUCKET]]
-        keep = np.repeat((size > 1) & (size <= BUCKET), size)
+        hot = key[head[size > bucket]]
+        keep = np.repeat((size > 1) & (size <= bucket), size)
         key, fp = key[keep], fp[keep]
         at, a, b = np.arange(len(key)), [], []
         step = 1
@@ -129,8 +129,8 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last:
             yield pairs(key[:last], fp[:last])
         held_key, held = key[last:], fp[last:]
-        if len(held) > BUCKET + 1:  # hot in any case: no more of it need be held
-            held_key, held = held_key[: BUCKET + 1], held[: BUCKET + 1]
+        if len(held) > bucket + 1:  # hot in any case: no more of it need be held
+            held_key, held = held_key[: bucket + 1], held[: bucket + 1]
     yield pairs(held_key, held)
 
 
@@ -147,17 +147,20 @@ def within_hot(keyed: DataFrame, hot: DataFrame) -> DataFrame:
     return groups.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b").distinct()
 
 
+def links(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """a, b: links between the fingerprints (fp) of classes, as many as give the components of all that differ in APART bits or fewer."""
+    keyed = variants(classes)
+    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: meet(batches, bucket), "a long, b long, hot long")
+    met = written(met, "met")
+    found, hot = met.where("hot is null").select("a", "b"), met.where("hot is not null").select(F.col("hot").alias("key"))
+    return found if hot.isEmpty() else written(found.unionAll(within_hot(keyed, hot)).distinct(), "links")
+
+
 def near_duplicates(documents: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id that links reach) of every row."""
     rows = written(fingerprints(documents, words), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "classes")
-    keyed = variants(classes)
-    met = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, hot long"), "met")
-    links = met.where("hot is null").select("a", "b")
-    hot = met.where("hot is not null").select(F.col("hot").alias("key"))
-    if not hot.isEmpty():
-        links = written(links.unionAll(within_hot(keyed, hot)).distinct(), "links")
-    roots = written(components(links), "roots")
+    roots = written(components(links(classes)), "roots")
     named = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     # a component of very many classes is one row of smallest; its classes bring n, the rows that a fingerprint has

@@ -82,7 +82,8 @@ def _by_position(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nd
     """Of a batch (key, n): position, places in the batch, and the parts there as a matrix."""
     key = batch.column(0)
     pos, part = key.field("pos").to_numpy(), key.field("part")
-    flat = part.flatten().to_numpy().astype(np.int64).reshape(len(pos), -1)
+    flat = part.flatten().to_numpy().astype(np.int64)
+    flat = flat.reshape(len(pos), len(flat) // max(1, len(pos)))
     for p in np.unique(pos).tolist():
         at = np.flatnonzero(pos == p)
         yield p, at, flat[at]
@@ -165,7 +166,7 @@ def compress(embeddings: DataFrame, config: Config = Config()) -> DataFrame:
     distinct = written(parts.groupBy("key").agg(F.count("*").alias("n")), "parts")
     books = lloyd(distinct, books, config.rounds)
     total = rows.count() * config.parts
-    back = lookup(parts, coded(distinct, books), "key", total)
+    back = lookup(parts, written(coded(distinct, books), "codes"), "key", total)
     hexed = F.lpad(F.lower(F.hex("code")), 2, "0")
     whole = back.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key.pos", hexed.alias("h")))), lambda x: x["h"]), "").alias("code"), F.sum("error").alias("error"))
     out = written(rows.select("row", "vec_id", "label").join(whole, "row", "left").drop("row"), "coded")
