@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberline.config import DEFAULT, Config
 from emberline.operators.baseline import mad
 from emberline.operators.features import sessions
-from emberline.operators.ordered import quantiles
+from emberline.operators.ordered import SLICE_ROWS, carried, quantiles, sliced, with_carried, with_sums_before
 
 
 def by_z(z: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -37,12 +37,19 @@ def episodes(flagged: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return numbered.groupBy("tag", "episode").agg(F.min("hr").alias("start"), F.max("hr").alias("until"), F.count("*").alias("n"), F.max(F.abs("z")).alias("peak"))
 
 
-def unit_sessions(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Sessions by flags and a running sum; equal to the session window."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
+def unit_sessions(events: DataFrame, config: Config = DEFAULT, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Sessions by flags and a running sum; equal to the session window.
+
+    A unit may lie in many slices: the time before a slice and the number of
+    sessions begun before it are carried into it.
+    """
+    s = sliced(events.select("user_id", "ts", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")), "user_id", ("ts", "event_id"), slice_rows)
+    s = with_carried(s, "user_id", carried(s, "user_id", {"us_before": F.max("us")}, {"us_before": F.max}))
+    w = Window.partitionBy("user_id", "slice").orderBy("ts", "event_id")
+    gap = F.col("us") - F.coalesce(F.lag("us").over(w), "us_before")
     new = F.coalesce((gap > config.session_gap_minutes * 60_000_000).cast("long"), F.lit(1).cast("long"))
-    numbered = events.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    flagged = with_sums_before(s.withColumn("new", new), "user_id", {"begun": F.sum("new")})
+    numbered = flagged.withColumn("session", F.col("begun") + F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("user_id", "session").agg(F.min("ts").alias("start"), F.max("ts").alias("until"), F.count("*").alias("n"))
 
 

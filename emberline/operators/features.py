@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from emberline.config import DEFAULT, Config
 from emberline.functions.numeric import rounded
 from emberline.operators.ordered import BLOCK_ROWS, in_blocks, in_spans, numbered, sliced, with_sums_before
-from emberline.streaming.jobs import shared_dir
+from emberline.operators.scan import FAN, exclusive_scan
+from emberline.session import shared_dir
 
 
 def tumbling(events: DataFrame, size: str = "1 hour") -> DataFrame:
@@ -63,70 +65,80 @@ CHUNK_ROWS = 200_000
 LONGEST_GAP = 10_000
 
 
-def _ewma_by_chunks(events: DataFrame, config: Config, chunk_rows: int) -> DataFrame:
+def _kept(w: np.ndarray | int, a: float) -> np.ndarray | float:
+    """How much of the mean stays, when a reading comes w steps behind the one before."""
+    old = (1 - a) ** w
+    return old / (old + a)
+
+
+def ewma_map(a: float) -> Callable[[tuple, tuple], tuple]:
+    """Composition of what two stretches of readings do to a mean.
+
+    A stretch is (lead, first, last, decay, trail): missing readings before its first
+    known one, that one, the mean at its end if it began there, how much of a mean at
+    its first reading is left at its end, and missing readings at its end. So it maps
+    the mean e at its first reading to last + decay * (e - first). One without known
+    readings is its length as lead and trail, and nulls.
+    """
+
+    def compose(x: tuple, y: tuple) -> tuple:
+        if x[1] is None or y[1] is None:
+            if x[1] is None and y[1] is None:
+                return (x[0] + y[0], None, None, None, x[0] + y[0])
+            return (x[0] + y[0], *y[1:]) if x[1] is None else (*x[:4], x[4] + y[4])
+        kept = float(_kept(min(x[4] + y[0] + 1, LONGEST_GAP), a))
+        return (x[0], x[1], y[2] + y[3] * kept * (x[2] - y[1]), x[3] * kept * y[3], y[4])
+
+    return compose
+
+
+def _ewma_by_chunks(events: DataFrame, config: Config, chunk_rows: int, fan: int = FAN) -> DataFrame:
     """events (event_id, user_id, ts, value) with ewma, the mean after each reading.
 
     Rows are ranged by user and time into chunks of about chunk_rows, so a long
-    series lies in many. A chunk maps the mean before it, e, to last + decay *
-    (e' - first), where e' is the mean after its first reading. These maps of
-    series that lie in several chunks (two a chunk at most) are folded on the
-    driver, and every chunk then starts from the mean before it. Missing
-    readings count as steps, and repeat the mean.
+    series lies in many. What a chunk does to the mean before it is an associative
+    map; the maps of users that lie in several chunks (two a chunk at most) are
+    scanned by levels in Spark (see scan), and every chunk then starts from the mean
+    before it. Missing readings count as steps, and repeat the mean.
     """
     a = config.ewma_alpha
     spark = events.sparkSession
     root = f"{shared_dir(spark)}/ewma-{uuid.uuid4().hex}"
     # a chunk can hold several users: as text, the names of users stay exact beside a null one
-    rows = events.select("event_id", F.col("user_id").cast("string").alias("user"), "ts", "value", "user_id")
-    rows = rows.repartitionByRange(max(1, -(-events.count() // chunk_rows)), "user_id", "ts", "event_id").drop("user_id")
-    rows.withColumn("chunk", F.spark_partition_id()).write.parquet(root)
-    chunks = spark.read.parquet(root)
-
-    def kept(w: np.ndarray) -> np.ndarray:
-        """How much of the mean stays, when a reading comes w steps behind the one before."""
-        old = (1 - a) ** w
-        return old / (old + a)
+    rows = events.select("event_id", F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user"), "ts", "value", "user_id")
+    count = max(1, -(-events.count() // chunk_rows))
+    rows = rows.repartitionByRange(count, "user_id", "ts", "event_id").drop("user_id")
+    rows.withColumn("chunk", F.spark_partition_id()).write.parquet(f"{root}/rows")
+    chunks = spark.read.parquet(f"{root}/rows")
 
     def maps(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for user, one in pdf.sort_values(["ts", "event_id"]).groupby("user", dropna=False):
+        for user, one in pdf.sort_values(["ts", "event_id"]).groupby("user"):
             v = one["value"].to_numpy(dtype=float)
             at = np.flatnonzero(~np.isnan(v))
-            some = len(at) > 0
-            last = one["value"].ewm(alpha=a, adjust=False).mean().iloc[-1] if some else None
-            decay = float(np.prod(kept(np.diff(at)))) if some else None
-            out.append((int(pdf["chunk"].iloc[0]), None if pd.isna(user) else user, int(at[0]) if some else len(v), float(v[at[0]]) if some else None, last, decay, len(v) - 1 - int(at[-1]) if some else len(v)))
-        return pd.DataFrame(out, columns=["chunk", "user", "lead", "first", "last", "decay", "trail"])
-
-    found = chunks.groupBy("chunk").applyInPandas(maps, "chunk int, user string, lead long, first double, last double, decay double, trail long")
-    split = found.withColumn("parts", F.count("*").over(Window.partitionBy("user"))).where("parts > 1")
-    before: dict[tuple[int, str | None], tuple[float, int]] = {}
-    state: dict[str | None, tuple[float, int]] = {}  # mean, and missing readings since
-    for r in sorted(split.collect(), key=lambda r: r["chunk"]):
-        had = state.get(r["user"])
-        if had:
-            before[r["chunk"], r["user"]] = had
-        if r["first"] is None:
-            if had:
-                state[r["user"]] = (had[0], had[1] + r["trail"])
-            continue
-        last = r["last"]
-        if had:
-            last += r["decay"] * float(kept(np.float64(had[1] + r["lead"] + 1))) * (had[0] - r["first"])
-        state[r["user"]] = (last, r["trail"])
-    shared = spark.sparkContext.broadcast(before)
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, chunk, parts = pdf.sort_values(["ts", "event_id"]), int(pdf["chunk"].iloc[0]), []
-        for user, one in pdf.groupby("user", dropna=False):
-            had = shared.value.get((chunk, None if pd.isna(user) else user))
-            lead = [had[0]] + [np.nan] * min(had[1], LONGEST_GAP) if had else []
+            if not len(at):
+                out.append((user, int(pdf["chunk"].iloc[0]), len(v), None, None, None, len(v)))
+                continue
+            last = one["value"].ewm(alpha=a, adjust=False).mean().iloc[-1]
+            out.append((user, int(pdf["chunk"].iloc[0]), int(at[0]), float(v[at[0]]), last, float(np.prod(_kept(np.diff(at), a))), len(v) - 1 - int(at[-1])))
+        return pd.DataFrame(out, columns=["user", "chunk", "lead", "first", "last", "decay", "trail"])
+
+    found = chunks.groupBy("chunk").applyInPandas(maps, "user string, chunk int, lead long, first double, last double, decay double, trail long")
+    found.withColumn("parts", F.count("*").over(Window.partitionBy("user"))).where("parts > 1").drop("parts").write.parquet(f"{root}/maps")
+    split = spark.read.parquet(f"{root}/maps")
+    before = exclusive_scan(split, "user", ewma_map(a), count, fan)
+
+    def finish(pdf: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+        had = {r.user: (r.last, r.trail) for r in carried.itertuples() if not pd.isna(r.last)}
+        parts = [pd.DataFrame({"event_id": pdf["event_id"][:0], "user": pdf["user"][:0], "ts": pdf["ts"][:0], "ewma": []})]
+        for user, one in pdf.sort_values(["ts", "event_id"]).groupby("user"):
+            lead = [had[user][0]] + [np.nan] * min(int(had[user][1]), LONGEST_GAP) if user in had else []
             means = pd.Series([*lead, *one["value"]], dtype=float).ewm(alpha=a, adjust=False).mean()
             parts.append(one[["event_id", "user", "ts"]].assign(ewma=means.to_numpy()[len(lead) :]))
-        return pd.concat(parts)
+        return pd.concat(parts[1:] or parts)
 
-    done = chunks.groupBy("chunk").applyInPandas(finish, f"event_id long, user string, ts {events.schema['ts'].dataType.simpleString()}, ewma double")
-    return done.select("event_id", F.col("user").cast("long").alias("user_id"), "ts", "ewma")
+    done = chunks.groupBy("chunk").cogroup(before.groupBy("chunk")).applyInPandas(finish, f"event_id long, user string, ts {events.schema['ts'].dataType.simpleString()}, ewma double")
+    return done.select("event_id", F.nullif("user", F.lit("")).cast("long").alias("user_id"), "ts", "ewma")
 
 
 def ewma_last(events: DataFrame, config: Config = DEFAULT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, Config
 from emberline.functions.numeric import safe_corr
-from emberline.operators.ordered import in_spans
+from emberline.operators.ordered import SLICE_ROWS, carried, last_known, sliced, with_carried, with_sums_before
 from emberline.operators.quality import hour
 
 HOUR_US = 3_600_000_000
@@ -47,16 +47,20 @@ def tagged_precursors(events: DataFrame, tags: list[str], target: str, config: C
     return near.where((F.col("p_us") < F.col("t_us")) & (F.col("p_us") >= F.col("t_us") - size)).select("target_id", "precursor_id", "tag")
 
 
-def precursor_rate(events: DataFrame, precursor: str, target: str, config: Config = DEFAULT) -> DataFrame:
+def precursor_rate(events: DataFrame, precursor: str, target: str, config: Config = DEFAULT, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row: target events and those with a precursor of the unit in the hours before, their rate, the base rate (of all other readings), and the lift of the one over the other.
 
-    Blocks of the hours' length hold the one before, so a unit of any size is cut up.
+    Only the last precursor before a reading matters, and that is found, or carried
+    from an earlier slice, in one pass over the unit's readings in time order.
     """
     span = config.precursor_hours * HOUR_US
-    rows = in_spans(events.select("user_id", "event_type", _us("ts").alias("us")), "us", span)
-    w = Window.partitionBy("user_id", "block").orderBy("us").rangeBetween(-span, -1)
-    hit = F.max(F.col("event_type") == precursor).over(w)
-    found = rows.withColumn("hit", F.coalesce(hit, F.lit(False)).cast("long")).where("own")
+    rows = events.select("user_id", "event_type", _us("ts").alias("us"), F.coalesce(F.col("event_type") == precursor, F.lit(False)).alias("is_precursor"))
+    s = sliced(rows, "user_id", ("us",), slice_rows)  # readings of one time lie in one slice
+    precursor_us = F.when(F.col("is_precursor"), F.col("us"))
+    s = with_carried(s, "user_id", carried(s, "user_id", {"earlier_us": F.max(precursor_us)}, {"earlier_us": F.max}))
+    before = Window.partitionBy("user_id", "slice").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("last_us", F.coalesce(F.max(precursor_us).over(before), "earlier_us"))
+    found = s.withColumn("hit", F.coalesce(F.col("us") - F.col("last_us") <= span, F.lit(False)).cast("long"))
     is_target = F.coalesce(F.col("event_type") == target, F.lit(False))
     n = lambda c: F.coalesce(F.sum(c), F.lit(0))
     sums = found.agg(n(is_target.cast("long")).alias("events"), n(F.when(is_target, F.col("hit"))).alias("hits"), n((~is_target).cast("long")).alias("others"), n(F.when(~is_target, F.col("hit"))).alias("other_hits"))
@@ -64,15 +68,16 @@ def precursor_rate(events: DataFrame, precursor: str, target: str, config: Confi
     return sums.select("events", "hits", rate.alias("rate"), base.alias("base"), F.try_divide(rate, base).alias("lift"))
 
 
-def as_of(events: DataFrame, precursor: str, target: str) -> DataFrame:
+def as_of(events: DataFrame, precursor: str, target: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """For each target event the unit's last precursor at or before it: target_id, precursor_id (null if none).
 
-    One pass over the union in time order, so no candidate pairs are made.
+    One pass over the union in time order, so no candidate pairs are made; of a unit
+    in many slices the last precursor before a slice is carried into it.
     """
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type") == target, "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = events.where(F.col("event_type").isin(precursor, target))
-    last = F.last(F.when(F.col("event_type") == precursor, F.col("event_id")), ignorenulls=True).over(w)
-    return both.withColumn("precursor_id", last).where(F.col("event_type") == target).select(F.col("event_id").alias("target_id"), "precursor_id")
+    both = events.where(F.col("event_type").isin(precursor, target)).select("event_id", "user_id", "ts", (F.col("event_type") == target).alias("is_target"))
+    order = ("ts", "is_target", "event_id")
+    found = last_known(sliced(both, "user_id", order, slice_rows), "user_id", order, F.when(~F.col("is_target"), F.col("event_id")), "precursor_id")
+    return found.where("is_target").select(F.col("event_id").alias("target_id"), "precursor_id")
 
 
 def fuel_share(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -95,9 +100,30 @@ def unit_regression(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return t.where(both).groupBy("user_id").agg(r.alias("r"), F.try_divide(F.covar_pop("s", "value"), F.var_pop("s")).alias("slope"), (r * r).alias("r2"))
 
 
-def root_causes(events: DataFrame, target: str, config: Config = DEFAULT) -> DataFrame:
-    """Per other tag: pairs with a target event of the same unit within the precursor range. One range join serves all tags."""
-    near = tagged_precursors(events, [t for t in config.tags if t != target], target, config)
-    found = near.groupBy("tag").agg(F.count("*").alias("pairs"), F.count_distinct("target_id").alias("targets"))
-    tags = events.sparkSession.createDataFrame([(t,) for t in config.tags if t != target], "tag string")
-    return tags.join(found, "tag", "left").select("tag", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("targets", F.lit(0)).alias("targets"))
+def root_causes(events: DataFrame, target: str, config: Config = DEFAULT, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Per other tag: pairs with a target event of the same unit within the precursor range, and target events in such pairs.
+
+    No pair is made. A sweep over a unit's time counts the precursors before each end of
+    a target's range; the difference of the two counts is the target's number of pairs.
+    """
+    tags = [t for t in config.tags if t != target]
+    counts = precursor_counts(events, tags, target, config, slice_rows)
+    sums = counts.agg(*(F.coalesce(F.sum(f"n_{t}"), F.lit(0)).alias(f"n_{t}") for t in tags), *(F.count_if(F.col(f"n_{t}") > 0).alias(f"t_{t}") for t in tags))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(t).alias("tag"), F.col(f"n_{t}").alias("pairs"), F.col(f"t_{t}").alias("targets")) for t in tags))).alias("x")).select("x.*")
+
+
+def precursor_counts(events: DataFrame, tags: list[str], target: str, config: Config = DEFAULT, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """A row a target event, with n_<tag>: how many events of the tag the unit has in the hours before. Events of no unit or time have no pairs."""
+    span = config.precursor_hours * HOUR_US
+    e = events.where("user_id is not null and ts is not null").select("event_id", "user_id", "event_type", _us("ts").alias("us"))
+    # the ends of a range come before the precursors of the same time: those at its begin count, those at its end don't
+    ends = e.where(F.col("event_type") == target).select("user_id", F.explode(F.array(F.struct((F.col("us") - span).alias("us"), F.lit(-1).alias("sign")), F.struct("us", F.lit(1).alias("sign")))).alias("x"), "event_id")
+    ends = ends.select("user_id", "x.us", F.lit(0).alias("kind"), "event_id", "x.sign", F.lit(None).cast("string").alias("tag"))
+    early = e.where(F.col("event_type").isin(tags)).select("user_id", "us", F.lit(1).alias("kind"), "event_id", F.lit(0).alias("sign"), F.col("event_type").alias("tag"))
+    order = ("us", "kind", "event_id")
+    s = sliced(ends.unionAll(early), "user_id", order, slice_rows)
+    one = {t: F.coalesce((F.col("tag") == t).cast("long"), F.lit(0)) for t in tags}
+    s = with_sums_before(s, "user_id", {f"b_{t}": F.sum(one[t]) for t in tags})
+    w = Window.partitionBy("user_id", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    swept = s.select("event_id", "kind", "sign", *((F.col(f"b_{t}") + F.sum(one[t]).over(w)).alias(f"c_{t}") for t in tags))
+    return swept.where("kind = 0").groupBy("event_id").agg(*(F.sum(F.col("sign") * F.col(f"c_{t}")).alias(f"n_{t}") for t in tags))

@@ -13,8 +13,9 @@ def _w() -> Window:
 
 
 def smoothed(z: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Mean of the last smooth_rows observed hours."""
-    return z.select("tag", "hr", F.avg("z").over(_w().rowsBetween(1 - config.smooth_rows, 0)).alias("kpi"))
+    """Mean over the last smooth_rows hours, by the clock: an hour without readings is a hole in the mean, and brings no older one in."""
+    w = Window.partitionBy("tag").orderBy("us").rangeBetween((1 - config.smooth_rows) * 3_600_000_000, 0)
+    return z.withColumn("us", F.unix_micros(F.col("hr").cast("timestamp"))).select("tag", "hr", F.avg("z").over(w).alias("kpi"))
 
 
 def cusum(z: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.streaming.jobs import shared_dir
+from emberline.session import shared_dir
 
 #: Rows of a slice, and positions of a block.
 SLICE_ROWS = BLOCK_ROWS = 500_000
@@ -62,6 +62,15 @@ def numbered(rows: DataFrame, by: str, order: tuple[str, ...], slice_rows: int =
     return s.withColumn("at", F.col("before") + local).drop("slice", "before")
 
 
+def last_known(slices: DataFrame, by: str, order: tuple[str, ...], value: Column, name: str) -> DataFrame:
+    """slices with the last known value at or before each row, however many slices before it lies."""
+    s = slices.withColumn(name, value)
+    key = F.struct(*order)
+    base = carried(s, by, {"earlier": F.max_by(name, F.when(F.col(name).isNotNull(), key))}, {"earlier": lambda c: F.last(c, ignorenulls=True)})
+    here = F.last(name, ignorenulls=True).over(Window.partitionBy(by, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return with_carried(s, by, base).withColumn(name, F.coalesce(here, "earlier")).drop("earlier")
+
+
 def in_blocks(positioned: DataFrame, rows_before: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows with `at` dealt to blocks of positions; the last rows_before of a block are also copies in the next, with `own` false."""
     size = max(block_rows, rows_before)

@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, Config
+from emberline.operators.ordered import SLICE_ROWS, carried, sliced, with_carried
 
 
-def labels(events: DataFrame, hours: int = 6, config: Config = DEFAULT) -> DataFrame:
-    """event_id, label: whether the unit has a target event in the hours after the reading."""
+def labels(events: DataFrame, hours: int = 6, config: Config = DEFAULT, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """event_id, label: whether the unit has a target event in the hours after the reading.
+
+    The next target is looked for in the reading's slice, and else the first one of
+    the unit's later slices is carried here; readings of one time lie in one slice.
+    """
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(1, hours * 3_600_000_000)
-    found = F.max((F.col("event_type") == config.target).cast("long")).over(w)
-    return events.withColumn("us", us).select("event_id", F.coalesce(found, F.lit(0).cast("long")).alias("label"))
+    s = sliced(events.select("event_id", "user_id", us.alias("us"), F.when(F.col("event_type") == config.target, us).alias("target_us")), "user_id", ("us",), slice_rows)
+    later = carried(s, "user_id", {"later_us": F.min("target_us")}, {"later_us": F.min}, after=True)
+    w = Window.partitionBy("user_id", "slice").orderBy("us").rangeBetween(1, Window.unboundedFollowing)
+    follows = F.coalesce(F.min("target_us").over(w), "later_us") - F.col("us")
+    return with_carried(s, "user_id", later).select("event_id", F.coalesce((follows <= hours * 3_600_000_000).cast("long"), F.lit(0).cast("long")).alias("label"))
 
 
 def hourly_features(z: DataFrame, hours: int = 6, config: Config = DEFAULT) -> DataFrame:

@@ -44,8 +44,8 @@ def grid(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def keep_first(events: DataFrame) -> DataFrame:
     """The first reading of each (user_id, event_type), by ts, then event_id."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return events.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    first = F.min_by(F.struct(*events.columns), F.struct("ts", "event_id")).alias("first")  # kept on the map side
+    return events.groupBy(F.col("user_id").alias("unit"), F.col("event_type").alias("tag")).agg(first).select("first.*")
 
 
 def stuck(events: DataFrame, config: Config = DEFAULT, block_rows: int = BLOCK_ROWS) -> DataFrame:

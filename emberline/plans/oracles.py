@@ -71,7 +71,7 @@ SQL: dict[str, str] = {
     "c4_shape": f"select event_type as tag, {r('skewness(value)', 'skew')}, {r('kurtosis_pop(value)', 'kurt')} from events group by 1",
     "c5_rolling_z": "select event_id, round((value - avg(value) over w) / nullif(stddev_samp(value) over w, 0), 9) + 0.0 as z from events window w as (partition by event_type order by ts, event_id rows between 50 preceding and 1 preceding)",
     "c6_quick_p95": f"select event_type as tag, {r('quantile_disc(value, 0.95)', 'p95', 2)} from events group by 1",
-    "d1_smoothed": f"with {Z} select tag, hr, {r('avg(z) over (partition by tag order by hr rows between 23 preceding and current row)', 'kpi')} from z",
+    "d1_smoothed": f"with {Z} select tag, hr, {r('avg(z) over (partition by tag order by hr range between interval 23 hour preceding and current row)', 'kpi')} from z",
     "d2_cusum": f"with {Z} select tag, hr, {r('sum(z) over (partition by tag order by hr rows unbounded preceding)', 'cs')} from z",
     "d3_rise": f"with {Z}, c as (select tag, hr, sum(z) over (partition by tag order by hr rows unbounded preceding) as cs from z) select tag, hr, {r('cs - min(cs) over (partition by tag order by hr rows unbounded preceding)', 'rise')} from c",
     "d4_trend": f"with {Z} select tag, {r("regr_slope(z, date_diff('day', date '2024-01-01', hr::date)::double)", 'slope', 6)} from z group by 1",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberline.config import DEFAULT, Config
+from emberline.session import shared_dir
 
 
 def event_stream(spark: SparkSession, path: str, files_a_trigger: int = 1) -> DataFrame:
@@ -93,16 +94,6 @@ def ewma(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, ewma double", "value double", "update", GroupStateTimeout.NoTimeout)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The application's folder inside the one that the cluster shares (spark.checkpoint.dir). Only a local master may go without the setting, as in tests."""
-    import tempfile
-
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(where or f'file://{tempfile.gettempdir()}/emberline-shared').rstrip('/')}/emberline-{spark.sparkContext.applicationId}"
-
-
 def run_to_tier(stream: DataFrame, name: str, mode: str = "append", fold: Callable[[DataFrame], DataFrame] | None = None, restarts: int = 0) -> DataFrame:
     """Run a stream over what is there, batch by batch into Parquet, and read that. fold: what to make of the rows read. restarts: how often to start it again from its checkpoint."""
     spark = stream.sparkSession

@@ -156,6 +156,50 @@ def test_ewma_of_a_series_in_many_chunks(spark):
     assert last == {u: pytest.approx(one["v"].ewm(alpha=0.3, adjust=False).mean().iloc[-1]) for u, one in known.groupby("u")}
 
 
+def test_ewma_scan_of_ten_chunks_of_ten_chunks(spark):
+    """One user has nearly all rows: 100 chunks of 6 rows, composed over two levels of 10, with holes as long as chunks."""
+    import pandas as pd
+
+    values = [None if i % 97 < 15 or 200 < i < 214 else float(i * 7 % 23) for i in range(600)]
+    rows = [(T0 + i * H, 1, "view", v, None) for i, v in enumerate(values)] + [(T0, 0, "view", 3.0, None), (T0, 2, "view", None, None)]
+    e = events(spark, rows).select("event_id", "user_id", "ts", "value")
+    got = {r["event_id"]: r["ewma"] for r in features._ewma_by_chunks(e, Config(), 6, fan=10).collect()}
+    want = pd.Series(values, dtype=float).ewm(alpha=0.3, adjust=False).mean()
+    assert len(got) == 602 and got[600] == 3.0 and pd.isna(got[601])
+    assert all(got[i] == pytest.approx(x) if not pd.isna(x) else pd.isna(got[i]) for i, x in enumerate(want))
+
+
+def test_one_unit_in_many_slices(spark):
+    """A unit with all rows is cut up, and what lies before or after a slice is carried into it."""
+    draw = [(i * 37 % 11, ("click", "error", "view")[i * 5 % 3]) for i in range(160)]
+    at, rows = 0, []
+    for step, tag in draw:
+        at += step * 7
+        rows.append((T0 + at * dt.timedelta(minutes=1), 1, tag, 1.0, None))
+    rows += [(T0, 2, "error", 1.0, None), (T0 + H, 2, "click", 1.0, None), (T0, None, "error", 1.0, None), (T0, 1, None, 1.0, None)]
+    e = events(spark, rows)
+    plain = e.where("user_id = 1 and event_type is not null").collect()
+    whole, cut = ({f.__name__: sorted(map(tuple, f(e, *x, slice_rows=n).collect()), key=repr) for f, *x in ((indicators.as_of, "click", "error"), (anomaly.unit_sessions,), (prediction.labels,), (indicators.root_causes, "error"), (indicators.precursor_rate, "click", "error"))} for n in (1000, 9))
+    assert cut == whole
+    us = {r["event_id"]: r["ts"] for r in plain}
+    near = [(a["event_id"], b["event_id"], b["event_type"]) for a in plain for b in plain if a["event_type"] == "error" and dt.timedelta(0) < us[a["event_id"]] - us[b["event_id"]] <= 24 * H]
+    assert dict((t, (n, m)) for t, n, m in cut["root_causes"])["click"] == (sum(k == "click" for *_, k in near), len({a for a, _, k in near if k == "click"}))
+    label = dict(cut["labels"])
+    for r in plain:
+        assert label[r["event_id"]] == any(x["event_type"] == "error" and dt.timedelta(0) < x["ts"] - r["ts"] <= 6 * H for x in plain)
+
+
+def test_keep_first_by_time_then_id(spark):
+    e = events(spark, [(T0 + H, 1, "a", 1.0, None), (T0, 1, "a", 2.0, None), (T0, 1, "a", 3.0, None), (T0, None, "a", 4.0, None), (T0, None, "a", None, None)])
+    assert sorted(column(quality.keep_first(e), "event_id", "event_id")) == [1, 3]
+    assert quality.keep_first(e).columns == e.columns
+
+
+def test_smoothing_goes_by_the_clock(spark):
+    z = spark.createDataFrame([("a", T0, 10.0), ("a", T0 + 23 * H, 2.0), ("a", T0 + 24 * H, 4.0)], "tag string, hr timestamp_ntz, z double")
+    assert column(kpi.smoothed(z), "kpi", "hr") == [10.0, 6.0, 3.0]
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 6), st.one_of(st.none(), st.integers(0, 4))), min_size=1, max_size=40))
 def test_windows_over_blocks_equal_windows_over_tags(spark, rows):
