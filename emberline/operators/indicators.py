@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, Config
+from emberline.functions.linear import least_squares
 from emberline.functions.numeric import safe_corr
 from emberline.operators.ordered import SLICE_ROWS, carried, last_known, sliced, with_carried, with_sums_before
 from emberline.operators.quality import hour
@@ -91,6 +92,13 @@ def fuel_impact(share: DataFrame, z: DataFrame, quartiles: int = 4) -> DataFrame
     return z.join(bucketed, "hr").groupBy("bucket", "tag").agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"), F.stddev_samp("z").alias("sd_z"))
 
 
+def fuel_effect(events: DataFrame, z: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """tag, n, share, se_share, hour_of_day, se_hour_of_day, load, se_load: the regression of the tag's z on the substitution share, adjusted for the hour of the day and the load (readings of the hour)."""
+    share = events.groupBy(hour().alias("hr")).agg((F.sum((F.col("event_type") == config.fuel).cast("int")) / F.count("*").cast("double")).alias("share"), F.count("*").alias("load"))
+    rows = z.join(share, "hr").withColumn("hour_of_day", F.hour("hr"))
+    return least_squares(rows, "tag", "z", ["share", "hour_of_day", "load"])
+
+
 def unit_regression(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Per unit: correlation, slope and fit of value on time in seconds; null where either does not vary. No result depends on where time begins, so it begins at config.start."""
     start = F.unix_micros(F.lit(config.start).cast("timestamp_ntz").cast("timestamp"))

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, Config
+from emberline.functions.linear import logistic
+from emberline.operators import explain
 from emberline.operators.ordered import SLICE_ROWS, carried, sliced, with_carried
+from emberline.session import shared_dir
+
+#: L2 penalty of the logistic model, on coefficients of standardised features.
+RIDGE = 0.01
 
 
 def labels(events: DataFrame, hours: int = 6, config: Config = DEFAULT, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -38,11 +47,89 @@ def hourly_features(z: DataFrame, hours: int = 6, config: Config = DEFAULT) -> D
     return out.select("hr", *(c.alias(n) for n, c in cols.items()), label.alias("label"))
 
 
+def kept(features: DataFrame) -> DataFrame:
+    """features, written: a fit goes over them several times."""
+    path = f"{shared_dir(features.sparkSession)}/features-{uuid.uuid4().hex}"
+    features.write.parquet(path)
+    return features.sparkSession.read.parquet(path)
+
+
+def early(features: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    return features.where(F.col("hr") < F.lit(config.cutoff).cast("timestamp_ntz"))
+
+
+def late(features: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    return features.where(F.col("hr") >= F.lit(config.cutoff).cast("timestamp_ntz"))
+
+
+def tag_features(features: DataFrame) -> list[str]:
+    return [c for c in features.columns if c.startswith("z_")]
+
+
+def logistic_fitted(features: DataFrame, config: Config = DEFAULT) -> np.ndarray:
+    """Intercept and coefficients over the hours before the cutoff (features written): MLlib's model, brought to the exact optimum."""
+    names, rows = tag_features(features), early(features, config)
+    start = None
+    if rows.select("label").distinct().count() > 1:
+        model, _, _ = fitted(features, "logistic", config)
+        start = np.array([model.intercept, *model.coefficients.toArray()])
+    return logistic(rows, "label", names, RIDGE, start)
+
+
+def logistic_odds(names: list[str], beta: np.ndarray) -> Column:
+    """Log-odds of a row; infinite where the fit has seen one label only."""
+    return sum((float(b) * F.col(x) for x, b in zip(names, beta[1:], strict=True)), F.lit(float(beta[0])))
+
+
+def logistic_predicted(features: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """hr, label, p for the hours after the cutoff, by the exact optimum."""
+    features = kept(features)
+    odds = logistic_odds(tag_features(features), logistic_fitted(features, config))
+    return late(features, config).select("hr", "label", (1 / (1 + F.exp(-odds))).alias("p"))
+
+
+def log_loss(p: Column, label: str = "label") -> Column:
+    """Mean log loss; probabilities are kept off 0 and 1 by 1e-15."""
+    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
+    return F.avg(-F.col(label) * F.log(p) - (1 - F.col(label)) * F.log(1 - p))
+
+
+def ablation(features: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """name, coefficient, increase: by how much the log loss over the hours before the cutoff grows when the feature is held at its mean."""
+    features = kept(features)
+    names, rows = tag_features(features), early(features, config)
+    beta = logistic_fitted(features, config)
+    means = rows.agg(*(F.avg(x).alias(x) for x in names)).first().asDict()
+    odds = logistic_odds(names, beta)
+    p = lambda x: 1 / (1 + F.exp(-x))
+    loss = log_loss(p(odds))
+    held = {x: log_loss(p(odds - float(b) * (F.col(x) - F.lit(means[x])))) - loss for x, b in zip(names, beta[1:], strict=True)}
+    return rows.agg(*(v.alias(x) for x, v in held.items())).select(F.explode(F.array(*(F.struct(F.lit(x).alias("name"), F.lit(float(b)).alias("coefficient"), F.col(x).alias("increase")) for x, b in zip(names, beta[1:], strict=True)))).alias("x")).select("x.*")
+
+
+def explained(features: DataFrame, kind: str = "logistic", config: Config = DEFAULT) -> DataFrame:
+    """hr, name, part, base, log_odds of the hours after the cutoff: base + parts are the model's log-odds."""
+    features = kept(features)
+    names = tag_features(features)
+    if kind == "logistic":
+        beta = logistic_fitted(features, config)
+        means = early(features, config).agg(*(F.coalesce(F.avg(x), F.lit(0.0)).alias(x) for x in names)).first().asDict()
+        rows = late(features, config)
+        base = float(beta[0]) + sum(float(b) * means[x] for x, b in zip(names, beta[1:], strict=True))
+        odds = rows.select("hr", logistic_odds(names, beta).alias("log_odds"))
+        return explain.linear_parts(rows, names, beta, means).withColumn("base", F.lit(base)).join(odds, "hr")
+    model, rows, _ = fitted(features, kind, config)
+    rows = late(rows, config)
+    p = F.get(vector_to_array("probability"), F.lit(1))
+    odds = model.transform(rows).select("hr", F.log(p / (1 - p)).alias("log_odds"))
+    return explain.tree_parts(rows, names, explain.leaves(model, features.sparkSession)).join(odds, "hr")
+
+
 def fitted(features: DataFrame, kind: str = "logistic", config: Config = DEFAULT):
     """A model of the hours before the cutoff, and the assembled rows."""
-    names = [c for c in features.columns if c.startswith("z_")]
+    names = tag_features(features)
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(features)
-    estimator = LogisticRegression(maxIter=25, regParam=0.01) if kind == "logistic" else GBTClassifier(seed=42, maxIter=8, maxDepth=3)
+    estimator = LogisticRegression(maxIter=25, regParam=RIDGE) if kind == "logistic" else GBTClassifier(seed=42, maxIter=8, maxDepth=3)
     cutoff = F.lit(config.cutoff).cast("timestamp_ntz")
     return estimator.fit(rows.where(F.col("hr") < cutoff)), rows, names
 

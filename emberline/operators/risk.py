@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, Config
+from emberline.operators.quality import hour
 
 
 def _weight(config: Config) -> Column:
@@ -65,5 +66,38 @@ def lead_time(alerts: DataFrame, events: DataFrame, config: Config = DEFAULT) ->
     return first.agg(F.count("*").alias("warned"), F.median(hours).alias("lead_hours"))
 
 
+def rolling_origin(events: DataFrame, step_days: int = 5, folds: int = 4, config: Config = DEFAULT) -> DataFrame:
+    """A row a fold: origin, alerts, events, true_alerts, misses, precision, recall, lead_hours.
+
+    Origins lie step_days apart, from the cutoff on. A fold's baseline is fitted to
+    all readings before its origin, and its alerts and events are those of the step_days
+    after it; an alert counts for events of its own fold only, so no fold sees its
+    future. Readings are first summed by tag and hour, and each hour then names the folds
+    that it belongs to, so all folds are refitted in one pass over few rows.
+    """
+    cutoff = F.lit(config.cutoff).cast("timestamp_ntz")
+    sums = events.groupBy(F.col("event_type").alias("tag"), hour().alias("hr")).agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    origins = F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: (cutoff + F.make_dt_interval(days=k * step_days)).cast("timestamp_ntz"))
+    until = lambda o: o + F.make_dt_interval(days=F.lit(step_days))
+    rows = sums.withColumn("origin", F.explode(F.filter(origins, lambda o: F.col("hr") < until(o))))
+    fit = rows.where("hr < origin").groupBy("origin", "tag").agg(F.sum("n").alias("bn"), F.sum("s").alias("bs"), F.sum("q").alias("bq"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("bq") - F.col("bs") * F.col("bs") / F.col("bn"), F.col("bn") - 1)))
+    fit = fit.select("origin", "tag", F.try_divide("bs", "bn").alias("mu"), spread.alias("sd"))
+    z = rows.where("hr >= origin").join(F.broadcast(fit), ["origin", "tag"]).select("origin", "tag", "hr", F.try_divide(F.try_divide("s", "n") - F.col("mu"), F.col("sd")).alias("z"))
+    part = F.sum(F.when(F.col("tag") != config.target, _weight(config) * F.greatest(F.col("z"), F.lit(0.0)))).alias("raw")
+    alerts = likelihood(z.groupBy("origin", "hr").agg(part)).where(F.col("risk") >= config.medium).select("origin", F.col("hr").alias("alert_hr"))
+    evs = z.where((F.col("tag") == config.target) & (F.col("z") > config.z_alert)).select("origin", F.col("hr").alias("event_hr"))
+    early = evs.withColumn("back", F.explode(F.sequence(F.lit(1), F.lit(config.lead_hours)))).select("origin", "event_hr", (F.col("event_hr") - F.make_interval(hours=F.col("back"))).cast("timestamp_ntz").alias("alert_hr"))
+    near = early.join(alerts, ["origin", "alert_hr"])
+    lead = near.groupBy("origin", "event_hr").agg(F.min("alert_hr").alias("first")).groupBy("origin").agg(F.median(F.timestamp_diff("HOUR", F.col("first"), F.col("event_hr")).cast("double")).alias("lead_hours"))
+    counts = [near.groupBy("origin").agg(F.count_distinct("alert_hr").alias("true_alerts"), F.count_distinct("event_hr").alias("warned")), alerts.groupBy("origin").agg(F.count("*").alias("alerts")), evs.groupBy("origin").agg(F.count("*").alias("events")), lead]
+    out = events.sparkSession.range(1).select(F.explode(origins).alias("origin"))
+    for c in counts:
+        out = out.join(F.broadcast(c), "origin", "left")  # a row a fold
+    out = out.fillna(0, ["true_alerts", "warned", "alerts", "events"])
+    ratio = lambda x, y: F.try_divide(F.col(x).cast("double"), F.col(y).cast("double"))
+    return out.select("origin", "alerts", "events", "true_alerts", (F.col("events") - F.col("warned")).alias("misses"), ratio("true_alerts", "alerts").alias("precision"), ratio("warned", "events").alias("recall"), "lead_hours")
+
+
 def after_cutoff(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return rows.where(F.col("hr") >= F.lit(config.cutoff).cast("timestamp_ntz"))

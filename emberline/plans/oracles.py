@@ -24,9 +24,67 @@ BACK = f"""{Z}, late as (select * from z where hr >= timestamp '2024-01-11'),
     near as (select a.hr as a, e.hr as e from alerts a join evs e on a.hr < e.hr and a.hr >= e.hr - interval 6 hour)"""
 
 
+TAGS = ("click", "error", "purchase", "signup", "view")
+
+
+def solved(name: str, source: str, k: int, keep: str = "") -> str:
+    """CTEs that solve k equations by elimination, without pivoting: source has h_i_j and g_i; the last, name, has d_i. keep: columns that identify a system."""
+    out, last = [], source
+    for i in range(k):
+        rows = ", ".join([*(f"h_{a}_{b} - h_{a}_{i} / h_{i}_{i} * h_{i}_{b} as h_{a}_{b}" for a in range(k) if a != i for b in range(i + 1, k)), *(f"g_{a} - h_{a}_{i} / h_{i}_{i} * g_{i} as g_{a}" for a in range(k) if a != i)])
+        own = ", ".join([*(f"h_{i}_{b} / h_{i}_{i} as h_{i}_{b}" for b in range(i + 1, k)), f"g_{i} / h_{i}_{i} as g_{i}"])
+        out.append(f"{name}_{i} as materialized (select {keep}{rows}, {own} from {last})")
+        last = f"{name}_{i}"
+    out.append(f"{name} as materialized (select {keep}{', '.join(f'g_{a} as d_{a}' for a in range(k))} from {last})")
+    return ",\n".join(out)
+
+
+def _features() -> str:
+    wide = ", ".join(f"max(z) filter (tag = '{t}') as {t}" for t in TAGS)
+    means = ", ".join(f"coalesce(avg({t}) over past, 0) as x{j}" for j, t in enumerate(TAGS, 1))
+    return f"""{Z}, wide as (select hr, {wide} from z group by hr),
+    feats as materialized (select hr, 1.0::double as x0, {means}, coalesce(max((error > 1.5)::int) over after, 0)::double as y, hr < timestamp '2024-01-11' as fit from wide
+        window past as (order by hr range between interval 24 hour preceding and current row), after as (order by hr range between interval 1 microsecond following and interval 6 hour following)),
+    spread as materialized (select 0.0 as s0, {', '.join(f'coalesce(var_samp(x{j}), 0) as s{j}' for j in range(1, 6))} from feats where fit)"""
+
+
+def _newton(k: int) -> str:
+    """One step toward the optimum of the penalised logistic model."""
+    n = range(6)
+    odds = " + ".join(f"b_{j} * x{j}" for j in n)
+    sums = ", ".join([*(f"avg((p - y) * x{j}) as q_{j}" for j in n), *(f"avg(p * (1 - p) * x{i} * x{j}) as c_{i}_{j}" for i in n for j in n)])
+    ridge = ", ".join([*(f"q_{j} + 0.01 * s{j} * b_{j} as g_{j}" for j in n), *(f"c_{i}_{j} + {f'0.01 * s{i}' if i == j else '0'} as h_{i}_{j}" for i in n for j in n)])
+    return f"""sum{k} as materialized (select {sums} from (select feats.*, 1 / (1 + exp(-({odds}))) as p from feats, b{k} where fit)),
+    sys{k} as materialized (select {ridge} from sum{k}, b{k}, spread),
+    {solved(f'step{k}', f'sys{k}', 6)},
+    b{k + 1} as materialized (select {', '.join(f'b_{j} - d_{j} as b_{j}' for j in n)} from b{k}, step{k})"""
+
+
+STEPS = 10
+MODEL = f"{_features()}, b0 as (select {', '.join(f'0.0::double as b_{j}' for j in range(6))}),\n" + ",\n".join(_newton(k) for k in range(STEPS))
+ODDS = "(" + " + ".join(f"b_{j} * x{j}" for j in range(6)) + ")"
+MEANS = "means as (select " + ", ".join(f"avg(x{j}) as m{j}" for j in range(1, 6)) + " from feats where fit)"
+LOSS = "avg(-y * ln(1 / (1 + exp(-({o})))) - (1 - y) * ln(1 - 1 / (1 + exp(-({o})))))"
+EFFECT_XS = ("1.0::double", "share", "hour(hr)::double", "load::double")
+EFFECT = f"""{Z}, s as (select date_trunc('hour', ts)::timestamp as hr, count(*) filter (event_type = 'signup') / count(*)::double as share, count(*) as load from events group by 1),
+    x as (select tag, z as y, {', '.join(f'{x} as x{j}' for j, x in enumerate(EFFECT_XS))} from z join s using (hr) where z is not null),
+    gram as materialized (select tag, count(*) as n, sum(y * y) as yy, {', '.join(f'sum(x{i} * x{j}) as h_{i}_{j}' for i in range(4) for j in range(4))}, {', '.join(f'sum(x{j} * y) as g_{j}' for j in range(4))} from x group by tag),
+    unit as materialized (select tag, {', '.join(f'h_{i}_{j}' for i in range(4) for j in range(4))}, 0.0 as g_0, 1.0 as g_1, 0.0 as g_2, 0.0 as g_3 from gram),
+    {solved('beta', 'gram', 4, 'tag, ')}, {solved('inv', 'unit', 4, 'tag, ')}"""
+FOLDS = f"""{HOURLY}, o as (select timestamp '2024-01-11' + k * interval 5 day as origin from (select unnest(range(4)) as k)),
+    base as (select origin, event_type as tag, avg(value) as mu, stddev_samp(value) as sd from events, o where ts < origin group by 1, 2),
+    z as (select b.origin, h.tag, h.hr, (h.v - b.mu) / nullif(b.sd, 0) as z from hourly h join base b on b.tag = h.tag and h.hr >= b.origin and h.hr < b.origin + interval 5 day),
+    part as (select origin, tag, hr, case tag when 'click' then 0.3 else 0.1 end * case when z > 0 then z else 0 end as part from z where tag <> 'error'),
+    alerts as (select origin, hr from (select origin, hr, sum(part) as raw from part group by 1, 2) where 100 / (1 + exp(-(raw - 1))) >= 50),
+    evs as (select origin, hr from z where tag = 'error' and z > 1.5),
+    near as (select a.origin, a.hr as a, e.hr as e from alerts a join evs e on a.origin = e.origin and a.hr < e.hr and a.hr >= e.hr - interval 6 hour),
+    led as (select origin, median(h) as lead_hours from (select origin, e, date_diff('hour', min(a), e)::double as h from near group by 1, 2) group by 1),
+    c as (select origin, (select count(*) from alerts x where x.origin = o.origin) as alerts, (select count(*) from evs x where x.origin = o.origin) as events,
+        (select count(distinct a) from near x where x.origin = o.origin) as true_alerts, (select count(distinct e) from near x where x.origin = o.origin) as warned from o)"""
 HOURS = f"""with {Z}, e as (select hr from z where tag = 'error' and z > 1.5),
-    l as (select h.hr, exists (select 1 from e where e.hr > h.hr and e.hr <= h.hr + interval 6 hour) as label from (select distinct hr from z) h where hr >= timestamp '2024-01-11')
-    select count(*) as hours, count(*) filter (label) as positives, true as proper from l"""
+    l as (select h.hr, exists (select 1 from e where e.hr > h.hr and e.hr <= h.hr + interval 6 hour) as label from (select distinct hr from z) h)
+    select count(*) filter (hr >= timestamp '2024-01-11') as hours, count(*) filter (label and hr >= timestamp '2024-01-11') as positives, true as proper,
+        (select round(case when r > 0 and r < 1 then -r * ln(r) - (1 - r) * ln(1 - r) else 0 end, 9) + 0.0 from (select avg(label::int) as r from l where hr < timestamp '2024-01-11')) as base_loss, true as learns from l"""
 
 
 def r(x: str, name: str | None = None, digits: int = 9) -> str:
@@ -136,6 +194,12 @@ SQL: dict[str, str] = {
     "i1_labels": "select e.event_id, case when exists (select 1 from events x where x.user_id = e.user_id and x.event_type = 'error' and x.ts > e.ts and x.ts <= e.ts + interval 6 hour) then 1 else 0 end::bigint as label from events e",
     "i2_logistic_hours": HOURS,
     "i3_trees_hours": HOURS,
+    "i2_logistic": f"with {MODEL} select hr, y as label, {r(f'1 / (1 + exp(-{ODDS}))', 'p')} from feats, b{STEPS} where not fit",
+    "i4_ablation": f"with {MODEL}, {MEANS}, loss as (select {LOSS.format(o=ODDS)} as l from feats, b{STEPS} where fit) " + " union all ".join(f"select 'z_{t}' as name, any_value(round(b_{j}, 9) + 0.0) as coefficient, round({LOSS.format(o=f'{ODDS} - b_{j} * (x{j} - m{j})')} - any_value(l), 9) + 0.0 as increase from feats, b{STEPS}, means, loss where fit" for j, t in enumerate(TAGS, 1)),
+    "i5_linear_parts": f"with {MODEL}, {MEANS} " + " union all ".join(f"select hr, 'z_{t}' as name, {r(f'b_{j} * (x{j} - m{j})', 'part')}, {r(ODDS, 'log_odds')} from feats, b{STEPS}, means where not fit" for j, t in enumerate(TAGS, 1)),
+    "i5_tree_parts_add_up": f"with {Z} select hr, 5::bigint as parts, true as adds_up from z where hr >= timestamp '2024-01-11' group by hr",
+    "e6_fuel_effect": f"with {EFFECT} select tag, n, {r('b.d_1', 'share', 6)}, {r('sqrt(i.d_1 * (yy - (b.d_0 * g_0 + b.d_1 * g_1 + b.d_2 * g_2 + b.d_3 * g_3)) / (n - 4))', 'se_share', 6)}, {r('b.d_2', 'hour_of_day', 6)}, {r('b.d_3', 'load', 6)} from gram join beta b using (tag) join inv i using (tag)",
+    "h4_rolling_origin": f"with {FOLDS} select origin, alerts, events, true_alerts, events - warned as misses, {r('true_alerts::double / nullif(alerts, 0)', 'precision')}, {r('warned::double / nullif(events, 0)', 'recall')}, lead_hours from c left join led using (origin)",
     "i4_importance_whole": "select 5::bigint as features, 1.0::double as whole, true as shares",
     "i5_contributions": f"with {Z}, {PART}, n as (select *, row_number() over (partition by hr order by part desc, tag) as place from part) select tag, hr, {r('part')}, place from n where place <= 2",
     "j1_stream_tumbling": f"""select * from (select date_trunc('hour', ts)::timestamp as "start", count(*) as n, {r('avg(value)', 'v')} from events group by 1)

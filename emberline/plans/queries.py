@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -275,6 +276,12 @@ def e6_fuel_impact(s, d):
     return r(indicators.fuel_impact(indicators.fuel_share(ev(s, d)), zs(s, d)), "mean_z", "sd_z")
 
 
+@query
+def e6_fuel_effect(s, d):
+    """The effect of substitution, adjusted for the hour of the day and the load."""
+    return r(indicators.fuel_effect(ev(s, d), zs(s, d)), "share", "se_share", "hour_of_day", "load", digits=6).select("tag", "n", "share", "se_share", "hour_of_day", "load")
+
+
 @query
 def e7_unit_regression(s, d):
     return r(r(indicators.unit_regression(ev(s, d)), "r", "r2"), "slope", digits=8)
@@ -478,6 +485,12 @@ def h6_precision_recall(s, d):
     return r(risk.back_test(*_alerts_events(s, d)), "precision", "recall").select("precision", "recall")
 
 
+@query
+def h4_rolling_origin(s, d):
+    """The back-test from several origins, each with its own baseline."""
+    return r(risk.rolling_origin(ev(s, d)), "precision", "recall")
+
+
 # --- I: prediction
 
 @query
@@ -487,7 +500,8 @@ def i1_labels(s, d):
 
 @query
 def i2_logistic(s, d):
-    return r(prediction.predicted(prediction.hourly_features(zs(s, d))), "p")
+    """Held against the optimum that SQL finds by its own Newton steps."""
+    return r(prediction.logistic_predicted(prediction.hourly_features(zs(s, d))), "p")
 
 
 @query
@@ -496,9 +510,16 @@ def i3_boosted_trees(s, d):
 
 
 def _probabilities(s: SparkSession, d: str, kind: str) -> DataFrame:
-    """Of the hours after the cutoff: how many, how many precede a deviation of the target, and whether all have a probability."""
-    p = prediction.predicted(prediction.hourly_features(zs(s, d)), kind)
-    return p.agg(F.count("*").alias("hours"), F.sum("label").cast("long").alias("positives"), F.min(F.coalesce(F.col("p").between(0, 1), F.lit(False))).alias("proper"))
+    """Of the hours after the cutoff: how many, how many precede a deviation of the target, and whether all have a probability; of the hours before it: the log loss of their base rate, and whether the model's is below nine tenths of that (trees) or at least below it, as that of shuffled probabilities is not."""
+    features = prediction.kept(prediction.hourly_features(zs(s, d)))
+    model, rows, _ = prediction.fitted(features, kind)
+    p = model.transform(rows).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
+    before = prediction.early(p).agg(prediction.log_loss(F.col("p")).alias("loss"), F.avg("label").alias("rate"))
+    base = F.when((F.col("rate") > 0) & (F.col("rate") < 1), -F.col("rate") * F.log("rate") - (1 - F.col("rate")) * F.log(1 - F.col("rate"))).otherwise(F.lit(0.0))
+    learns = (F.col("base_loss") == 0) | (F.col("loss") < F.col("base_loss") * (0.9 if kind == "trees" else 1.0))
+    after = prediction.late(p).agg(F.count("*").alias("hours"), F.sum("label").cast("long").alias("positives"), F.min(F.coalesce(F.col("p").between(0, 1), F.lit(False))).alias("proper"))
+    both = after.join(before.withColumn("base_loss", base), how="cross")  # two single rows
+    return r(both.select("hours", "positives", "proper", "base_loss", learns.alias("learns")), "base_loss")
 
 
 @query
@@ -523,6 +544,31 @@ def i4_importance(s, d):
     return r(prediction.importances(prediction.hourly_features(zs(s, d))), "importance")
 
 
+@query
+def i4_ablation(s, d):
+    """Coefficients of the logistic model, and what the loss is without each feature."""
+    return r(prediction.ablation(prediction.hourly_features(zs(s, d))), "coefficient", "increase")
+
+
+@query
+def i5_linear_parts(s, d):
+    """What each hour's log-odds rest on, by the logistic model."""
+    return r(prediction.explained(prediction.hourly_features(zs(s, d))).select("hr", "name", "part", "log_odds"), "part", "log_odds")
+
+
+@query
+def i5_tree_parts(s, d):
+    """The same by the boosted trees."""
+    return r(prediction.explained(prediction.hourly_features(zs(s, d)), "trees"), "part", "base", "log_odds")
+
+
+@query
+def i5_tree_parts_add_up(s, d):
+    """A row an hour: whether base and parts are the ensemble's log-odds."""
+    found = prediction.explained(prediction.hourly_features(zs(s, d)), "trees")
+    return found.groupBy("hr").agg(F.count("*").alias("parts"), (F.abs(F.sum("part") + F.first("base") - F.first("log_odds")) < 1e-9).alias("adds_up"))
+
+
 @query
 def i5_contributions(s, d):
     return r(risk.top_parts(zs(s, d)), "part")
