@@ -23,6 +23,7 @@ class Config:
     smooth_rows: int = 24
     stuck_eps: float = 0.5
     ewma_alpha: float = 0.3
+    idle_days: float = 365.0  # a stream forgets a user after so long without readings
     weights: tuple[tuple[str, float], ...] = (("error", 0.5), ("click", 0.3), ("purchase", 0.1), ("signup", 0.1), ("view", 0.1))
     high: float = 75.0
     medium: float = 50.0

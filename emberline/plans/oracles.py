@@ -98,6 +98,9 @@ SQL: dict[str, str] = {
     "a2_csv_files": f"select event_id, ts, user_id, event_type, {r('value')}, props from events",
     "a2_json_files": f"select event_id, ts, user_id, event_type, {r('value')}, props from events",
     "a2_json_text": f"select event_id, user_id, event_type, {r('value')} from events",
+    "a3_workbooks": f"select event_id, ts, user_id, event_type, {r('value')}, props from events",
+    "c6_sketch_tags": "select event_type as tag, count(*) as n, count(distinct user_id) as users, true as quantile_near, true as users_near from events group by 1",
+    "c6_sketch_days": "select event_type as tag, date_trunc('day', ts)::timestamp as day, count(*) as n, count(distinct user_id) as users, true as quantile_near, true as users_near from events group by 1, 2",
     "a4_curated_tier": f"with {HOURLY} select tag, hr, {r('v')} from hourly",
     "a5_profile": f"select event_type as tag, count(*) as n, count(value) as known, count(distinct user_id) as users, {r('min(value)', 'lo')}, {r('max(value)', 'hi')} from events group by 1",
     "a6_coverage": f"select event_type as tag, count(distinct date_trunc('hour', ts)) as hours, {r("count(distinct date_trunc('hour', ts)) / 720.0::double", 'coverage')} from events group by 1",

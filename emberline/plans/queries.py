@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from emberline.config import DEFAULT
 from emberline.functions.numeric import rounded
-from emberline.operators import anomaly, baseline, features, indicators, kpi, prediction, quality, risk
+from emberline.operators import anomaly, baseline, features, indicators, kpi, prediction, quality, risk, sketches
 from emberline.operators.features import rounded_columns as r
-from emberline.sources import sinks
+from emberline.sources import sinks, workbooks
 from emberline.sources.tables import EVENTS, read_text_table, split_corrupt, table
 from emberline.streaming import jobs
 
@@ -85,6 +85,13 @@ def a2_json_files(s, d):
     return _through_files(s, d, "json")
 
 
+@query
+def a3_workbooks(s, d):
+    """The events as workbooks, and read from them by their schema."""
+    good, _ = split_corrupt(workbooks.parsed(workbooks.as_workbooks(ev(s, d).select(*EVENTS.fieldNames())), EVENTS))
+    return r(good, "value")
+
+
 @query
 def a4_curated_tier(s, d):
     """Hourly means through the curated tier."""
@@ -217,6 +224,26 @@ def c6_quick_p95(s, d):
     return r(baseline.quick_p95(ev(s, d)), "p95", digits=2)
 
 
+def _sketch_tier(s: SparkSession, d: str) -> DataFrame:
+    """Hourly sketches through the curated tier."""
+    path = sinks.write_tier(sketches.hourly_sketches(ev(s, d)), f"{jobs.shared_dir(s)}/tiers-{uuid.uuid4().hex}", "curated", "sketches", "hr")
+    return s.read.parquet(path).withColumn("day", F.date_trunc("day", "hr").cast("timestamp_ntz"))
+
+
+@query
+def c6_sketch_tags(s, d):
+    """Hours merged to days, and days to tags: 95th percentile and distinct units against the exact ones."""
+    days = sketches.merged(_sketch_tier(s, d), "tag", "day")
+    found = sketches.estimates(sketches.merged(days, "tag"), "tag")
+    return sketches.compared(found, ev(s, d), {"tag": F.col("event_type")})
+
+
+@query
+def c6_sketch_days(s, d):
+    found = sketches.estimates(sketches.merged(_sketch_tier(s, d), "tag", "day"), "tag", "day")
+    return sketches.compared(found, ev(s, d), {"tag": F.col("event_type"), "day": F.date_trunc("day", "ts").cast("timestamp_ntz")})
+
+
 # --- D: KPI
 
 @query
@@ -576,49 +603,50 @@ def i5_contributions(s, d):
 
 # --- J: streaming, run over what is there
 
-def stream(s: SparkSession, d: str) -> DataFrame:
-    """The table as a stream in time order: its files may overlap in time, and rows of a later file would be late."""
-    return jobs.event_stream(s, jobs.time_sliced(s, f"{d}/events.parquet"))
+def replayed(s: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], name: str, *, late_share: float = 0.0, **how) -> DataFrame:
+    """What a stream makes of the table, replayed in time order: its files may overlap in time, and rows of a later file would be late."""
+    replay = jobs.time_sliced(s, f"{d}/events.parquet", late_share=late_share)
+    return jobs.run_to_tier(build(replay.stream()), name, replay=replay, **how)
 
 
 @query
 def j1_stream_tumbling(s, d):
-    out = jobs.run_to_tier(jobs.tumbling(stream(s, d)), "tumbling")
+    out = replayed(s, d, jobs.tumbling, "tumbling")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", rounded(F.col("v")).alias("v"))
 
 
 @query
 def j2_stream_sessions(s, d):
-    out = jobs.run_to_tier(jobs.sessions(stream(s, d)), "sessions")
+    out = replayed(s, d, jobs.sessions, "sessions")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query
 def j3_stream_dedup(s, d):
-    return jobs.run_to_tier(jobs.deduplicated(stream(s, d)).select("event_id", "event_type"), "dedup")
+    return replayed(s, d, lambda rows: jobs.deduplicated(rows).select("event_id", "event_type"), "dedup")
 
 
 @query
 def j4_stream_join(s, d):
-    return jobs.run_to_tier(jobs.precursor_pairs(stream(s, d), "click", "error"), "pairs")
+    return replayed(s, d, lambda rows: jobs.precursor_pairs(rows, "click", "error"), "pairs")
 
 
 @query
 def j5_stream_ewma(s, d):
     """The last state of each user."""
-    last = lambda rows: rows.groupBy("user_id").agg(F.max_by("ewma", "batch").alias("ewma"))
-    return r(jobs.run_to_tier(jobs.ewma(stream(s, d)), "ewma", "update", last), "ewma")
+    last = lambda rows: rows.where("known").groupBy("user_id").agg(F.max_by("ewma", "batch").alias("ewma"))
+    return r(replayed(s, d, jobs.ewma, "ewma", mode="update", fold=last), "ewma")
 
 
 @query
 def j6_late_data(s, d):
     """Rows that come again behind the watermark change no closed window: the earliest tenth is sent once more at the end."""
-    out = jobs.run_to_tier(jobs.tumbling(jobs.event_stream(s, jobs.time_sliced(s, f"{d}/events.parquet", late_share=0.1))), "late")
+    out = replayed(s, d, jobs.tumbling, "late", late_share=0.1)
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", rounded(F.col("v")).alias("v"))
 
 
 @query
 def j7_stream_sink(s, d):
     """A stream that is stopped and started again from its checkpoint leaves every row in the tier once."""
-    out = jobs.run_to_tier(jobs.deduplicated(stream(s, d)).select("event_id", "event_type"), "sink", restarts=1)
+    out = replayed(s, d, lambda rows: jobs.deduplicated(rows).select("event_id", "event_type"), "sink", restarts=1)
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))

@@ -1,11 +1,7 @@
-"""Sources: Parquet tables, delimited and JSON text with a given schema, spreadsheets."""
+"""Sources: Parquet tables, delimited and JSON text with a given schema."""
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,20 +31,3 @@ def read_text_table(spark: SparkSession, path: str, schema: T.StructType, kind:
 def split_corrupt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows without CORRUPT, and the corrupt ones."""
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull())
-
-
-def read_spreadsheet(spark: SparkSession, path: str, schema: T.StructType, sheet: int = 0) -> DataFrame:
-    """Rows of the .xlsx files under path, a file a task. Needs openpyxl on the executors."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("spreadsheets need openpyxl; convert them to csv or Parquet upstream") from e
-    names = schema.fieldNames()
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(lambda frames: sheet_rows(frames, names, sheet), schema)
-
-
-def sheet_rows(frames: Iterable[pd.DataFrame], names: list[str], sheet: int) -> Iterator[pd.DataFrame]:
-    """The named columns of each file in frames (content)."""
-    for frame in frames:
-        for content in frame["content"]:
-            yield pd.read_excel(io.BytesIO(content), sheet_name=sheet)[names]

@@ -4,56 +4,80 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberline.config import DEFAULT, Config
 from emberline.session import shared_dir
 
 
-def event_stream(spark: SparkSession, path: str, files_a_trigger: int = 1) -> DataFrame:
-    """Parquet files as a stream with the schema of what is there. The path may be one file: as a pattern, it need not be a folder."""
-    schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+#: Rows that a trigger of a replay takes, in files of at most so many.
+ROWS_A_TRIGGER, ROWS_A_FILE = 50_000_000, 1_000_000
+#: Keeps state on the executors' disks, beside memory, as transformWithState needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def time_sliced(spark: SparkSession, path: str, rows_a_slice: int = 1_000_000, late_share: float = 0.0) -> str:
-    """A folder with the table of events in slices of time, a file each, whose modification times follow the events' time.
+def event_stream(spark: SparkSession, path: str, files_a_trigger: int | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Parquet files as a stream with the schema of what is there, or the given one. The path may be one file: as a pattern, it need not be a folder."""
+    rows = spark.readStream.schema(schema or spark.read.parquet(path).schema)
+    if files_a_trigger:
+        rows = rows.option("maxFilesPerTrigger", files_a_trigger)
+    return rows.parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
-    event_stream() over it replays the table in time order, whatever rows the
-    table's own files hold, so no row is late and a trigger holds one slice.
-    late_share: so much of the events, the earliest ones, comes once more in the end.
+
+@dataclass(frozen=True)
+class Replay:
+    """A table dealt to slices of time, to be streamed slice by slice."""
+
+    spark: SparkSession
+    root: str
+    slices: int
+    schema: T.StructType
+
+    @property
+    def feed(self) -> str:
+        return f"{self.root}/feed"
+
+    def stream(self) -> DataFrame:
+        return event_stream(self.spark, self.feed, schema=self.schema)
+
+    def send(self, number: int) -> None:
+        """Put slice `number` where the stream reads."""
+        self.spark.read.schema(self.schema).parquet(f"{self.root}/sliced/slice={number}").write.mode("append").parquet(self.feed)
+
+
+def time_sliced(spark: SparkSession, path: str, rows_a_trigger: int = ROWS_A_TRIGGER, late_share: float = 0.0, rows_a_file: int = ROWS_A_FILE) -> Replay:
+    """The table of events in slices of time, each of many files.
+
+    A file source takes what it finds, in no order of the events. So a replay writes
+    a slice where the stream reads, runs the stream over it, and only then writes the
+    next: no row is late, whatever rows the table's own files hold, and all files of a
+    slice are read at once. late_share: so much of the events, the earliest ones, comes
+    once more in the end.
     """
     rows = spark.read.parquet(path)
-    root = f"{shared_dir(spark)}/slices-{uuid.uuid4().hex}"
-    slices = max(3 if late_share else 1, -(-rows.count() // rows_a_slice))  # a row is late by the watermark of the trigger before the last
-    rows.repartitionByRange(slices, "ts", "event_id").write.parquet(root)
+    root = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    count = rows.count()
+    slices = max(3 if late_share else 1, -(-count // rows_a_trigger))  # a row is late by the watermark of the trigger before the last
+    files = max(1, -(-count // (slices * rows_a_file)))
+    dealt = rows.repartitionByRange(slices * files, "ts", "event_id").withColumn("slice", F.floor(F.spark_partition_id() / files).cast("int"))
+    dealt.write.partitionBy("slice").parquet(f"{root}/sliced")
+    if not count:
+        rows.write.parquet(f"{root}/sliced/slice=0")
+    have = slices
     if late_share:
         until = rows.agg(F.percentile_approx("ts", F.lit(late_share), F.lit(10_000))).first()[0]
-        again = f"{root}-late"
-        rows.where(F.col("ts") <= F.lit(until)).coalesce(1).write.parquet(again)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: int(p.getName().split("-")[1]))
-    if late_share:
-        for f in fs.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(again)):
-            if f.getPath().getName().startswith("part-"):
-                to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "part-99999-late.parquet")
-                fs.rename(f.getPath(), to)
-                files.append(to)
-    newest = fs.getFileStatus(files[-1]).getModificationTime() if files else 0
-    for k, file in enumerate(files):
-        # whole seconds, as not every file system keeps parts of one
-        set_to = (newest // 1000 - len(files) + k) * 1000
-        fs.setTimes(file, set_to, -1)
-        if fs.getFileStatus(file).getModificationTime() != set_to:
-            raise RuntimeError(f"{root}: the file system keeps no modification times, so slices can't be replayed in order")
-    return root
+        rows.where(F.col("ts") <= F.lit(until)).write.parquet(f"{root}/sliced/slice={slices}")
+        have += 1
+    replay = Replay(spark, root, have, rows.schema)
+    rows.limit(0).write.parquet(replay.feed)
+    return replay
 
 
 def tumbling(events: DataFrame, late: str = "1 hour", size: str = "1 hour") -> DataFrame:
@@ -78,31 +102,59 @@ def precursor_pairs(events: DataFrame, precursor: str, target: str, late: str =
     return a.join(b, span).select("target_id", "precursor_id")
 
 
-def ewma(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Each user's exponentially weighted mean, one number of state a user. A batch's readings are taken in time order."""
-    alpha = config.ewma_alpha
+class EwmaProcessor(StatefulProcessor):
+    """A user's mean as state: one number, and the time of the last reading. A user who sends nothing for `idle` loses the state and begins anew."""
+
+    def __init__(self, alpha: float, idle_ms: int) -> None:
+        self.alpha, self.idle_ms = alpha, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mean = handle.getValueState("mean", "value double, last_ms long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        value, last = self.mean.get() if self.mean.exists() else (None, None)
+        found = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        for v, ms in zip(found["value"], found["ts"].map(lambda t: int(t.timestamp() * 1000)), strict=True):
+            if last is not None and ms - last > self.idle_ms:
+                value = None  # the timer had come in this batch's span
+            value, last = (v if value is None else self.alpha * v + (1 - self.alpha) * value), ms
+        self.mean.update((value, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.idle_ms)
+        yield pd.DataFrame({"user_id": [key[0]], "ewma": [value], "known": [True]})
 
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for v in rows["value"]:
-            value = v if value is None else alpha * v + (1 - alpha) * value
-        state.update((value,))
-        yield pd.DataFrame({"user_id": [key[0]], "ewma": [value]})
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.mean.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "ewma": [float("nan")], "known": [False]})
 
-    rows = events.where("value is not null").select("user_id", "ts", "event_id", "value")
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, ewma double", "value double", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def ewma(events: DataFrame, late: str = "1 hour", config: Config = DEFAULT) -> DataFrame:
+    """user_id, ewma, known: each user's exponentially weighted mean after a batch, or known false where the user was idle for config.idle_days and the state has gone.
+
+    A batch's readings of a user are taken in time order, in one task; a stream's trigger bounds them.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = events.where("value is not null and ts is not null").select("user_id", "ts", "event_id", "value").withWatermark("ts", late)
+    processor = EwmaProcessor(config.ewma_alpha, int(config.idle_days * 86_400_000))
+    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType="user_id long, ewma double, known boolean", outputMode="Update", timeMode="EventTime")
 
 
-def run_to_tier(stream: DataFrame, name: str, mode: str = "append", fold: Callable[[DataFrame], DataFrame] | None = None, restarts: int = 0) -> DataFrame:
-    """Run a stream over what is there, batch by batch into Parquet, and read that. fold: what to make of the rows read. restarts: how often to start it again from its checkpoint."""
+def run_to_tier(stream: DataFrame, name: str, mode: str = "append", fold: Callable[[DataFrame], DataFrame] | None = None, restarts: int = 0, replay: Replay | None = None) -> DataFrame:
+    """Run a stream over what is there, batch by batch into Parquet, and read that. fold: what to make of the rows read. restarts: how often to start it again from its checkpoint. replay: whose slices to send one by one, each to a run that starts from the checkpoint of the one before."""
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def batch(rows: DataFrame, number: int) -> None:
         rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{root}/data/number={number}")
 
-    for _ in range(1 + restarts):
+    for k in range((replay.slices if replay else 1) + restarts):
+        if replay and k < replay.slices:
+            replay.send(k)
         q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(batch).start()
         q.awaitTermination()
     out = spark.read.parquet(f"{root}/data").drop("number")

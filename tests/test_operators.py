@@ -245,17 +245,132 @@ def test_lift_by_hand(spark):
     assert (r["events"], r["hits"], r["rate"]) == (2, 1, 0.5) and r["base"] == pytest.approx(1 / 3) and r["lift"] == pytest.approx(1.5)
 
 
-def test_spreadsheets_need_their_reader(spark, tmp_path, monkeypatch):
-    import sys
-
-    monkeypatch.setitem(sys.modules, "openpyxl", None)
-    with pytest.raises(RuntimeError, match="openpyxl"):
-        tables.read_spreadsheet(spark, str(tmp_path), tables.EVENTS)
-    import types
-
-    import pandas as pd
-
-    monkeypatch.setitem(sys.modules, "openpyxl", types.ModuleType("openpyxl"))
-    monkeypatch.setattr(pd, "read_excel", lambda data, sheet_name: pd.DataFrame({"extra": [0], "n": [len(data.read())], "s": [str(sheet_name)]}))
-    made = list(tables.sheet_rows([pd.DataFrame({"content": [b"abc"]})], ["s", "n"], 2))
-    assert [f.to_dict("list") for f in made] == [{"s": ["2"], "n": [3]}]
+ALL = "n long, x double, s string, b boolean, ts timestamp_ntz, day date"
+
+
+def test_workbooks_come_back_equal(spark, tmp_path):
+    from emberline.sources import workbooks
+
+    when = dt.datetime(2024, 2, 29, 23, 59, 59, 123456)
+    rows = [(1, 0.1, "a <b> & \"c\"", True, when, when.date()), (-(2**53), -2.5e-300, " lead, trail ", False, T0, T0.date()), (None,) * 6, (7, None, "", None, None, None), (8, 1e300, "ä\n\u4e2d", None, None, None)]
+    df = spark.createDataFrame(rows, ALL)
+    for k, r in enumerate(workbooks.as_workbooks(df, rows_a_sheet=2).collect()):
+        (tmp_path / f"{k}.xlsx").write_bytes(r["content"])
+    (tmp_path / "note.txt").write_text("no workbook")
+    good, bad = tables.split_corrupt(workbooks.read_workbooks(spark, str(tmp_path), df.schema))
+    assert bad.count() == 0
+    # a row of nulls only is no row of a sheet
+    assert sorted(map(repr, map(tuple, good.collect()))) == sorted(repr(r) for r in rows if any(x is not None for x in r))
+    assert workbooks.as_workbooks(df.limit(0)).count() == 0
+
+
+def test_workbooks_of_other_makers(spark):
+    """Shared strings with runs, serial dates of both calendars, cells without places, errors, several sheets, columns in another order."""
+    import io
+    import zipfile
+
+    from emberline.sources import workbooks
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def book(props, *sheets):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{office}">{props}<sheets>' + "".join(f'<sheet name="s{k}" sheetId="{k}" r:id="r{k}"/>' for k in range(len(sheets))) + "</sheets></workbook>")
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{k}" Type="t" Target="/xl/w/{k}.xml"/>' for k in range(len(sheets))) + "</Relationships>")
+            z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>s</t></si><si><r><t>two </t></r><r><t>runs</t></r><rPh><t>guide</t></rPh></si><si><t>ts</t></si><si><t>n</t></si></sst>")
+            for k, rows in enumerate(sheets):
+                z.writestr(f"xl/w/{k}.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+        return out.getvalue()
+
+    head = '<row><c t="s"><v>2</v></c><c t="s"><v>0</v></c><c t="s"><v>3</v></c></row>'
+    one = head + '<row r="2"><c r="B2" t="s"><v>1</v></c><c r="C2"><v>3.0</v></c></row><row r="3"><c r="A3"><v>45350.5</v></c><c r="C3" t="e"><v>#DIV/0!</v></c></row>'
+    two = head + '<row><c><v>45350</v></c><c t="str"><v>x</v></c><c><v>1.5</v></c></row>'
+    schema = spark.createDataFrame([], "s string, n long, ts timestamp_ntz, missing double").schema
+    df = spark.createDataFrame([(bytearray(book("", one, two)),), (bytearray(book('<workbookPr date1904="1"/>', head + "<row><c><v>1</v></c></row>")),), (None,)], "content binary")
+    got = sorted((tuple(r) for r in workbooks.parsed(df, schema).collect()), key=repr)
+    want = [("two runs", 3, None, None, None), (None, None, dt.datetime(2024, 2, 28, 12), None, None), ("x", None, dt.datetime(2024, 2, 28), None, "45350\tx\t1.5"), (None, None, dt.datetime(1904, 1, 2), None, None)]
+    assert got == sorted(want, key=repr)
+    assert workbooks.parsed(df, schema, "s1").count() == 1 and workbooks.parsed(df, schema, 0).count() == 3
+
+
+def test_sketches_merge_to_what_they_would_have_been(spark):
+    from emberline.operators import sketches
+
+    e = events(spark, [(T0 + (i % 50) * H, i % 700, "ab"[i % 3 == 0], None if i % 11 == 0 else float(i * 7919 % 5000), None) for i in range(5000)] + [(T0, None, "c", None, None)])
+    hourly = sketches.hourly_sketches(e)
+    days = sketches.merged(hourly.withColumn("day", F.date_trunc("day", "hr")), "tag", "day")
+    for source in (hourly, days):
+        found = {r["tag"]: r for r in sketches.estimates(sketches.merged(source, "tag"), "tag").collect()}
+        assert found["c"]["quantile"] is None and found["c"]["n"] == 1
+        for tag in "ab":
+            values = sorted(float(i * 7919 % 5000) for i in range(5000) if "ab"[i % 3 == 0] == tag and i % 11)
+            rank = sum(v <= found[tag]["quantile"] for v in values) / len(values)
+            assert abs(rank - 0.95) <= sketches.RANK_ERROR
+            assert abs(found[tag]["units"] - 700) <= sketches.COUNT_ERROR * 700
+
+
+def subsets_by_brute_force(nodes, weights, x):
+    """Base and Shapley parts by all subsets of the features; a feature outside of a subset takes each turn by its share of training rows."""
+    import itertools
+    import math
+
+    def value(tree, node, known):
+        r = nodes[tree, node]
+        if r["leftChild"] < 0:
+            return r["prediction"]
+        f, at = r["split"]["featureIndex"], r["split"]["leftCategoriesOrThreshold"][0]
+        if f in known:
+            return value(tree, r["leftChild"] if x[f] <= at else r["rightChild"], known)
+        return sum(nodes[tree, c]["rawCount"] / r["rawCount"] * value(tree, c, known) for c in (r["leftChild"], r["rightChild"]))
+
+    game = lambda known: 2 * sum(w * value(t, 0, known) for t, w in enumerate(weights))
+    m, parts = len(x), []
+    for f in range(m):
+        rest = [k for k in range(m) if k != f]
+        parts.append(sum(math.factorial(len(s)) * math.factorial(m - 1 - len(s)) / math.factorial(m) * (game({*s, f}) - game(set(s))) for n in range(m) for s in itertools.combinations(rest, n)))
+    return game(set()), parts
+
+
+def test_shapley_parts_by_all_subsets(spark, tmp_path):
+    import numpy as np
+
+    from emberline.operators import explain
+
+    rows = [(T0 + i * H, *(float((i * p) % 17) for p in (3, 5, 7, 11, 2)), float((i * 3 % 17 > 8) ^ (i * 7 % 17 > 5))) for i in range(200)]
+    names = [f"z_{k}" for k in "abcde"]
+    df = spark.createDataFrame(rows, "hr timestamp_ntz, " + ", ".join(f"{n} double" for n in names) + ", label double")
+    model, assembled, _ = prediction.fitted(df, "trees", Config(cutoff="2024-01-07 00:00:00"))
+    model.write().save(str(tmp_path / "model"))
+    nodes = {(r["treeID"], r["id"]): r for r in spark.read.parquet(str(tmp_path / "model" / "data")).select("treeID", "nodeData.*").collect()}
+    x = np.array([r[1:6] for r in rows[::9]])
+    base, parts = explain.shapley(x, explain.leaves(model, spark))
+    for k in range(len(x)):
+        want_base, want = subsets_by_brute_force(nodes, model.treeWeights, x[k])
+        assert base == pytest.approx(want_base) and parts[k] == pytest.approx(want, abs=1e-9)
+    found = prediction.explained(df, "trees", Config(cutoff="2024-01-07 00:00:00"))
+    sums = found.groupBy("hr").agg((F.sum("part") + F.first("base")).alias("a"), F.first("log_odds").alias("b")).collect()
+    assert len(sums) == 200 - 6 * 24 and all(r["a"] == pytest.approx(r["b"]) for r in sums)
+
+
+def test_regression_and_fit_without_a_solution(spark):
+    from emberline.functions import linear
+
+    rows = [("a", float(i), 2.0 * i, 3.0 * i) for i in range(9)] + [("b", float(i % 3), float(i), 1.0 + 2 * (i % 3) - i) for i in range(9)] + [("c", 1.0, 2.0, 3.0), ("d", None, 1.0, 1.0)]
+    found = {r["k"]: r for r in linear.least_squares(spark.createDataFrame(rows, "k string, u double, v double, y double"), "k", "y", ["u", "v"]).collect()}
+    assert set(found) == {"a", "b", "c"} and found["a"]["u"] is None and found["c"]["v"] is None
+    assert (found["b"]["u"], found["b"]["v"], found["b"]["se_u"]) == (pytest.approx(2), pytest.approx(-1), pytest.approx(0, abs=1e-6))
+    same = spark.createDataFrame([(T0 + i * H, float(i), 0.0) for i in range(300)], "hr timestamp_ntz, z_a double, label double")
+    assert {r["p"] for r in prediction.logistic_predicted(same).collect()} == {0.0}
+    assert {(r["part"], r["log_odds"]) for r in prediction.explained(same).collect()} == {(0.0, float("-inf"))}
+    assert prediction.logistic_predicted(same.limit(0)).count() == 0
+
+
+def test_no_fold_sees_its_future(spark):
+    e = events(spark, [(T0 + i * H, 1, ("click", "error")[i % 2], float(i * i % 29), None) for i in range(30 * 24)])
+    before = lambda df: [tuple(r) for r in risk.rolling_origin(df).orderBy("origin").collect()]
+    changed = e.withColumn("value", F.when(F.col("ts") >= F.lit(T0 + dt.timedelta(days=20)), F.col("value") * 50).otherwise(F.col("value")))
+    a, b = before(e), before(changed)
+    assert a[:2] == b[:2] and a[2] != b[2] and len(a) == 4
+    assert before(e.limit(0)) == [(T0 + dt.timedelta(days=10 + 5 * k), 0, 0, 0, 0, None, None, None) for k in range(4)]
