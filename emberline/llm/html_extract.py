@@ -74,26 +74,52 @@ class Dom:
         return len(self.tag) - 1
 
 
+#: Ancestors across which an implied end tag does not reach: of p, and of list items and table parts.
+P_BARRIERS = frozenset(("button", "table", "td", "th"))
+ITEM_BARRIERS = frozenset(("ul", "ol", "dl", "table", "select"))
+ITEMS = frozenset(("li", "dt", "dd", "tr", "td", "th", "option"))
+
+
+class _Stack:
+    """Open nodes, and for each tag, and each kind of barrier, where on the stack it is open: closing costs as much as it closes."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["#root"]
+        self.open: dict[str, list[int]] = {}
+
+    @staticmethod
+    def _lists(tag: str) -> list[str]:
+        kinds = ((P_CLOSERS, "#block"), (P_BARRIERS, "#p"), (ITEM_BARRIERS, "#item"))
+        return [tag, *(name for group, name in kinds if tag in group)]
+
+    def push(self, node: int, tag: str) -> None:
+        for name in self._lists(tag):
+            self.open.setdefault(name, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def close(self, tag: str, barrier: str | None = None) -> None:
+        """Close the innermost open tag and what is open inside, unless a barrier is open inside it."""
+        at, bars = self.open.get(tag), self.open.get(barrier)
+        if not at or bars and bars[-1] > at[-1]:
+            return
+        first = at[-1]
+        for closed in reversed(self.tags[first:]):
+            for name in self._lists(closed):
+                self.open[name].pop()
+        del self.nodes[first:], self.tags[first:]
+
+
 def parse(page: str) -> Dom:
-    """A forgiving DOM; one pass, a stack, no recursion."""
-    dom, stack, at, n = Dom(), [0], 0, len(page)
-
-    def close(names: tuple[str, ...], until: frozenset[str] = frozenset()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if dom.tag[stack[i]] in names:
-                del stack[i:]
-                return
-            if dom.tag[stack[i]] in until:
-                return
-
-    open_count: dict[str, int] = {}
+    """A forgiving DOM; one pass, a stack, no recursion, time in proportion to the page."""
+    dom, stack, at, n = Dom(), _Stack(), 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
         if text and not text.isspace():
-            dom.add("#text", stack[-1], text=text)
-        elif text and len(stack) > 1:
-            dom.add("#space", stack[-1], text=" ")
+            dom.add("#text", stack.nodes[-1], text=text)
+        elif text and len(stack.nodes) > 1:
+            dom.add("#space", stack.nodes[-1], text=" ")
         if not m:
             break
         at = m.end()
@@ -101,22 +127,15 @@ def parse(page: str) -> Dom:
             continue
         tag = m["tag"].lower()
         if m["close"]:
-            if open_count.get(tag):
-                before = len(stack)
-                # an inline end tag does not reach across a block
-                close((tag,), P_CLOSERS if tag in INLINE else frozenset())
-                if len(stack) == before and tag not in INLINE:
-                    continue
-                open_count = _counts(dom, stack) if before - len(stack) > 1 else open_count | {tag: open_count[tag] - (before > len(stack))}
+            # an inline end tag does not reach across a block
+            stack.close(tag, "#block" if tag in INLINE else None)
             continue
-        if tag in P_CLOSERS and open_count.get("p"):
-            close(("p",), frozenset(("button", "table", "td", "th")))
-            open_count = _counts(dom, stack)
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and open_count.get(tag):
-            close((tag,), frozenset(("ul", "ol", "dl", "table", "select")))
-            open_count = _counts(dom, stack)
+        if tag in P_CLOSERS and stack.open.get("p"):
+            stack.close("p", "#p")
+        elif tag in ITEMS:
+            stack.close(tag, "#item")
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(m["attrs"])) if m["attrs"].strip() else ""
-        node = dom.add(tag, stack[-1], names)
+        node = dom.add(tag, stack.nodes[-1], names)
         if tag in VOID or m["attrs"].endswith("/") and tag not in INLINE and tag not in P_CLOSERS:
             continue
         if tag in RAW:
@@ -126,18 +145,10 @@ def parse(page: str) -> Dom:
                 dom.add("#text", node, text=body)
             at = end.end() if end else n
             continue
-        stack.append(node)
-        open_count[tag] = open_count.get(tag, 0) + 1
+        stack.push(node, tag)
     return dom
 
 
-def _counts(dom: Dom, stack: list[int]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for i in stack:
-        out[dom.tag[i]] = out.get(dom.tag[i], 0) + 1
-    return out
-
-
 def features(dom: Dom) -> list[list[str]]:
     """The features of each node, in buckets of a fixed vocabulary."""
     n = len(dom.tag)

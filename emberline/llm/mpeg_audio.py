@@ -172,10 +172,17 @@ def _id3v1(data: bytes, at: int, tags: dict[str, str]) -> int:
     return at + 128
 
 
+def _goes_on(data: bytes, at: int) -> bool:
+    """Whether what follows a tag can: nothing, padding, a frame or another tag."""
+    return at >= len(data) or data[at] == 0 or header(data[at : at + 4]) is not None or data[at : at + 3] in (b"TAG", b"ID3") or data[at : at + 8] == b"APETAGEX"
+
+
 def _ape(data: bytes, at: int, tags: dict[str, str]) -> int:
-    """Behind the APE tag whose header or footer is at `at`. A footer alone has its items before it, which have been passed as junk."""
-    size, count, flags = (int.from_bytes(data[at + k : at + k + 4], "little") for k in (12, 16, 20))
+    """Behind the APE tag whose header or footer is at `at`; `at` itself where that can be none. A footer alone has its items before it, which have been passed as junk."""
+    version, size, count, flags = (int.from_bytes(data[at + k : at + k + 4], "little") for k in (8, 12, 16, 20))
     is_header = flags >> 29 & 1
+    if version not in (1000, 2000) or size < 32 or (at + 32 + size > len(data) or not _goes_on(data, at + 32 + size) if is_header else size > at + 32):
+        return at
     p, end = (at + 32, min(len(data), at + 32 + size)) if is_header else (max(0, at + 32 - size), at)
     for _ in range(count):
         if p + 8 >= end:
@@ -192,10 +199,14 @@ def _ape(data: bytes, at: int, tags: dict[str, str]) -> int:
 
 def _id3(data: bytes, at: int, tags: dict[str, str]) -> int:
     """Behind the ID3v2 tag at `at`, whose text frames go to tags; `at` itself where there is none."""
-    if data[at : at + 3] != b"ID3" or len(data) < at + 10:
+    # versions and sizes of a tag have no byte FF, and sizes none above 7F; and a tag ends inside the data
+    if data[at : at + 3] != b"ID3" or len(data) < at + 10 or data[at + 3] not in (2, 3, 4) or data[at + 4] == 0xFF or max(data[at + 6 : at + 10]) > 127:
         return at
     size = functools.reduce(lambda n, x: n << 7 | x & 127, data[at + 6 : at + 10], 0)
-    end, p, major = min(len(data), at + 10 + size), at + 10, data[at + 3]
+    end, p, major = at + 10 + size, at + 10, data[at + 3]
+    behind = end + (10 if data[at + 5] & 0x10 else 0)
+    if behind > len(data) or not _goes_on(data, behind):
+        return at
     while major == 2 and p + 6 <= end and data[p : p + 3].isalnum():
         name, n = data[p : p + 3].decode("latin-1"), int.from_bytes(data[p + 3 : p + 6], "big")
         body = data[p + 6 : min(end, p + 6 + n)]
@@ -212,7 +223,7 @@ def _id3(data: bytes, at: int, tags: dict[str, str]) -> int:
                 name, _, text = text.partition("\0")
             tags[name] = text.rstrip("\0")
         p += 10 + n
-    return at + 10 + size + (10 if data[at + 5] & 0x10 else 0)
+    return behind
 
 
 def _vbr(frame: bytes, h: Header, out: Media) -> bool:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, html_labelled, jaccard_join, lm_score, mpeg_audio, packing, prefix_trie, secret_scan, simhash_dedup, toxicity, url_filter, vector_codes, warc
-from .common import read, sha256_hex
+from .common import read, sha256_hex, shared_dir
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Two scans with one ledger: the second knows what the first has run, the base rules, and runs only what the method adds."""
+    docs, ledger = read(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    secret_scan.scan(docs, secret_scan.BASE, ledger)
+    found = secret_scan.scan(docs, ledger=ledger)
     base = F.filter("findings", lambda s: s["ordinal"] < len(secret_scan.BASE))
     ordinals = F.transform("findings", lambda s: s["ordinal"])
     counts = {f"n_{r.kind}": (F.size(ordinals) - F.size(F.array_remove(ordinals, k))).cast("long") for k, r in enumerate(secret_scan.BASE)}

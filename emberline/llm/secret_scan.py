@@ -1,21 +1,24 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
 A blob is a distinct text, named by its SHA-256. The ledger is a Parquet table of
-(blob, rule_version, findings), partitioned by rule version. A scan looks only at
-(blob, rule version) pairs that the ledger lacks, appends them, and joins the
-findings back to every path (row) that holds the blob, in any historical version.
+(blob, rule_versions, findings): which versions of which rules have been run over a
+blob, and what they found (places only: the ledger holds no secrets). A scan names
+every path's blob, asks the ledger, and looks only at blobs for which it lacks a
+version of some rule, and there at those rules only. It appends what it has
+done, and joins the findings back to every path (row) that holds the blob, in any
+historical version.
 
 Everything is DataFrame operations: a rule's matches come from regexp_extract_all,
 their offsets from the lengths of the pieces that split() leaves between them.
-Texts are gated first: only those that hold a rule's literal and its gate pattern
+Unseen texts are gated: only those that hold a rule's literal and its gate pattern
 travel, once for each different text. Patterns try a bounded number of characters
 at each place, so a long run of letters costs no more than as many words.
 
 Defined cases: a null text is an empty one and has no findings; copies of a text
 are scanned once, whatever their number; equal rows stay equal rows; an empty
-table gives an empty result and an empty ledger entry; clean blobs are in the ledger
-too; other columns pass, but for `blob` and `findings` in any case. Two scans that
-write one ledger at once may both write a pair; it is read as one.
+table gives an empty result and adds nothing to the ledger; clean blobs are in the
+ledger too; other columns pass, but for `blob` and `findings` in any case. Two scans
+that write one ledger at once may both write a pair; it is read as one.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import aside, sha256_hex, shared_dir, without, written
+from .common import BROADCAST_ROWS, aside, checked, sha256_hex, shared_dir, without, written
 
 
 @dataclass(frozen=True)
@@ -62,25 +65,29 @@ ADDED = (
 RULES = BASE + ADDED
 
 
-def rule_version(rules: tuple[SecretRule, ...]) -> str:
-    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+def rule_version(rule: SecretRule) -> str:
+    return hashlib.sha256(repr(rule).encode()).hexdigest()[:16]
 
 
 #: Most bytes of findings that are broadcast; beyond, they meet their paths by a shuffle.
 BROADCAST_BYTES = 64_000_000
 
 
-def gated(text: Column, rules: tuple[SecretRule, ...]) -> Column:
-    """Whether a text can hold a counting match."""
+def _wanted(missing: Column, rule: SecretRule) -> Column:
+    return F.array_contains(missing, rule_version(rule))
+
+
+def gated(text: Column, rules: tuple[SecretRule, ...], missing: Column) -> Column:
+    """Whether a text can hold a counting match of a rule whose version is missing."""
     out = F.lit(False)
     for r in rules:
         one = text.rlike(r.gate or r.pattern)
-        out = out | (text.contains(r.needs) & one if r.needs else one)
+        out = out | (_wanted(missing, r) & text.contains(r.needs) & one if r.needs else _wanted(missing, r) & one)
     return out
 
 
 def _matches(text: Column, rule: SecretRule, ordinal: int) -> Column:
-    """Array of (ordinal, pos, gap, len, counts, value), one for each match of a rule; gap: characters between it and the match before."""
+    """Array of (ordinal, pos, gap, len, counts), one for each match of a rule; gap: characters between it and the match before."""
     whole, gaps = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     sides = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
@@ -88,65 +95,97 @@ def _matches(text: Column, rule: SecretRule, ordinal: int) -> Column:
         sides,
         lambda x, i: F.struct(
             F.lit(ordinal).alias("ordinal"), i.alias("pos"), F.char_length(x["gap"]).alias("gap"), F.char_length(x["whole"]).alias("len"),
-            (F.char_length(x["value"]) >= rule.least).alias("counts"), x["whole"].alias("value"),
+            (F.char_length(x["value"]) >= rule.least).alias("counts"),
         ),
     )
 
 
+SPANS = "array<struct<start:bigint,end:bigint,rule:string>>"
+LEDGER = f"blob string, rule_versions array<string>, findings {SPANS}"
+
+
 def blob_findings(blobs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
-    """blobs (blob, text; one row each) with their findings: array of (start, ordinal, end, kind, value), by start, then rule order. Blobs without any are left out.
+    """blob and findings (SPANS) of blobs (blob, text, missing; one row each), by the rules whose versions are missing. Blobs without any are left out.
 
     The i-th match of a rule ends where i + 1 gaps and i + 1 matches end: a running sum, in a window over one rule's matches in one blob.
     """
-    raw = blobs.select("blob", F.explode(F.flatten(F.array(*(_matches(F.col("text"), r, k) for k, r in enumerate(rules))))).alias("x"))
+    found = [F.when(_wanted(F.col("missing"), r), _matches(F.col("text"), r, k)).otherwise(F.array()) for k, r in enumerate(rules)]
+    raw = blobs.select("blob", F.explode(F.flatten(F.array(*found))).alias("x"))
     before = Window.partitionBy("blob", "x.ordinal").orderBy("x.pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("x.gap") + F.col("x.len")).over(before)
-    kinds = F.array(*(F.lit(r.kind) for r in rules))
+    versions = F.array(*(F.lit(rule_version(r)) for r in rules))
     spans = raw.select("blob", "x", end.alias("end")).where("x.counts")
-    span = F.struct((F.col("end") - F.col("x.len")).alias("start"), F.col("x.ordinal").alias("ordinal"), F.col("end").cast("long").alias("end"), F.get(kinds, F.col("x.ordinal")).alias("kind"), F.col("x.value").alias("value"))
-    return spans.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("findings"))
+    span = F.struct((F.col("end") - F.col("x.len")).alias("start"), F.col("end").cast("long").alias("end"), F.get(versions, F.col("x.ordinal")).alias("rule"))
+    return spans.groupBy("blob").agg(F.collect_list(span).alias("findings"))
 
 
-LEDGER = "blob string, findings array<struct<start:bigint,ordinal:int,end:bigint,kind:string,value:string>>, rule_version string"
-
-
-def in_ledger(spark: SparkSession, ledger: str, version: str) -> DataFrame | None:
-    """blob and findings that the ledger has of a rule version; None where there is no ledger yet."""
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
+    """The ledger's rows; None where there is no ledger yet."""
     try:
-        return spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == version).select("blob", "findings")
+        return spark.read.schema(LEDGER).parquet(ledger)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
 
 
-def scan(documents: DataFrame, rules: tuple[SecretRule, ...] = RULES, ledger: str | None = None, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """documents with `blob` and `findings` (never null) added, columns of these names being replaced.
+def unseen(paths: DataFrame, rules: tuple[SecretRule, ...], ledger: DataFrame | None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A row a blob of paths (blob, text) for which the ledger lacks something: blob, missing (the versions that it lacks), and text, null where the gate knows it clean.
+
+    Blobs are compared by name before any text is looked at, and only gated texts are
+    shuffled. Names of unseen blobs are broadcast where they are few, as after a first
+    scan. Where they are many, but the fewer, their texts meet them by a shuffle; where they
+    are the most of all, as after a new rule, it is cheaper to gate all texts at once.
+    """
+    versions = [rule_version(r) for r in rules]
+
+    def gate(rows: DataFrame, missing: Column) -> DataFrame:
+        may = gated(F.col("text"), rules, missing)
+        return rows.withColumn("text", F.when(may, F.col("text"))).groupBy("blob").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in rows.columns if c == "missing"))
+
+    if ledger is None:
+        return gate(paths, F.array(*map(F.lit, versions))).withColumn("missing", F.array(*map(F.lit, versions)))
+    known = ledger.groupBy(F.col("blob").alias("known")).agg(F.flatten(F.collect_set("rule_versions")).alias("run"))
+    names = paths.select("blob").distinct().join(known, F.col("blob") == F.col("known"), "left")
+    lacks = F.array_except(F.array(*map(F.lit, versions)), F.coalesce("run", F.array().cast("array<string>")))
+    named = written(names.select("blob", lacks.alias("missing")), "named")
+    lacking = named.where(F.size("missing") > 0)
+    n, every = lacking.count(), named.count()
+    if n <= broadcast_rows:
+        return gate(paths.join(F.broadcast(lacking), "blob"), F.col("missing"))
+    if 2 * n < every:
+        return gate(paths.join(lacking, "blob"), F.col("missing"))
+    anywhere = F.array(*(F.lit(r["v"]) for r in lacking.select(F.explode("missing").alias("v")).distinct().collect()))  # rules at most
+    return gate(paths, anywhere).join(lacking, "blob")
+
+
+def scan(documents: DataFrame, rules: tuple[SecretRule, ...] = RULES, ledger: str | None = None, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """documents with `blob` and `findings` (never null) added, columns of these names being replaced. A finding is (start, ordinal of the rule, end, kind), by start, then rule.
 
     ledger: folder of the ledger, shared by all executors; scans with the same
     one skip what it has. None: a new ledger, in the application's shared folder.
     """
-    spark, version = documents.sparkSession, rule_version(rules)
+    spark = documents.sparkSession
     ledger = ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     kept = documents.select(*without(documents, "blob", "findings"))
     whole = F.coalesce(F.col(text), F.lit(""))
-    may = gated(whole, rules)
-    # Only texts that can hold a finding travel; the others are known clean, and go into the ledger by their names alone.
-    seen = kept.select(sha256_hex(whole).alias("blob"), F.when(may, whole).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    known = in_ledger(spark, ledger, version)
-    unseen = written(seen if known is None else seen.join(known, "blob", "left_anti"), "unseen")
-    found = blob_findings(unseen.where("text is not null"), rules)
-    none = F.array().cast(found.schema["findings"].dataType)
-    fresh = unseen.select("blob").join(found, "blob", "left").select("blob", F.coalesce("findings", none).alias("findings"), F.lit(version).alias("rule_version"))
-    fresh.write.mode("append").partitionBy("rule_version").parquet(ledger)
-    findings = in_ledger(spark, ledger, version).where(F.size("findings") > 0).dropDuplicates(["blob"])
+    todo = written(unseen(kept.select(sha256_hex(whole).alias("blob"), whole.alias("text")), rules, read_ledger(spark, ledger), broadcast_rows), "unseen")
+    found = blob_findings(todo.where("text is not null"), rules).withColumnRenamed("blob", "of")
+    todo.join(found, F.col("blob") == F.col("of"), "left").select("blob", F.col("missing").alias("rule_versions"), F.coalesce("findings", F.array().cast(SPANS)).alias("findings")).write.mode("append").parquet(ledger)
+    # of all scans: a pair that two of them wrote counts once
+    place = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (rule_version(r), k)))
+    kinds = F.array(*(F.lit(r.kind) for r in rules))
+    spans = read_ledger(spark, ledger).where(F.size("findings") > 0).select("blob", F.explode("findings").alias("s")).where(F.col("s.rule").isin([rule_version(r) for r in rules])).distinct()
+    span = F.struct(F.col("s.start").alias("start"), F.try_element_at(place, "s.rule").alias("ordinal"), F.col("s.end").alias("end"), F.get(kinds, F.try_element_at(place, "s.rule")).alias("kind"))
+    findings = written(spans.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("findings")), "findings")
+    none = F.array().cast(findings.schema["findings"].dataType)
     paths = kept.withColumn("blob", sha256_hex(whole))
-    chars = F.aggregate("findings", F.lit(0).cast("long"), lambda n, s: n + 100 + 2 * F.length(s["value"]))
-    if (findings.agg(F.sum(chars + 100)).first()[0] or 0) <= broadcast_bytes:
+    if (findings.agg(F.sum(200 + 60 * F.size("findings"))).first()[0] or 0) <= broadcast_bytes:
         return paths.join(F.broadcast(findings), "blob", "left").select(*kept.columns, "blob", F.coalesce("findings", none).alias("findings"))
-    # paths whose text can hold nothing need no join, so their texts don't travel
-    held = paths.where(may).join(findings, "blob", "left").select(*kept.columns, "blob", F.coalesce("findings", none).alias("findings"))
-    return held.unionAll(paths.where(~may).select(*kept.columns, "blob", none.alias("findings")))
+    # texts of clean paths don't travel while the other names can be broadcast
+    names = checked(findings.select("blob"), "names")
+    held = paths.join(names, "blob", "left_semi").join(findings, "blob").select(*kept.columns, "blob", "findings")
+    return held.unionAll(paths.join(names, "blob", "left_anti").select(*kept.columns, "blob", none.alias("findings")))
 
 
 def joined_spans(findings: Column) -> Column:

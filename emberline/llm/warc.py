@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 RECORD = "key long, warc_type string, record_id string, refers_to string, target_uri string, date string, headers map<string,string>, block binary, payload_digest string, block_digest string, content_length long"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 _HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)")
@@ -47,7 +49,6 @@ _RAW = {x: re.compile(rf"(?i)</{x}(?=[\s/>])") for x in ("script", "style", "tex
 _META = re.compile(rb"(?i)<meta\b[^>]*?\bcharset\s*=\s*[\"']?\s*([a-z0-9_:.-]+)")
 _CHARSET = re.compile(r"(?i)\bcharset\s*=\s*[\"']?\s*([a-z0-9_:.-]+)")
 _LATIN = ("ascii", "iso8859-1")  # pages that say so are windows-1252, as browsers take it
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title")
 
 
 def digest(data: bytes) -> str:
@@ -125,7 +126,12 @@ def decoded(headers: dict[str, str], body: bytes) -> str:
 
 def links(page: str) -> list[dict[str, str]]:
     """Every href and src of the start tags, in page order. Comments and the bodies of raw-text elements hold no tags; an attribute's first value counts."""
-    out, at = [], 0
+    return scanned(page)[0]
+
+
+def scanned(page: str) -> tuple[list[dict[str, str]], str]:
+    """The links of a page, and its first title that is closed; one pass over the start tags."""
+    out, title, at = [], None, 0
     while m := _START.search(page, at):
         at = m.end()
         if not m[1]:
@@ -138,8 +144,10 @@ def links(page: str) -> list[dict[str, str]]:
             seen.add(name)
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
+            if tag == "title" and title is None and end:
+                title = page[at + page[at : at + 1].count(">") : end.start()]
             at = end.start() if end else len(page)
-    return out
+    return out, " ".join(html.unescape(title or "").split())
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -155,6 +163,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
                 rows.append((key, "response", rid, None, url, date, {"Content-Type": "application/http; msgtype=response"}, block, digest(body), digest(block), len(block)))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")]).astype({"key": "Int64"})
 
+    small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInPandas(run, RECORD)
 
 
@@ -169,13 +178,14 @@ def derive(records: DataFrame) -> DataFrame:
             for r in frame[frame["warc_type"] == "response"].itertuples(index=False):
                 status, headers, body = _http(bytes(r.block or b""))
                 text = decoded(headers, body)
-                title = _TITLE.search(text)
-                meta = json.dumps({"Response-Status": status, "Source-Headers": headers, "Title": " ".join(html.unescape(title[1]).split()) if title else "", "Links": links(text), "Payload-Digest": r.payload_digest}, ensure_ascii=False, sort_keys=True).encode()
+                found, title = scanned(text)
+                meta = json.dumps({"Response-Status": status, "Source-Headers": headers, "Title": title, "Links": found, "Payload-Digest": r.payload_digest}, ensure_ascii=False, sort_keys=True).encode()
                 plain = plain_text(text).encode()
                 for kind, mime, block in (("metadata", "application/json", meta), ("conversion", "text/plain", plain)):
                     rows.append((r.key, kind, record_id(kind, r.record_id), r.record_id, r.target_uri, r.date, {"Content-Type": mime, "WARC-Refers-To-Digest": r.payload_digest}, block, r.payload_digest if kind == "metadata" else digest(block), digest(block), len(block)))
             yield pd.DataFrame(rows, columns=names).astype({"key": "Int64"})
 
+    small_batches(records.sparkSession, 250)  # a batch holds whole pages, and three records of each
     return records.select(*(x.split()[0] for x in RECORD.split(", "))).mapInPandas(run, RECORD)
 
 

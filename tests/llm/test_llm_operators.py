@@ -1,5 +1,6 @@
 """Edge cases of the operators: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import dataclasses
 import html
 import html.parser
 import itertools
@@ -446,8 +447,13 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     b = {r["doc_id"]: r["findings"] for r in secret_scan.scan(again, ledger=ledger).collect()}
     assert [len(b[i]) for i in (10, 11, 12)] == [1, 1, 0] and spark.read.parquet(ledger).count() == 4
     assert (b[11][0]["start"], b[11][0]["end"]) == (2, 23)
-    secret_scan.scan(again, rules=secret_scan.BASE, ledger=ledger).count()  # another rule version: scanned again
-    assert spark.read.parquet(ledger).select("rule_version").distinct().count() == 2
+    secret_scan.scan(again, rules=secret_scan.BASE, ledger=ledger).count()  # versions of rules that have been run
+    assert spark.read.parquet(ledger).count() == 4
+    looser = (dataclasses.replace(secret_scan.BASE[0], least=3),)  # another version: run over all blobs again
+    assert [len(r["findings"]) for r in secret_scan.scan(again, rules=looser, ledger=ledger).orderBy("doc_id").collect()] == [1, 1, 0]
+    assert spark.read.parquet(ledger).count() == 7
+    text = str(spark.read.parquet(ledger).collect())
+    assert "abcdefgh1" not in text and "longenough" not in text  # places only
     assert secret_scan.scan(first.limit(0)).count() == 0
 
 
@@ -465,6 +471,69 @@ def test_versions_go_through_the_ledger_once_and_come_back_to_all_paths(spark, t
     assert few(0) == few(1 << 20)
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_known_blobs_are_not_looked_at(spark, tmp_path, few):
+    ledger = f"file://{tmp_path}/known"
+    texts = [f"token=abcdefgh{i % 7} and AKIA{'ABCDEFGHIJKLMNOP'[i % 7:] * 3}" if i % 3 else f"clean {i % 5}" for i in range(60)]
+    docs = documents(spark, texts)
+    blobs = lambda d: d.select(F.sha2("text", 256).alias("blob"), "text")
+    todo = lambda d, rules: secret_scan.unseen(blobs(d), rules, secret_scan.read_ledger(spark, ledger), few).collect()
+    assert len(todo(docs, secret_scan.BASE)) == len(set(texts))
+    secret_scan.scan(docs, secret_scan.BASE, ledger, broadcast_rows=few)
+    assert todo(docs, secret_scan.BASE) == []  # no blob comes to a gate
+    added = todo(docs, secret_scan.RULES)
+    assert len(added) == len(set(texts)) and {tuple(r["missing"]) for r in added} == {tuple(map(secret_scan.rule_version, secret_scan.ADDED))}
+    assert all(r["text"] is None for r in added)  # none of the added rules' gates lets them pass
+    more = docs.unionByName(documents(spark, ["new http://a:b@c/ password=newsecret1"], [99]))
+    assert len(todo(more, secret_scan.BASE)) == 1
+    want = sorted((r["doc_id"], str(r["findings"])) for r in secret_scan.scan(more).collect())
+    assert sorted((r["doc_id"], str(r["findings"])) for r in secret_scan.scan(more, ledger=ledger, broadcast_rows=few).collect()) == want
+    # and again, when nothing is missing, and beside rows that a second writer has written twice
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger)
+    assert sorted((r["doc_id"], str(r["findings"])) for r in secret_scan.scan(more, ledger=ledger, broadcast_bytes=0, broadcast_rows=few).collect()) == want
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    mega = 1_000_000
+    pages = ["<title>" * (mega // 7), "<div>" * (mega // 10) + "<li>" * (mega // 8), "<li><div>" * (mega // 9), "<p><button>" + "<div>" * (mega // 5), "<p><table><td>" + "<div><b></i>" * (mega // 12), "<a \"'" * (mega // 5), "<script>" * (mega // 8), "<" * mega]
+    for page in pages:
+        for f in (html_extract.parse, warc.scanned, warc.plain_text):
+            began = time.time()
+            f(page)
+            assert time.time() - began < 5, (page[:20], f.__name__)
+
+
+def test_implied_ends_reach_as_far_as_they_should():
+    shape = lambda page: [(d.tag[i], d.tag[d.parent[i]]) for d in [html_extract.parse(page)] for i in range(1, len(d.tag)) if d.tag[i] != "#text"]
+    assert shape("<ul><li>a<ul><li>b</ul><li>c") == [("ul", "#root"), ("li", "ul"), ("ul", "li"), ("li", "ul"), ("li", "ul")]
+    assert shape("<p>a<table><td><div>b</div></td></table><p>c") == [("p", "#root"), ("table", "#root"), ("td", "table"), ("div", "td"), ("p", "#root")]
+    assert shape("<p><button><div>x") == [("p", "#root"), ("button", "p"), ("div", "button")]
+    assert shape("<b><div></b><i>x") == [("b", "#root"), ("div", "b"), ("i", "div")]
+    assert shape("<div><section><b></div><i>") == [("div", "#root"), ("section", "div"), ("b", "section"), ("i", "#root")]
+
+
+def test_titles():
+    assert warc.scanned("<!-- <title>no</title> --><script>'<title>no</title>'</script><title lang=x> a &amp;\n b </title><title>c</title>")[1] == "a & b"
+    assert warc.scanned("<title>never closed <a href=x>")[1] == ""
+
+
+def test_false_tags_lose_no_frame():
+    whole = mpeg_audio.carry(b"x" * 3000)
+    frames = whole[whole.index(b"\xff\xfa") :]
+    size, n = mpeg_audio.header(frames[:4]).size, mpeg_audio.parse(frames).frames
+    ape = lambda version, length, flags: b"APETAGEX" + b"".join(x.to_bytes(4, "little") for x in (version, length, 1, flags)) + bytes(8)
+    false = [b"ID3\xff\xff\xff\xff\xff\xff\xff", b"ID3\x03\0\0\x7f\x7f\x7f\x7f", b"ID3\x04\0\0\0\0\0\x80", b"ID3\x09\0\0\0\0\0\0", b"ID3\x03\0\0\0\0\x03\x20", ape(2000, 10**9, 1 << 29), ape(2000, 10**9, 0), ape(7, 64, 1 << 29), ape(2000, 900, 1 << 29)]
+    for tag in false:
+        for data in (tag + frames, frames + tag, frames[:size] + tag + frames[size:]):
+            assert mpeg_audio.parse(data).frames == n >= 3, tag
+    # true ones are stepped over as before
+    true = b"ID3\x03\0\0\0\0\0\x14TIT2\0\0\0\x06\0\0\x00title" + bytes(4)
+    m = mpeg_audio.parse(true + frames)
+    assert m.frames == n and m.tags["TIT2"] == "title" and m.junk_bytes == 0
+
+
 def test_rules_bring_their_own_gates(spark):
     d = documents(spark, ["0123456789abcdef", "nothing"])
     rule = (secret_scan.SecretRule("hex", "[0-9a-f]+", 0, 16),)
