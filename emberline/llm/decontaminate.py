@@ -27,6 +27,8 @@ WINDOW = 13
 OWN = ("n_words", "n_hit", "hit_items", "hit_words", "contaminated", "th_", "hit_doc", "th")
 #: Most benchmark windows that are broadcast: some 200 bytes each, so 200 MB.
 BROADCAST_WINDOWS = 1_000_000
+#: Most bytes of their words and of the ids of the items that hold them.
+BROADCAST_BYTES = 256_000_000
 #: After A-Z are lower-cased, the same words as [^\x00-\x2F\x3A-\x60\x7B-\x7F]+; Java matches this form six times as fast.
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
@@ -76,11 +78,16 @@ def _scan_shuffled(d: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFr
 def hits(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, th (hash of the text), size (words), hit_words (array of word positions from 1), items (array); rows with hits only, one for each (doc_id, th)."""
     grams = written(benchmark_windows(benchmark, n), "benchmark-windows")
-    sizes = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most n rows
+    held = F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + 24 + F.octet_length(x)) + 24 + F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + 16 + F.octet_length(x.cast("string")))
+    found = grams.groupBy("len").agg(F.count("*").alias("n"), F.sum(held).alias("bytes")).collect()  # at most n rows
+    sizes = {r["len"]: r["n"] for r in found}
+    few = sum(sizes.values()) <= broadcast_windows and sum(r["bytes"] for r in found) <= BROADCAST_BYTES
     d = documents.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("tokens"))
-    hit = _scan_broadcast(d, grams) if sum(sizes.values()) <= broadcast_windows else _scan_shuffled(d, grams, sorted(sizes))
-    hit = hit.select("doc_id", "th", "size", F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1).alias("at"), "items")
-    return hit.groupBy("doc_id", "th").agg(F.max("size").alias("size"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hit_words"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    hit = _scan_broadcast(d, grams) if few else _scan_shuffled(d, grams, sorted(sizes))
+    # sets, so that copies of a row that bears one id add nothing, however many they are
+    hit = hit.select("doc_id", "th", "size", F.struct("pos", "len").alias("at"), "items")
+    places = F.flatten(F.transform(F.collect_set("at"), lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))
+    return hit.groupBy("doc_id", "th").agg(F.max("size").alias("size"), F.array_sort(F.array_distinct(places)).alias("hit_words"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, least_share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:

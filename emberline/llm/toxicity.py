@@ -295,7 +295,9 @@ def train(documents: DataFrame, labels: DataFrame, config: Config = Config()) ->
     lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / (1 << 30)
     rate = F.when(F.col("toxic") == 1, config.fit_rows / classes[1]).otherwise(config.fit_rows / classes[0])
     sample = known.where(lot < rate)  # about fit_rows of a class at most
-    training = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    drawn = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # an id counts once, by the text that is smallest by hash, however many rows bear it
+    training = drawn.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
     share = {c: min(n, config.fit_rows) for c, n in classes.items()}
     least = max(config.least, round(config.support * share[1]))
     odds = F.log((F.col("toxic") + 0.5) / (share[1] + 1)) - F.log((F.col("clean") + 0.5) / (share[0] + 1))
