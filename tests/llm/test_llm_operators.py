@@ -168,6 +168,68 @@ def test_each_half_of_the_mixers_rows_is_blind_to_itself(spark):
     assert seen == [[True, True, True], [False, True, True], [True, False, True]]
 
 
+def test_units_are_named_by_word_and_shape():
+    texts = ["  The the THE tHe\tthe\n\nThe \nend", "", " ", "x", "Éa Ab\n", "éa ab", "A\n\n1B 1 "]
+    offsets = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    start, hashes, first = lm_score.units(data, offsets)
+    word, shape = lm_score.shapes(data, offsets, start)
+    found = [(data[a:b].tobytes(), int(w), int(h)) for a, b, w, h in zip(start, np.r_[start[1:], len(data)], word, shape, strict=True)]
+    seen = {}
+    for unit, w, h in found:
+        bare = unit.rstrip(b" \t\n")
+        lower, tail = bare.lower(), unit[len(bare) :]
+        capital = bare[:1] != lower[:1]
+        plain = bare[1:] == lower[1:] and tail in lm_score.ENDINGS and bare
+        assert h == (lm_score.ENDINGS.index(tail) + len(lm_score.ENDINGS) * capital if plain else lm_score.SHAPES - 1)
+        assert (w == 0) == (not bare) and seen.setdefault(lower, w) == w
+        if h < lm_score.SHAPES - 1:
+            assert seen.setdefault((w, h), unit) == unit  # word and shape tell the unit
+    assert len({w for k, w in seen.items() if isinstance(k, bytes)}) == sum(isinstance(k, bytes) for k in seen)
+
+
+def test_uses_in_a_row_by_counting():
+    rng = np.random.default_rng(3)
+    row, keys = np.sort(rng.integers(0, 5, 400)), rng.integers(0, 9, 400).astype(np.uint64)
+    uses, before = lm_score.in_row(row, keys)
+    pairs = list(zip(row.tolist(), keys.tolist(), strict=True))
+    assert uses.tolist() == [pairs.count(x) for x in pairs]
+    assert before.tolist() == [pairs[:i].count(x) for i, x in enumerate(pairs)]
+    assert all(len(x) == 0 for x in lm_score.in_row(row[:0], keys[:0]))
+
+
+def test_phrases_taken_from_their_row_by_a_plain_loop():
+    rng = np.random.default_rng(4)
+    row = np.repeat(np.arange(4), (30, 1, 0, 50))
+    first = np.r_[0, np.cumsum((30, 1, 0, 50))]
+    keys, spelt = rng.integers(0, 20, len(row)).astype(np.uint64), rng.uniform(5, 60, len(row))
+    got = lm_score.again_in_row(spelt, row, first, lm_score.in_row(row, keys)[1])
+    for r in range(4):
+        had, hits = [], 0
+        for i in range(first[r], first[r + 1]):
+            p = (hits + lm_score.AGAIN_AT_FIRST) / (len(had) + 1)
+            share = had.count(keys[i]) / max(1, len(had))
+            assert got[i] == pytest.approx(-math.log2(p * share + (1 - p) * 2 ** -spelt[i]))
+            hits += share > 0
+            had.append(keys[i])
+
+
+def test_the_ways_to_code_a_unit_add_up_and_learn():
+    model = lm_score.Model(None, 0, None, np.zeros((1, 1), dtype=int), np.zeros((1, 1), dtype=bool), None, None, None, None, None, np.zeros((lm_score.UNIT_GATES, lm_score.WAYS)))
+    rng = np.random.default_rng(5)
+    model.unit_share[:] = rng.normal(size=model.unit_share.shape)
+    letters, shares, gate = rng.uniform(1, 30, 200), rng.uniform(0, 0.1, (lm_score.WAYS, 200)), rng.integers(0, lm_score.UNIT_GATES, 200)
+    shares[:, ::3] = 0
+    e = np.exp(np.c_[model.unit_share, np.zeros(lm_score.UNIT_GATES)])
+    p = (e / e.sum(axis=1, keepdims=True))[gate]
+    want = -np.log2((p[:, :-1] * shares.T).sum(axis=1) + p[:, -1] * 2.0**-letters)
+    bits = model.unit_bits(letters, shares, gate)
+    assert bits == pytest.approx(want)
+    for _ in range(20):
+        model.unit_bits(letters, shares, gate, learn=0.5)
+    assert model.unit_bits(letters, shares, gate).sum() < bits.sum()
+
+
 def test_a_text_does_not_vouch_for_itself(spark):
     rng = np.random.default_rng(1)
     texts = [" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)) for _ in range(30)]
