@@ -7,12 +7,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.config import DEFAULT, Config
 from emberline.functions.numeric import rounded
-from emberline.operators.ordered import BLOCK_ROWS, in_blocks, in_spans, numbered, sliced, with_sums_before
+from emberline.operators.ordered import BLOCK_ROWS, in_blocks, numbered, sliced, with_sums_before
 from emberline.operators.scan import FAN, exclusive_scan
 from emberline.session import shared_dir
 
@@ -28,9 +28,20 @@ def sliding(events: DataFrame, size: str = "2 hours", step: str = "1 hour") -> D
 
 
 def sessions(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """A user's events with no gap above the session gap. An event exactly one gap later belongs to the session."""
-    g = events.groupBy("user_id", F.session_window("ts", f"{config.session_gap_minutes} minutes").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("until"))
-    return g.select("user_id", "start", "until", "n")
+    """A user's events with no gap above the session gap. An event exactly one gap later belongs to the session.
+
+    Events of one stretch as long as the gap are never further apart, so they are one
+    row before users meet: a user has a row a stretch, however many its events. Events
+    without a time are in no session; those without a user are one user's.
+    """
+    gap = config.session_gap_minutes * 60_000_000
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    at = us(F.col("ts"))
+    stretches = events.where("ts is not null").groupBy("user_id", (at - F.pmod(at, F.lit(gap))).alias("stretch")).agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("until"))
+    w = Window.partitionBy("user_id").orderBy("stretch")
+    new = F.coalesce((us(F.col("start")) - us(F.lag("until").over(w)) > gap).cast("long"), F.lit(1).cast("long"))
+    numbered = stretches.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("user_id", "session").agg(F.min("start").alias("start"), F.max("until").alias("until"), F.sum("n").alias("n")).drop("session")
 
 
 def behind(events: DataFrame, rows: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, Window]:
@@ -45,12 +56,50 @@ def rolling_rows(events: DataFrame, rows: int = 5, block_rows: int = BLOCK_ROWS)
     return blocks.withColumn("roll", F.avg("value").over(w.rowsBetween(-rows, -1))).where("own").select("event_id", "roll")
 
 
-def rolling_time(events: DataFrame, hours: int = 6) -> DataFrame:
-    """Mean of a tag's readings in the hours up to each reading, itself and its peers included. Blocks have the hours' length, and hold the one before."""
+#: Smaller readings are summed as decimals of 15 places, so that differences of long sums lose nothing.
+EXACT_BELOW = 1e10
+
+
+def rolling_time(events: DataFrame, hours: int = 6, slice_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Mean of a tag's readings in the hours up to each reading, itself and its peers included.
+
+    Readings of one tag and time have one mean, so they are added up first. A sweep
+    along the tag's time then sums what lies before both ends of each range, and the
+    difference is the range's sum: no task holds a range, however dense it is.
+    Missing readings don't count; a range without others has no mean. NaN and infinite
+    ones are counted, so they leave no trace in later ranges. Those from EXACT_BELOW on
+    are summed as doubles. Readings without a time have only each other.
+    """
     span = hours * 3_600_000_000
+    v = F.col("value").cast("double")
+    size = F.abs(v)
+    finite = size < float("inf")  # NaN is above all
     rows = events.select("event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    w = Window.partitionBy("event_type", "block").orderBy("us").rangeBetween(-span, 0)
-    return in_spans(rows, "us", span).withColumn("roll", F.avg("value").over(w)).where("own").select("event_id", "roll")
+    amounts = {
+        "known": F.count(v), "exact": F.coalesce(F.sum(F.when(size < EXACT_BELOW, v.cast("decimal(28,15)"))), F.lit(0)),
+        "large": F.coalesce(F.sum(F.when(finite & (size >= EXACT_BELOW), v)), F.lit(0.0)), "n_large": F.count_if(finite & (size >= EXACT_BELOW)),
+        "n_nan": F.count_if(F.isnan(v)), "n_up": F.count_if(v == float("inf")), "n_down": F.count_if(v == -float("inf")),
+    }
+    cells = rows.groupBy("event_type", "us").agg(*(c.alias(k) for k, c in amounts.items()))
+    # the begin of a range comes before the readings of the same time, which count in it
+    nothing = [F.lit(0).cast(cells.schema[k].dataType).alias(k) for k in amounts]
+    begin = F.struct((F.col("us") - span).alias("us"), F.lit(0).alias("kind"), *nothing)
+    end = F.struct("us", F.lit(1).alias("kind"), *amounts)
+    points = cells.select("event_type", F.col("us").alias("of"), F.explode(F.array(begin, end)).alias("x")).select("event_type", "of", "x.*")
+    s = with_sums_before(sliced(points, "event_type", ("us", "kind"), slice_rows), "event_type", {f"{k}_before": F.sum(k) for k in amounts})
+    w = Window.partitionBy("event_type", "slice").orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = s.select("event_type", "of", "kind", *(f"{k}_before" for k in amounts), *(F.sum(k).over(w).alias(k) for k in amounts))
+
+    def between(c: str) -> Column:
+        found = F.sum(F.when(F.col("kind") == 1, F.col(c)).otherwise(-F.col(c)))
+        return found.cast("decimal(37,15)") if c.startswith("exact") else found  # two such add up in 38 digits
+
+    sums = swept.groupBy("event_type", "of").agg(*((between(f"{k}_before") + between(k)).alias(k) for k in amounts))
+    mean = F.try_divide(F.col("exact").cast("double") + F.when(F.col("n_large") > 0, F.col("large")).otherwise(0.0), F.col("known").cast("double"))
+    up, down = F.col("n_up") > 0, F.col("n_down") > 0
+    mean = F.when((F.col("n_nan") > 0) | (up & down), float("nan")).when(up, float("inf")).when(down, -float("inf")).otherwise(mean)
+    means = sums.select(F.col("event_type").alias("tag"), "of", mean.alias("roll"))
+    return rows.join(means, F.col("event_type").eqNullSafe(F.col("tag")) & F.col("us").eqNullSafe(F.col("of"))).select("event_id", "roll")
 
 
 def differenced(events: DataFrame, lag: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:

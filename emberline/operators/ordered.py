@@ -4,7 +4,7 @@ A window by tag alone sends all readings of a tag to one task. Here rows are ran
 by group and order into slices first; a slice's rows are numbered in the slice, and
 what the group's slices before it hold (sums, last values, gaps) is carried into
 it by a row a slice. Windows then run over a slice, or over blocks of so many
-positions, or of so much time, into which the rows just before are copied.
+positions, into which the rows just before are copied.
 """
 
 from __future__ import annotations
@@ -81,13 +81,6 @@ def in_blocks(positioned: DataFrame, rows_before: int, block_rows: int = BLOCK_R
     return positioned.withColumn("x", F.explode(F.when(copied, F.array(home, halo)).otherwise(F.array(home)))).select(*positioned.columns, "x.block", "x.own")
 
 
-def in_spans(rows: DataFrame, us: str, span_us: int) -> DataFrame:
-    """Rows dealt to blocks of span_us of the time column us; each is also a copy in the next, with `own` false."""
-    block = F.floor(F.col(us) / span_us)
-    both = F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + 1).alias("block"), F.lit(False).alias("own")))
-    return rows.withColumn("x", F.explode(both)).select(*rows.columns, "x.block", "x.own")
-
-
 def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """by, and a column for each share: the exact quantile of value, interpolated between the two nearest. Nulls don't count.
 

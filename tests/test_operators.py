@@ -1,6 +1,7 @@
 """Cases worked by hand, and rows that the test tables lack: nulls, constants, gaps, ties, empty tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -85,6 +86,42 @@ def test_session_gap_is_inclusive_in_both_forms(spark):
     assert sorted(column(features.sessions(e), "n", "start")) == sorted(column(anomaly.unit_sessions(e), "n", "start"))
 
 
+def test_sessions_equal_the_session_window(spark):
+    rng = random.Random(7)
+    first = dt.datetime(1969, 12, 31, 6)  # times on both sides of 1970
+    rows = [(first + dt.timedelta(minutes=rng.randrange(0, 3000, 5)), rng.choice([1, 2, None]), "view", 1.0, None) for _ in range(150)]
+    e = events(spark, [*rows, *rows[:9], (None, 1, "view", 1.0, None)])
+    window = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.min("ts"), F.max("ts"), F.count("*").alias("n"))
+    want = sorted(((r[0], *r[2:]) for r in window.collect()), key=repr)
+    assert sorted(map(tuple, features.sessions(e).collect()), key=repr) == want
+    assert sum(r[3] for r in want) == 159
+
+
+def test_rolling_time_by_brute_force(spark):
+    rng = random.Random(5)
+    odd = [None, float("nan"), float("inf"), -float("inf"), 4e15]
+    time = lambda: None if rng.random() < 0.05 else T0 + rng.randrange(120) * H / 2
+    rows = [(time(), 1, rng.choice(["error", "view", None]), odd[i // 20 % 5] if i % 20 == 0 else round(rng.uniform(-50, 50), 3), None) for i in range(200)]
+
+    def mean(t, tag):
+        near = [v for u, _, k, v, _ in rows if k == tag and v is not None and (u is None if t is None else u is not None and t - 6 * H <= u <= t)]
+        return sum(near) / len(near) if near else None
+
+    want = [mean(t, tag) for t, _, tag, _, _ in rows]
+    e = events(spark, rows)
+    for n in (1000, 7):  # whole tags, and many slices of each
+        got = column(features.rolling_time(e, slice_rows=n), "roll", "event_id")
+        for g, x in zip(got, want, strict=True):
+            assert g is None if x is None else g == pytest.approx(x, rel=1e-9, nan_ok=True)
+
+
+def test_rolling_time_of_one_dense_hour_and_of_nothing(spark):
+    dense = [(T0 + dt.timedelta(seconds=i // 3), 1, "error", 0.1, None) for i in range(3000)]
+    got = features.rolling_time(events(spark, dense), slice_rows=50).select("roll").distinct().collect()
+    assert all(r["roll"] == pytest.approx(0.1, rel=2e-16) for r in got)  # decimals add up without error
+    assert features.rolling_time(events(spark, [])).collect() == []
+
+
 def test_as_of_takes_the_last_at_or_before(spark):
     e = events(spark, [(T0, 1, "click", 1.0, None), (T0 + H, 1, "click", 1.0, None), (T0 + H, 1, "error", 1.0, None), (T0, 2, "error", 1.0, None)])
     assert {r["target_id"]: r["precursor_id"] for r in indicators.as_of(e, "click", "error").collect()} == {2: 1, 3: None}
