@@ -7,8 +7,9 @@ Segments that hold a digit, or that a parent has seen fewer than `support` times
 become the wildcard `*`. A branch whose labelled block rate does not differ from
 that of its labelled siblings (two-proportion z) is merged into the wildcard
 branch. The tree grows level by level; a node of fewer than `support` rows grows no
-further, as all below it would be wildcards, which are written at once. So there are
-as many rounds as levels that `support` rows share.
+further, as all below it would be wildcards, which are written at once. Levels on
+which all rows of a node go on alike are taken in one round, so there are no more
+rounds than levels on which `support` rows part or end.
 
 A node's purity is its labelled block rate, smoothed by `weight` pseudo-rows of its
 parent's purity; a host's parent is its domain without the first label, and so on up
@@ -110,6 +111,19 @@ def segments(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
 
 
+def onward(rest: Column) -> list[Column]:
+    """Aggregates over the rows of a node: those that go on below it, and their least and greatest remaining segments."""
+    on = F.size(rest) > 0
+    return [F.sum(F.when(on, F.col("n")).otherwise(0)).alias("open"), F.min(F.when(on, rest)).alias("lo"), F.max(F.when(on, rest)).alias("hi")]
+
+
+def levels_alike(config: TreeConfig) -> Column:
+    """Levels below a node of open, lo and hi that are one round: those on which its rows have one branch, or one level. What the least and the greatest begin with, all between begin with."""
+    parted = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), False)
+    alike = F.when(parted == 0, F.size("lo")).otherwise(parted - 1).cast("int")
+    return F.when(F.col("open") >= config.support, F.greatest(alike, F.lit(1))).otherwise(1)
+
+
 def template_verdicts(judged: DataFrame, config: TreeConfig) -> DataFrame:
     """For every (host, raw: segments) of the urls: template, purity and verdict of the tree.
 
@@ -121,19 +135,23 @@ def template_verdicts(judged: DataFrame, config: TreeConfig) -> DataFrame:
     counted = written(counted, "templates")
     total = counted.agg(F.sum("lab").alias("lab"), F.sum("blk").alias("blk")).first()  # two numbers
     prior = total["blk"] / total["lab"] if total["lab"] else 0.5
-    hosts = written(host_purities(_counts(counted, "host"), prior, config), "hosts")
-    # node: the template so far; open rows are those whose node may still branch
-    rows = written(counted.join(hosts.select("host", "purity", "held", F.col("n").alias("nn")), "host").withColumn("node", F.col("host")), "templates")
-    done, level = [], 1
+    at_hosts = counted.groupBy("host").agg(*onward(F.col("raw")), *(F.sum(c).alias(c) for c in ("n", "lab", "blk"))).select("host", "n", "lab", "blk", levels_alike(config).alias("jump"))
+    hosts = written(host_purities(at_hosts, prior, config), "hosts")
+    # node: the template so far, of depth segments; open rows are those whose node may still branch
+    rows = counted.join(hosts.select("host", "purity", "held", F.col("n").alias("nn"), "jump"), "host").withColumns({"node": F.col("host"), "depth": F.lit(0)})
+    rows = written(rows, "templates")
+    done = []
     while True:
-        ends = (F.size("raw") < level) | (F.col("nn") < config.support)
-        below = F.when(F.size("raw") >= level, F.concat(F.lit("/"), F.array_join(F.array_repeat(F.lit("*"), F.size("raw") - (level - 1)), "/"))).otherwise(F.lit(""))
+        left = F.size("raw") - F.col("depth")
+        ends = (left < 1) | (F.col("nn") < config.support)
+        below = F.when(left > 0, F.concat(F.lit("/"), F.array_join(F.array_repeat(F.lit("*"), left), "/"))).otherwise("")
         done.append(rows.where(ends).select("host", "raw", F.concat("node", below).alias("template"), "purity", "held"))
         rows = rows.where(~ends)
         if rows.isEmpty():
             break
-        step = F.get("raw", F.lit(level - 1))
-        branches = _counts(rows.withColumn("step", step), "node", "step").withColumnsRenamed({"n": "bn", "lab": "bl", "blk": "bb"})
+        rows = rows.withColumn("step", F.array_join(F.slice("raw", F.col("depth") + 1, F.col("jump")), "/"))
+        after = F.slice("raw", F.col("depth") + F.col("jump") + 1, F.size("raw"))
+        branches = rows.groupBy("node", "step").agg(F.sum("n").alias("bn"), F.sum("lab").alias("bl"), F.sum("blk").alias("bb"), *onward(after))
         parents = branches.groupBy("node").agg(F.sum("bl").alias("pl"), F.sum("bb").alias("pb"))
         rest_l, rest_b = F.col("pl") - F.col("bl"), F.col("pb") - F.col("bb")
         gap = F.col("bb") / F.col("bl") - rest_b / rest_l
@@ -142,14 +160,14 @@ def template_verdicts(judged: DataFrame, config: TreeConfig) -> DataFrame:
         similar = F.when((F.col("bl") > 0) & (rest_l > 0), gap * gap <= config.z * config.z * spread).otherwise(F.lit(False))
         name = F.when((F.col("bn") >= config.support) & ~similar, F.col("step")).otherwise("*")
         named = written(branches.join(parents, "node").withColumn("name", name), "branches")
-        sums = named.groupBy("node", "name").agg(F.sum("bn").alias("cn"), F.sum("bl").alias("cl"), F.sum("bb").alias("cb"))
-        children = named.select("node", "step", "name").join(sums, ["node", "name"])
-        rows = rows.withColumn("step", step).join(children, ["node", "step"]).select(
-            "host", "raw", "n", "lab", "blk", _purity(F.col("cl"), F.col("cb"), F.col("purity"), config).alias("purity"), F.greatest("held", "cl").alias("held"),
-            F.col("cn").alias("nn"), F.concat_ws("/", "node", "name").alias("node"),
+        sums = named.groupBy("node", "name").agg(F.sum("bn").alias("cn"), F.sum("bl").alias("cl"), F.sum("bb").alias("cb"), F.sum("open").alias("open"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        children = named.select("node", "step", "name").join(sums.select("node", "name", "cn", "cl", "cb", levels_alike(config).alias("next")), ["node", "name"])
+        purity = F.aggregate(F.sequence(F.lit(1), F.col("jump")), F.col("purity"), lambda p, _: _purity(F.col("cl"), F.col("cb"), p, config))  # once a level
+        rows = rows.join(children, ["node", "step"]).select(
+            "host", "raw", "n", "lab", "blk", purity.alias("purity"), F.greatest("held", "cl").alias("held"),
+            F.col("cn").alias("nn"), F.col("next").alias("jump"), F.concat_ws("/", "node", "name").alias("node"), (F.col("depth") + F.col("jump")).alias("depth"),
         )
         rows = written(rows, "templates")
-        level += 1
     out = done[0]
     for d in done[1:]:
         out = out.unionAll(d)

@@ -456,6 +456,20 @@ def test_deep_paths_and_unlabelled_urls_by_brute_force(spark):
 
 # --- op6
 
+def test_url_paths_without_branches_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(url_filter, "written", lambda df, label, real=url_filter.written: (rounds.append(label), real(df, label))[1])
+    deep = "/".join(["x"] * 150)
+    urls = [f"http://deep.org/{deep}"] * 6 + [f"http://deep.org/{deep}/y{'z' * i}" for i in range(3)] + [f"http://deep.org/{deep}/{'7/' * 40}end"] * 5 + ["http://deep.org/x"]
+    rows = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), (url_filter.Rule("block", "deep.org", f"{deep}/7"),)).orderBy("page_id").collect()
+    assert rounds.count("branches") < 8  # not one for each of 190 levels
+    assert [r["template"] for r in rows[:6]] == [f"deep.org/{deep}"] * 6
+    assert {r["template"] for r in rows[6:9]} == {f"deep.org/{deep}/*"}
+    assert {r["template"] for r in rows[9:14]} == {f"deep.org/{deep}/{'*/' * 40}end"}
+    assert rows[14]["template"] == "deep.org/x"
+    assert [r["verdict"] for r in rows[9:14]] == ["block"] * 5
+
+
 def test_chain_marginals_by_enumeration():
     rng = np.random.default_rng(1)
     trans = rng.normal(size=(2, 2))
