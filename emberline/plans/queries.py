@@ -528,7 +528,7 @@ def i1_labels(s, d):
 @query
 def i2_logistic(s, d):
     """Held against the optimum that SQL finds by its own Newton steps."""
-    return r(prediction.logistic_predicted(prediction.hourly_features(zs(s, d))), "p")
+    return r(prediction.logistic_predicted(prediction.hourly_features(zs(s, d)), one_label_steps=prediction.ONE_LABEL_STEPS), "p")
 
 
 @query
@@ -580,7 +580,7 @@ def i4_ablation(s, d):
 @query
 def i5_linear_parts(s, d):
     """What each hour's log-odds rest on, by the logistic model."""
-    return r(prediction.explained(prediction.hourly_features(zs(s, d))).select("hr", "name", "part", "log_odds"), "part", "log_odds")
+    return r(prediction.explained(prediction.hourly_features(zs(s, d)), one_label_steps=prediction.ONE_LABEL_STEPS).select("hr", "name", "part", "log_odds"), "part", "log_odds")
 
 
 @query

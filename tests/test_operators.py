@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -404,6 +405,22 @@ def test_regression_and_fit_without_a_solution(spark):
     assert prediction.logistic_predicted(same.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("label", [0.0, 1.0])
+def test_a_fit_of_one_label_can_stop_after_newton_steps(spark, label):
+    """No optimum: the steps themselves, in numpy with curvature and penalty, say where the model stands."""
+    rows = [(T0 + i * H, float(i % 7), float(i * i % 11)) for i in range(300)]
+    df = spark.createDataFrame([(*x, label) for x in rows], "hr timestamp_ntz, z_a double, z_b double, label double")
+    x = np.array([(1, a, b) for t, a, b in rows if t < T0 + 240 * H])
+    pull, beta = prediction.RIDGE * np.array([0, *x[:, 1:].var(axis=0, ddof=1)]), np.zeros(3)
+    for _ in range(prediction.ONE_LABEL_STEPS):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(pull), x.T @ (p - label) / len(x) + pull * beta)
+    found = prediction.explained(df, one_label_steps=prediction.ONE_LABEL_STEPS).collect()
+    assert len(found) == 120 and {r["part"] for r in found} == {0.0} and [r["log_odds"] for r in found] == pytest.approx([beta[0]] * 120, abs=1e-9)
+    chances = prediction.logistic_predicted(df, one_label_steps=prediction.ONE_LABEL_STEPS).collect()
+    assert [r["p"] for r in chances] == pytest.approx([1 / (1 + np.exp(-beta[0]))] * 60, abs=1e-12)
+
+
 def test_no_fold_sees_its_future(spark):
     e = events(spark, [(T0 + i * H, 1, ("click", "error")[i % 2], float(i * i % 29), None) for i in range(30 * 24)])
     before = lambda df: [tuple(r) for r in risk.rolling_origin(df).orderBy("origin").collect()]
