@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import Config
 from emberline.operators import anomaly, baseline, features, indicators, kpi, prediction, quality, risk
+from emberline.plans import queries
 from emberline.sources import sinks, tables
 
 H = dt.timedelta(hours=1)
@@ -428,3 +430,13 @@ def test_no_fold_sees_its_future(spark):
     a, b = before(e), before(changed)
     assert a[:2] == b[:2] and a[2] != b[2] and len(a) == 4
     assert before(e.limit(0)) == [(T0 + dt.timedelta(days=10 + 5 * k), 0, 0, 0, 0, None, None, None) for k in range(4)]
+
+
+def test_distinct_counts_carry_a_sketch_a_type_only(spark, tmp_path):
+    """And users that are null count in neither."""
+    events(spark, [(T0 + i * H, None if i % 5 == 0 else i % 40, ("click", "error")[i % 2], 1.0, None) for i in range(400)]).write.parquet(f"{tmp_path}/events.parquet")
+    df = queries.QUERIES["g7_approx_distinct"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    sketches = [x for x in plan.splitlines() if "approx_count_distinct(" in x]
+    assert sketches and all(re.search(r"keys=\[event_type#\d+\]", x) for x in sketches)
+    assert sorted(map(tuple, df.collect())) == [("click", 16, True), ("error", 16, True)]
