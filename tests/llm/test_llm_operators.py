@@ -142,6 +142,41 @@ def test_counts_cover_every_training_row_and_the_mixers_rows_grow(spark):
         assert all(abs(halves[h] / n - 0.125) < 0.03 for h in (0, 1)) and sum(halves.values()) == n
 
 
+def test_the_mixer_learns_from_every_training_row(spark, monkeypatch):
+    """Each pass reads all of them, one half blind to the other."""
+    seen, learn = [], lm_score.mixer_pass
+
+    def noted(model, halves, *how):
+        seen.append([(r["half"], r["text"]) for r in halves.collect()])
+        learn(model, halves, *how)
+
+    monkeypatch.setattr(lm_score, "mixer_pass", noted)
+    texts = [f"row {i * i:x} of {i}" for i in range(3000)]
+    d = documents(spark, texts)
+    assert lm_score.score(d, F.col("doc_id") % 3 != 0).count() == len(texts)
+    want = sorted(t for i, t in enumerate(texts) if i % 3)
+    assert seen and all(sorted(t for _, t in rows) == want for rows in seen)
+    assert all(0.4 < sum(h for h, _ in rows) / len(rows) < 0.6 for rows in seen)
+
+
+def test_bits_do_not_rest_on_the_texts_scored_with_them():
+    rng = np.random.default_rng(3)
+    texts = [b"", b"\0\0a", b"abcabcabcabc", b"abc", b"\0abc", *(rng.integers(97, 100, n).astype(np.uint8).tobytes() for n in (1, 2, 3, 50, 200))] * 2
+    table = lm_score.symbol_table(np.arange(256))
+    length, node, bit, _ = lm_score.code(rng.integers(0, 1000, lm_score.SYMBOLS))
+    votes = rng.integers(-30, 30, (lm_score.CONTEXTS, lm_score.SYMBOLS)).astype(np.int8)
+    owners = np.full((len(lm_score.OWNED), lm_score.SLOTS), -1, dtype=np.int32)
+    weights = np.full((len(node), lm_score.GATES, len(lm_score.SIZES)), 0.02, dtype=np.float32)
+    refine = np.tile(lm_score.CENTRES, (lm_score.SYMBOLS, 1))
+    m = lm_score.Model(table, 130, length, node.astype(np.intp), bit, votes.ravel(), lm_score.known(votes), weights, refine, owners, np.zeros(1))
+    bits = lambda rows: m.decisions(np.frombuffer(b"".join(rows), dtype=np.uint8), np.cumsum([0, *map(len, rows)]), m.costs())
+    assert (bits(texts) == np.concatenate([bits([t]) for t in texts])).all()
+    # what the code sees of a place: itself, the 6 bytes before it and whether the row has so many
+    data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    want = [(int.from_bytes((bytes(6) + t)[i : i + 6], "little"), int(table[t[i]]) if i < len(t) else lm_score.END, min(i, 2)) for t in texts for i in range(len(t) + 1)]
+    assert [(int(x) >> 9, int(x) >> 2 & 127, int(x) & 3) for x in lm_score.places(data, offsets, table)] == want
+
+
 def test_a_slot_belongs_to_its_commonest_context(spark):
     d = documents(spark, ["abcdef" * 3, "abcdxf", "zzzz"])
     counts = lm_score.gather(d).cache()
