@@ -275,6 +275,46 @@ def test_a_text_does_not_vouch_for_itself(spark):
     assert bits[31] < min(single) / 2 < bits[4]  # of the last row nothing is learnt
 
 
+def test_letters_learn_from_each_different_place_once_with_the_uses_of_all_rows(spark, monkeypatch):
+    import collections
+
+    seen, learn = [], lm_score.letters_pass
+
+    def noted(model, places, *how):
+        seen.append(places.collect())
+        learn(model, places, *how)
+
+    monkeypatch.setattr(lm_score, "letters_pass", noted)
+    texts = [f"row {i % 40} é" for i in range(400)]
+    d = documents(spark, texts)
+    assert lm_score.score(d, F.col("doc_id") % 3 != 0).count() == len(texts)
+    want = collections.Counter()
+    for raw in (t.encode() for i, t in enumerate(texts) if i % 3):
+        padded = bytes(6) + raw
+        want.update((int.from_bytes(padded[i : i + 6], "little") << 11) + ((raw[i] if i < len(raw) else 256) << 2) + min(i, 2) for i in range(len(raw) + 1))
+    assert seen and all({r["key"]: r["c"] for r in rows} == want and len(rows) == len(want) for rows in seen)
+    assert all(0.3 < sum(r["c0"] for r in rows) / want.total() < 0.7 and all(0 <= r["c0"] <= r["c"] for r in rows) for rows in seen)
+
+
+def test_each_vote_has_its_own_weight_where_the_shortest_contexts_abstain():
+    length, node, bit, _ = lm_score.code(np.ones(lm_score.SYMBOLS, dtype=int))
+    votes = np.full((lm_score.CONTEXTS, lm_score.SYMBOLS), 10, dtype=np.int8)
+    votes[lm_score.UNKNOWN] = 0
+    owners = np.stack([np.full(lm_score.SLOTS, -1, dtype=np.int32)] * len(lm_score.OWNED))
+    table = lm_score.symbol_table(np.arange(256))
+    place = lm_score.places(np.frombuffer(b"abcdefg", dtype=np.uint8), np.array([0, 7]), table)[6:7]
+    for i, k in enumerate(lm_score.OWNED[:3]):
+        slot, check = lm_score.slot_and_check(place >> np.uint64(57 - 8 * k), k)
+        owners[i, slot] = check
+    bits = []
+    for unused in (0.01, 0.05):
+        weights = np.full((len(node), lm_score.GATES, len(lm_score.SIZES)), 0.02, dtype=np.float32)
+        weights[..., :2] = unused
+        m = lm_score.Model(table, 130, length, node.astype(np.intp), bit, votes.ravel(), lm_score.known(votes), weights, np.tile(lm_score.CENTRES, (lm_score.SYMBOLS, 1)), owners, np.zeros(1))
+        bits.append(m.place_bits(place, m.costs()).tolist())
+    assert bits[0] == bits[1]
+
+
 def test_symbol_code_is_a_probability():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 1000, lm_score.SYMBOLS)
